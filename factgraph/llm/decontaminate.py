@@ -17,9 +17,14 @@ def words(text):
     return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), SPLIT), "")
 
 
-def shingle_hashes(tokens, n, k: int):
-    """Hash of the k words from each position on."""
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(tokens, i, k)))).otherwise(F.array().cast("array<bigint>"))
+def let(value, body):
+    """body of a value that is computed once a row; the optimizer may else repeat it in each lambda call."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def shingle_hash(hashes, i, k: int):
+    """Hash of the k word hashes from place i (0-based) on."""
+    return F.xxhash64(*[F.get(hashes, i + j) for j in range(k)])
 
 
 def windows_of(items: DataFrame, window: int) -> DataFrame:
@@ -51,17 +56,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
         return tokens.select("doc_id", F.col("n").cast("long").alias("n_words"), F.array().cast("array<struct<start:int,len:int>>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items")).distinct()
     small = (lambda df: F.broadcast(df)) if (n_bytes or 0) <= BROADCAST_BYTES else (lambda df: df)
     n_blocks = bloom.blocks_for(n_wins * (window - shingle + 1))
-    each = wins.select("win", "items", "len", "k", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("len") - F.col("k") + 1), lambda i: F.xxhash64(F.slice(F.col("win"), i, F.col("k"))))).alias("at", "h"))
+    def hashes_of(win, k):
+        return let(F.transform(win, lambda x: F.xxhash64(x)), lambda hw: F.transform(F.sequence(F.lit(0), F.size(win) - k), lambda i: shingle_hash(hw, i, k)))
+
+    by_width = F.coalesce(*[F.when(F.col("k") == k, hashes_of(F.col("win"), k)) for k in widths])
+    each = wins.select("win", "items", "len", "k", F.posexplode(by_width).alias("at", "h"))
     possible = bloom.build(each.select("h").distinct(), "h", n_blocks).scalar()
 
-    def found(filter_words):
-        """Positions of shingles that the filter passes, with the words around them."""
-        def per_width(k):
-            hashes = shingle_hashes(F.col("w"), F.col("n"), k)
-            near = lambda i: F.slice(F.col("w"), F.greatest(i - (window - k), F.lit(0)) + 1, 2 * window)
-            return F.filter(F.transform(hashes, lambda h, i: F.when(bloom.may_contain(F.col("bits"), h, n_blocks), F.struct(h.alias("h"), i.alias("i"), near(i).alias("near"), F.greatest(i - (window - k), F.lit(0)).alias("near_at")))), lambda x: x.isNotNull())
+    def found(bits):
+        """Places of shingles that the filter passes, with the words around them."""
+        def per_width(w, hw, k):
+            first = lambda i: F.greatest(i - (window - k), F.lit(0))
+            hashed = lambda i: let(shingle_hash(hw, i, k), lambda h: F.when(bloom.may_contain(bits, h, n_blocks), F.struct(h.alias("h"), i.alias("i"), F.slice(w, first(i) + 1, 2 * window).alias("near"), first(i).alias("near_at"))))
+            places = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
+            return F.filter(F.transform(places, hashed), lambda x: x.isNotNull())
 
-        return tokens.withColumn("bits", filter_words).select("doc_id", "text_key", "n", F.concat(*[per_width(k) for k in widths]).alias("c"))
+        whole = let(words(F.col("text")), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda hw: F.struct(F.size(w).alias("n"), F.concat(*[per_width(w, hw, k) for k in widths]).alias("c"))))
+        return docs.select("doc_id", F.xxhash64("text").alias("text_key"), whole.alias("f")).select("doc_id", "text_key", F.col("f.n").alias("n"), F.col("f.c").alias("c"))
 
     seen = found(possible).select(F.explode(F.col("c.h")).alias("h")).join(small(each.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
     prefix = (each.join(seen, "h", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "at")).alias("p"), F.first("items").alias("items"), F.first("len").alias("len"), F.first("k").alias("k"))
