@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS_PER_KEY, BLOCK_BITS, WORDS = 16, 256, 4
-MAX_BLOCKS = 1 << 18  # 8 MB of words; more keys make the filter denser, not larger
+MAX_BLOCKS = 1 << 14  # 512 KB of words, as each row may carry them; more keys make the filter denser, not larger
 
 
 def blocks_for(n_keys: int) -> int:

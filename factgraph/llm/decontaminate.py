@@ -67,12 +67,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
         """Places of shingles that the filter passes, with the words around them."""
         def per_width(w, hw, k):
             first = lambda i: F.greatest(i - (window - k), F.lit(0))
-            hashed = lambda i: let(shingle_hash(hw, i, k), lambda h: F.when(bloom.may_contain(bits, h, n_blocks), F.struct(h.alias("h"), i.alias("i"), F.slice(w, first(i) + 1, 2 * window).alias("near"), first(i).alias("near_at"))))
+            hashed = lambda i: let(shingle_hash(hw, i, k), lambda h: F.when(bloom.may_contain(F.col("bits"), h, n_blocks), F.struct(h.alias("h"), i.alias("i"), F.slice(w, first(i) + 1, 2 * window).alias("near"), first(i).alias("near_at"))))
             places = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
             return F.filter(F.transform(places, hashed), lambda x: x.isNotNull())
 
         whole = let(words(F.col("text")), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda hw: F.struct(F.size(w).alias("n"), F.concat(*[per_width(w, hw, k) for k in widths]).alias("c"))))
-        return docs.select("doc_id", F.xxhash64("text").alias("text_key"), whole.alias("f")).select("doc_id", "text_key", F.col("f.n").alias("n"), F.col("f.c").alias("c"))
+        return docs.withColumn("bits", bits).select("doc_id", F.xxhash64("text").alias("text_key"), whole.alias("f")).select("doc_id", "text_key", F.col("f.n").alias("n"), F.col("f.c").alias("c"))
 
     seen = found(possible).select(F.explode(F.col("c.h")).alias("h")).join(small(each.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
     prefix = (each.join(seen, "h", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "at")).alias("p"), F.first("items").alias("items"), F.first("len").alias("len"), F.first("k").alias("k"))
