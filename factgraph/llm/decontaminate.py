@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ascii_lower
+from .common import ascii_lower, stored
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 64 << 20
@@ -74,11 +74,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
         whole = let(words(F.col("text")), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda hw: F.struct(F.size(w).alias("n"), F.concat(*[per_width(w, hw, k) for k in widths]).alias("c"))))
         return docs.withColumn("bits", bits).select("doc_id", F.xxhash64("text").alias("text_key"), whole.alias("f")).select("doc_id", "text_key", F.col("f.n").alias("n"), F.col("f.c").alias("c"))
 
-    seen = found(possible).select(F.explode(F.col("c.h")).alias("h")).join(small(each.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
+    # Hashing all shingles costs most, so what passes is written once, for the counts and for the join.
+    base = stored(found(possible))
+    seen = base.select(F.explode(F.col("c.h")).alias("h")).join(small(each.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
     prefix = (each.join(seen, "h", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "at")).alias("p"), F.first("items").alias("items"), F.first("len").alias("len"), F.first("k").alias("k"))
               .where("p.df > 0").select("win", "items", "len", F.col("p.h").alias("h"), F.col("p.at").alias("at")))
-    chosen = bloom.build(prefix.select("h"), "h", n_blocks).scalar()
-    cand = found(chosen).select("doc_id", "text_key", "n", F.explode_outer("c").alias("c"))
+    cand = base.select("doc_id", "text_key", "n", F.explode_outer("c").alias("c"))
     cand = cand.select("doc_id", "text_key", "n", F.col("c.h").alias("h"), F.col("c.i").alias("i"), F.col("c.near").alias("near"), F.col("c.near_at").alias("near_at"))
     start = F.col("i") - F.col("at")
     hit = (start >= 0) & (start + F.col("len") <= F.col("n")) & (F.slice(F.col("near"), F.greatest(start - F.col("near_at"), F.lit(0)) + 1, F.col("len")) == F.col("win"))
