@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BUCKETS, BROADCAST_IDS = 1 << 16, 1_000_000
+BUCKETS, BROADCAST_IDS, OFFERS = 1 << 16, 1_000_000, 3
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -96,40 +96,37 @@ def tile_rows(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
 def tile_pairs(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
     """Pairs that pass the size, place and bitmap bounds. Rows of a tile come by size; a band of sizes is held.
 
-    one_each: the first partner of each row only; else all of another component.
+    one_each: partners among the OFFERS rows before only, and one for each document; else all of another component.
     """
-    def run(batches):
-        token, held = None, None
-
-        def pairs(t):
-            n, pos, doc, comp = t.n.to_numpy(), t.pos.to_numpy(), t.doc_id.to_numpy(), t.comp.to_numpy()
-            s0, s1 = t.s0.to_numpy(np.uint64), t.s1.to_numpy(np.uint64)
-            lo = np.searchsorted(n, np.ceil(n * percent / 100), "left")
-            for i in range(len(t)):
-                if t.old.iat[i] or lo[i] >= i:
-                    continue
-                j = slice(lo[i], i)
-                need = -(-percent * (n[i] + n[j]) // (100 + percent))
-                out_i = np.bitwise_count(s0[i] & ~s0[j]).astype(np.int64) + np.bitwise_count(s1[i] & ~s1[j])
-                out_j = np.bitwise_count(s0[j] & ~s0[i]).astype(np.int64) + np.bitwise_count(s1[j] & ~s1[i])
-                ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (n[i] - out_i >= need) & (n[j] - out_j >= need) & (comp[j] != comp[i])
-                with_ = doc[j][ok]
-                if one_each:
-                    with_ = with_[-1:]
-                for d in with_.tolist():
-                    yield (min(d, int(doc[i])), max(d, int(doc[i])))
+    def pairs(t):
+        """Each row against the 1st, 2nd, ... row before it, for all rows at once, until its tile or band ends."""
+        token, n, pos, doc, comp, old = (t[c].to_numpy() for c in ("token", "n", "pos", "doc_id", "comp", "old"))
+        n, s0, s1 = n.astype(np.int64), t.s0.to_numpy(np.int64).view(np.uint64), t.s1.to_numpy(np.int64).view(np.uint64)
+        i, step, found = np.flatnonzero(~old), 0, []
+        while len(i) and not (one_each and step == OFFERS):
+            step += 1
+            i = i[i >= step]
+            j = i - step
+            near = (token[i] == token[j]) & (n[j] * 100 >= n[i] * percent)
+            i, j = i[near], j[near]
+            need = -(-percent * (n[i] + n[j]) // (100 + percent))
+            out_i = np.bitwise_count(s0[i] & ~s0[j]).astype(np.int64) + np.bitwise_count(s1[i] & ~s1[j])
+            out_j = np.bitwise_count(s0[j] & ~s0[i]).astype(np.int64) + np.bitwise_count(s1[j] & ~s1[i])
+            ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (n[i] - out_i >= need) & (n[j] - out_j >= need) & (comp[j] != comp[i])
+            both = np.sort(np.stack([doc[i[ok]], doc[j[ok]]]), axis=0)
+            found.append(np.unique(both, axis=1))
+        return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
 
+    def run(batches):
+        held = None
         for pdf in batches:
-            out = set()
             pdf["old"] = False
             if held is not None:
                 pdf = pd.concat([held, pdf], ignore_index=True)
-            for _, t in pdf.groupby("token", sort=False):
-                if len(t) > 1:
-                    out.update(pairs(t))
+            out = pairs(pdf[pdf.token.duplicated(keep=False)])
             last = pdf[pdf.token == pdf.token.iat[-1]]
             held = last[last.n * 100 >= last.n.iat[-1] * percent].assign(old=True)
-            yield pd.DataFrame(sorted(out), columns=["a", "b"])
+            yield pd.DataFrame({"a": out[0], "b": out[1]})
 
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "doc_id")
     found = dealt.mapInPandas(run, "a long, b long")
@@ -202,7 +199,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     copies = member.where("doc_id != rep").select("doc_id")
     single = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
     classes = spark.sparkContext.broadcast(frequencies(docs, k))
-    rows = tile_rows(single, k, percent, classes)
+    rows = stored(tile_rows(single, k, percent, classes))
     links = stored(verify(tile_pairs(rows.withColumn("comp", F.col("doc_id")), percent, True), single, k, percent))
     comp = stored(components(links))
     labelled = rows.join(F.broadcast(comp) if comp.count() <= BROADCAST_IDS else comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
