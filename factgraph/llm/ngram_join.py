@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pandas as pd
@@ -10,10 +9,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, stored
+from .common import stored
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BUCKETS, BROADCAST_IDS, OFFERS = 1 << 16, 1_000_000, 3
+BUCKETS, BROADCAST_IDS, OFFERS, KNOWN_WORDS, PAIRS_AT_ONCE = 1 << 16, 1_000_000, 3, 200_000, 500_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -22,15 +20,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, k: int, words: dict[str, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; fewer words make one."""
-    own = WORD.findall(text.translate(ASCII_LOWER)) if text else []
+class Words(dict):
+    """Hash numbers of words; forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        return h
+
+
+def shingles(text: str | None, k: int, words: Words) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the k-word shingles; fewer words make one.
+
+    lower() and split() of bytes know ASCII letters and white space only.
+    """
+    own = text.encode().lower().split() if text else []
     if not own:
         return np.empty(0, np.uint64)
-    for w in own:
-        if w not in words:
-            words[w] = xxhash.xxh3_64_intdigest(w.encode())
-    h = np.array([words[w] for w in own], np.uint64)
+    h = np.fromiter(map(words.__getitem__, own), np.int64, len(own)).view(np.uint64)
     n = max(1, len(h) - k + 1)
     out = np.full(n, min(len(h), k), np.uint64)
     for j in range(min(k, len(h))):
@@ -38,15 +46,13 @@ def shingles(text: str | None, k: int, words: dict[str, int]) -> np.ndarray:
     return np.unique(out)
 
 
-def _sets(pdf: pd.DataFrame, k: int, words: dict[str, int]):
-    if len(words) > 2_000_000:
-        words.clear()
+def _sets(pdf: pd.DataFrame, k: int, words: Words):
     return [shingles(t, k, words) for t in pdf.text]
 
 
 def summaries(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        words: dict[str, int] = {}
+        words = Words()
         for pdf in batches:
             sets = _sets(pdf, k, words)
             yield pd.DataFrame({"doc_id": pdf.doc_id, "n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
@@ -57,7 +63,7 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """Class of each of BUCKETS hash buckets by the shingles in it: an order of fixed size in which frequent shingles come late."""
     def run(batches):
-        total, words = np.zeros(BUCKETS, np.int64), {}
+        total, words = np.zeros(BUCKETS, np.int64), Words()
         for pdf in batches:
             for s in _sets(pdf, k, words):
                 total += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
@@ -73,7 +79,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 def tile_rows(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
     """A row for each prefix shingle of a set: two linked sets share one, as they differ in few."""
     def run(batches):
-        words: dict[str, int] = {}
+        words = Words()
         for pdf in batches:
             parts = []
             for doc, s in zip(pdf.doc_id, _sets(pdf, k, words), strict=True):
@@ -114,8 +120,12 @@ def tile_pairs(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
             out_j = np.bitwise_count(s0[j] & ~s0[i]).astype(np.int64) + np.bitwise_count(s1[j] & ~s1[i])
             ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (n[i] - out_i >= need) & (n[j] - out_j >= need) & (comp[j] != comp[i])
             both = np.sort(np.stack([doc[i[ok]], doc[j[ok]]]), axis=0)
-            found.append(np.unique(both, axis=1))
-        return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+            found.append(both)
+            if sum(x.shape[1] for x in found) >= PAIRS_AT_ONCE:
+                yield np.unique(np.concatenate(found, axis=1), axis=1)
+                found = []
+        if found:
+            yield np.unique(np.concatenate(found, axis=1), axis=1)
 
     def run(batches):
         held = None
@@ -123,10 +133,10 @@ def tile_pairs(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
             pdf["old"] = False
             if held is not None:
                 pdf = pd.concat([held, pdf], ignore_index=True)
-            out = pairs(pdf[pdf.token.duplicated(keep=False)])
+            for out in pairs(pdf[pdf.token.duplicated(keep=False)]):
+                yield pd.DataFrame({"a": out[0], "b": out[1]})
             last = pdf[pdf.token == pdf.token.iat[-1]]
             held = last[last.n * 100 >= last.n.iat[-1] * percent].assign(old=True)
-            yield pd.DataFrame({"a": out[0], "b": out[1]})
 
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "doc_id")
     found = dealt.mapInPandas(run, "a long, b long")
@@ -145,7 +155,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
-        words: dict[str, int] = {}
+        words = Words()
         for pdf in batches:
             keep = []
             for ta, tb in zip(pdf.ta, pdf.tb, strict=True):
@@ -204,7 +214,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     comp = stored(components(links))
     labelled = rows.join(F.broadcast(comp) if comp.count() <= BROADCAST_IDS else comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    more = verify(tile_pairs(labelled.join(mixed, "token", "left_semi"), percent, False), single, k, percent)
+    more = stored(verify(tile_pairs(labelled.join(mixed, "token", "left_semi"), percent, False), single, k, percent))
     comp = stored(components(links.union(more)))
     return member.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
