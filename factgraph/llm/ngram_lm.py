@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pandas as pd
@@ -11,11 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, local_path, shared_dir, stored
+from .common import local_path, shared_dir, stored
 from .language_id import held_out
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-END = "\n"  # no word holds it
+END = b"\n"  # no word holds it
 SHARDS, DISCOUNT, MIN_PAIR, STEP = 16, 0.75, 2, 12 / 65535
 
 
@@ -88,18 +86,18 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-np.log10(np.maximum(p, 1e-12)) / STEP), 0, 65535).astype(np.uint16)
 
 
-def key_of(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode())
+def key_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
 class Batch:
     """Tokens of some texts as places in a list of distinct words."""
 
     def __init__(self, texts):
-        number: dict[str, int] = {}
+        number: dict[bytes, int] = {}
         tokens, self.sizes = [], []
         for t in texts:
-            words = WORD.findall(t.translate(ASCII_LOWER)) if t else []
+            words = t.encode().lower().split() if t else []  # of bytes: ASCII letters and white space only
             tokens += [number.setdefault(w, len(number)) for w in words]
             tokens.append(number.setdefault(END, len(number)))
             self.sizes.append(len(words) + 1)
