@@ -58,7 +58,7 @@ class Slices:
         self.bits = max(1, int(shifted.max()).bit_length())
         pad = -self.n % 64
         planes = (shifted.T[:, None, :] >> np.arange(self.bits, dtype=np.uint64)[None, :, None] & np.uint64(1)).astype(np.uint8)
-        self.maps = np.packbits(np.pad(planes, ((0, 0), (0, 0), (0, pad))), axis=2, bitorder="little").view(np.uint64)
+        self.maps = np.ascontiguousarray(np.packbits(np.pad(planes, ((0, 0), (0, 0), (0, pad))), axis=2, bitorder="little")).view(np.uint64)
         self.all = np.packbits(np.pad(np.ones(self.n, np.uint8), (0, pad)), bitorder="little").view(np.uint64)
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
