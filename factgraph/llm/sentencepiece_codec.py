@@ -29,6 +29,9 @@ class Codec:
         self.scores = np.array([lib.get_score(i) for i in range(n)], np.float64)
         self.byte = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes_of = {i: b for b, i in enumerate(self.byte)}
+        self.names = [str(i) for i in range(n)]
+        #: Text of each piece; None for bytes, whose text depends on their neighbours.
+        self.plain = [None if lib.is_byte(i) else "" if lib.is_control(i) else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.control = {i for i in range(n) if lib.is_control(i)}
         self.eos = lib.eos_id() if add_eos else None
         # Two kinds of symbols: pieces by id, other characters by n + code point, which never merge.
@@ -117,6 +120,13 @@ class Codec:
         return [[i for w in p for i in self.cache[w]] + end for p in parts]
 
     def decode(self, ids: list[int]) -> str:
+        try:
+            text = "".join(map(self.plain.__getitem__, ids))
+        except TypeError:
+            text = self._with_bytes(ids)
+        return text[1:] if text.startswith(" ") else text
+
+    def _with_bytes(self, ids: list[int]) -> str:
         out, run = [], bytearray()
         for i in ids:
             b = self.bytes_of.get(i)
@@ -130,8 +140,7 @@ class Codec:
                 out.append(self.pieces[i].replace(SPACE, " "))
         if run:
             out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
-        return text[1:] if text.startswith(" ") else text
+        return "".join(out)
 
 
 def encode_decode(docs: DataFrame, model_path: str, out: str = "digest") -> DataFrame:
@@ -153,7 +162,7 @@ def encode_decode(docs: DataFrame, model_path: str, out: str = "digest") -> Data
             if out == "full":
                 yield pd.DataFrame({"doc_id": pdf.doc_id, "ids": ids, "decoded": texts})
             else:
-                sha = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
+                sha = [hashlib.sha256(" ".join(map(codec.names.__getitem__, x)).encode()).hexdigest() for x in ids]
                 yield pd.DataFrame({"doc_id": pdf.doc_id, "n_tokens": [len(x) for x in ids], "ids_sha256": sha, "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts]})
 
     schema = "doc_id long, ids array<int>, decoded string" if out == "full" else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
