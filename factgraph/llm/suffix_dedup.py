@@ -9,31 +9,61 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_BYTES, ANCHOR, ROUND_BYTES = 50, 20, 4 << 20
+from .common import stored
+
+MIN_BYTES, ROUND_BYTES, CHUNK_BYTES, HELD_ROWS = 50, 1 << 20, 1 << 18, 500_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
+BYTE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64)
+
+
+def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes."""
+    h = (a * MULT ^ b) * MULT
+    return h ^ (h >> np.uint64(29))
+
 
+def window_hashes(data: np.ndarray) -> dict[int, np.ndarray]:
+    """Hashes of the 1, 2, 4, ... 32 bytes from each place on."""
+    out = {1: BYTE[data]}
+    for k in (1, 2, 4, 8, 16):
+        h = out[k]
+        out[2 * k] = both(h[:-k], h[k:])
+    return out
 
-def anchors(data: np.ndarray, size: int, k: int) -> np.ndarray:
-    """Hash of the k bytes from each place on."""
-    h = np.zeros(len(data) - k + 1, np.uint64)
-    for j in range(k):
-        h = (h + data[j : j + len(h)]) * MULT
-        h ^= h >> np.uint64(29)
-    return h
 
+def segments(texts: list[bytes], size: int = MIN_BYTES):
+    """Runs of size-byte strings that have the same smallest anchor (a hash of 20 bytes), at most size - 19 strings each.
 
-def segments(data: np.ndarray, size: int = MIN_BYTES, k: int = ANCHOR):
-    """Runs of the size-byte strings that have the same smallest anchor: its hash, first place, number of strings."""
+    Arrays: number of the text, anchor, hash of the run's bytes, first place, number of strings.
+    """
+    lens = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    w = size - 19
     if len(data) < size:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    h, w = anchors(data, size, k), size - k + 1
-    low, step = h.copy(), 1
-    while step < w:  # minimum over w places by doubling
-        more = min(step, w - step)
+        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+    hashes = window_hashes(data)
+    low = both(hashes[16][: len(data) - 19], hashes[4][16 : len(data) - 3])
+    step, left = 1, w - 1
+    while left:  # minimum over w places by doubling
+        more = min(step, left)
         low = np.minimum(low[: len(low) - more], low[more:])
-        step += more
-    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    return low[first], first, np.diff(np.r_[first, len(low)])
+        step, left = step + more, left - more
+    ends = np.cumsum(lens)
+    own = np.repeat(np.arange(len(texts)), np.maximum(lens - size + 1, 0))
+    starts = np.cumsum(np.maximum(lens - size + 1, 0))
+    if not len(own):
+        return segments([], size)
+    first = np.arange(len(own)) - np.r_[0, starts[:-1]][own]
+    at = first + (ends - lens)[own]
+    low = low[at]
+    head = np.r_[True, (low[1:] != low[:-1]) | (own[1:] != own[:-1])]
+    heads = np.flatnonzero(head)
+    since = np.arange(len(own)) - np.repeat(heads, np.diff(np.r_[heads, len(own)]))
+    heads = np.flatnonzero(since % w == 0)
+    n = np.diff(np.r_[heads, len(own)])
+    a, last, h32 = at[heads], n + size - 1 - 32, hashes[32]
+    seg = both(both(h32[a], h32[a + last]), both(h32[a + last // 2], n.astype(np.uint64)))
+    return own[heads], low[heads], seg, first[heads], n
 
 
 def common_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,71 +116,128 @@ def first_owner(parts: list[np.ndarray], owners: np.ndarray, size: int) -> list[
     return [out[int(e) - len(p) - 1 :][: len(p) - size + 1] for p, e in zip(parts, ends, strict=True)]
 
 
+def rows_of(docs: DataFrame, size: int) -> DataFrame:
+    """key, seg, doc_id, start, n, done: the segments of every text, by anchor.
+
+    Of a segment that several documents of a batch hold, only the first document's rows stay open; the
+    others are repeats for sure (done) and are dealt by document, so that no anchor gathers them.
+    """
+    def run(batches):
+        def flush():
+            doc, key, seg, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((doc, seg, key))
+            k, s, d = key[order], seg[order], doc[order]
+            head = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
+            later = np.empty(len(doc), bool)
+            later[order] = d != np.repeat(d[head], np.diff(np.r_[head, len(d)]))
+            key = np.where(later, doc * 0x9E3779B1, key.view(np.int64))
+            return pd.DataFrame({"key": key, "seg": np.where(later, 0, seg.view(np.int64)), "doc_id": doc, "start": start, "n": n, "done": later})
+
+        held, count = [], 0
+        for pdf in batches:
+            docs_, texts = pdf.doc_id.to_numpy(), [t.encode() for t in pdf.text]
+            edge = np.r_[0, np.cumsum([len(t) for t in texts])] // CHUNK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(edge[:-1])) + 1).tolist(), len(texts)]
+            for i, j in zip(cuts, cuts[1:]):
+                own, key, seg, start, n = segments(texts[i:j], size)
+                held.append((docs_[i:j][own], key, seg, start, n))
+                count += len(own)
+                if count >= HELD_ROWS:
+                    yield flush()
+                    held, count = [], 0
+        if count:
+            yield flush()
+
+    return docs.mapInPandas(run, "key long, seg long, doc_id long, start long, n int, done boolean")
+
+
+def in_order(rows: DataFrame, key: str, work, schema: str) -> DataFrame:
+    """work(rows whose keys are complete, rows of the one that may go on): its rows and what to hold of the latter."""
+    def run(batches):
+        held, count = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            count += len(pdf)
+            if count * 80 >= ROUND_BYTES:
+                t = pd.concat(held, ignore_index=True)
+                last = (t[key] == t[key].iat[-1]).to_numpy()
+                out, rest = work(t[~last], t[last])
+                yield from out
+                held, count = [rest], 0
+        if held:
+            t = pd.concat(held, ignore_index=True)
+            yield from work(t, t[:0])[0]
+
+    return rows.repartition(key).sortWithinPartitions(key, "doc_id").mapInPandas(run, schema)
+
+
+def open_segments(rows: DataFrame, size: int) -> DataFrame:
+    """key, doc_id, start, n, done: repeats of whole segments (done), and rows of anchors with several segments, whose bytes decide."""
+    columns = ["key", "doc_id", "start", "n", "done"]
+
+    def settle(t):
+        """Equal segments belong to their first document; the others are done."""
+        first = t.groupby(["key", "seg"], sort=False).doc_id.transform("min").to_numpy()
+        return t.assign(done=t.done | (first < t.doc_id.to_numpy()))
+
+    def work(t, rest):
+        out = [t.loc[t.done, columns]]
+        t = t[~t.done]
+        t = t[t.key.duplicated(keep=False)]
+        if len(t):
+            t = settle(t)
+            own = t[~t.done]
+            several = own.groupby("key", sort=False).seg.transform("nunique") > 1
+            out += [t.loc[t.done, columns], own.loc[several, columns]]
+        if len(rest):
+            out.append(rest.loc[rest.done, columns])
+            rest = settle(rest[~rest.done])
+            out.append(rest.loc[rest.done, columns])
+            rest = rest[~rest.done]
+        return out, rest
+
+    return in_order(rows, "key", work, "key long, doc_id long, start long, n int, done boolean")
+
+
+def compared(segs: DataFrame, size: int) -> DataFrame:
+    """doc_id, start, len of strings that an earlier document's segment of the same anchor holds."""
+    def search(t):
+        back, parts = pd.factorize(t.bytes)
+        doc, start = t.doc_id.to_numpy(), t.start.to_numpy()
+        group = pd.DataFrame({"key": t.key.to_numpy(), "part": back, "doc": doc})
+        no = group.groupby(["key", "part"], sort=False).ngroup().to_numpy()
+        head = np.flatnonzero(~pd.Series(no).duplicated().to_numpy())
+        owner = group.groupby(no).doc.min().to_numpy()
+        least = first_owner([np.frombuffer(parts[back[i]], np.uint8) for i in head], owner, size)
+        rows = []
+        for i, g in enumerate(no.tolist()):
+            on = least[g] < doc[i]
+            if on.any():
+                edge = np.flatnonzero(np.diff(np.r_[0, on.view(np.int8), 0]))
+                rows += [(doc[i], start[i] + a, b - a + size - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        return pd.DataFrame(rows, columns=["doc_id", "start", "len"])
+
+    def work(t, rest):
+        return [search(t)] if len(t) else [], rest
+
+    return in_order(segs, "key", work, "doc_id long, start long, len long")
+
+
 def repeats(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, start, len of byte runs that an earlier document has."""
+    found = stored(open_segments(rows_of(docs, size), size))
+    wanted = found.where("not done").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
+
     def cut(batches):
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
+            for doc, text, wanted in zip(pdf.doc_id, pdf.text, pdf.wanted, strict=True):
                 raw = text.encode()
-                h, at, n = segments(np.frombuffer(raw, np.uint8), size)
-                rows += [(x, doc, s, raw[s : s + m + size - 1]) for x, s, m in zip(h.view(np.int64).tolist(), at.tolist(), n.tolist(), strict=True)]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["h", "doc_id", "start", "seg"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["h", "doc_id", "start", "seg"])
-
-    def mark(batches):
-        """Anchors come in order, and within one by document. Equal segments are one part under their first document."""
-        pending: list[pd.DataFrame] = []
-
-        def search(t):
-            t = t[t.h.duplicated(keep=False)]
-            if not len(t):
-                return
-            group = t.groupby(["h", "seg"], sort=False)
-            no, owner = group.ngroup().to_numpy(), group.doc_id.transform("min").to_numpy()
-            several = (t.groupby("h").seg.transform("nunique") > 1).to_numpy()
-            doc, start = t.doc_id.to_numpy(), t.start.to_numpy()
-            same = (owner < doc)
-            yield pd.DataFrame({"doc_id": doc[same], "start": start[same], "len": t.seg.map(len).to_numpy()[same]})
-            heads = np.flatnonzero(several & ~t.duplicated(["h", "seg"]).to_numpy())
-            segs = t.seg.to_numpy()
-            parts, todo = [], []
-            for i in heads:
-                parts.append(np.frombuffer(segs[i], np.uint8))
-                todo.append(i)
-            if not parts:
-                return
-            least = dict(zip(no[todo].tolist(), first_owner(parts, owner[todo], size), strict=True))
-            rows = []
-            for i in np.flatnonzero(several & ~same):
-                on = least[no[i]] < doc[i]
-                if on.any():
-                    edge = np.flatnonzero(np.diff(np.r_[0, on.view(np.int8), 0]))
-                    rows += [(doc[i], start[i] + a, b - a + size - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "len"])
-
-        held = 0
-        for pdf in batches:
-            pending.append(pdf)
-            held += len(pdf)
-            if held * 80 >= ROUND_BYTES:
-                t = pd.concat(pending, ignore_index=True)
-                last = t.h == t.h.iat[-1]
-                yield from search(t[~last])
-                # A segment stays once, under its first document; later equal ones are marked now.
-                rest = t[last]
-                first = ~rest.duplicated("seg")
-                owner = rest.groupby("seg").doc_id.transform("min")
-                again = rest[~first & (owner < rest.doc_id)]
-                yield pd.DataFrame({"doc_id": again.doc_id, "start": again.start, "len": again.seg.map(len)})
-                pending, held = [rest[first | (owner == rest.doc_id)]], 0
-        if pending:
-            yield from search(pd.concat(pending, ignore_index=True))
-
-    segs = docs.mapInPandas(cut, "h long, doc_id long, start long, seg binary")
-    return segs.repartition("h").sortWithinPartitions("h", "doc_id").mapInPandas(mark, "doc_id long, start long, len long")
+                rows += [(w["key"], doc, w["start"], raw[w["start"] : w["start"] + w["n"] + size - 1]) for w in wanted]
+            yield pd.DataFrame([r for r in rows if len(r[3]) >= size], columns=["key", "doc_id", "start", "bytes"])
+
+    segs = docs.join(wanted, "doc_id").mapInPandas(cut, "key long, doc_id long, start long, bytes binary")
+    return found.where("done").select("doc_id", "start", (F.col("n") + size - 1).cast("long").alias("len")).unionByName(compared(segs, size))
 
 
 def dedup(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
@@ -162,7 +249,13 @@ def dedup(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
     as far as their texts agree. Other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marks = repeats(docs, size).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("marks"))
+    # Whole copies of an earlier text need no search.
+    text_key, n = F.md5("text"), F.octet_length("text")
+    first = docs.groupBy(text_key.alias("k"), n.alias("len")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where(F.col("len") >= size)
+    keyed = docs.select("doc_id", text_key.alias("k"), n.cast("long").alias("len")).distinct()
+    copies = stored(keyed.join(first.where("copies > 1").select("k", "first"), "k").where("doc_id > first").select("doc_id", F.lit(0).cast("long").alias("start"), "len").distinct())
+    left = docs.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    marks = repeats(left, size).unionByName(copies).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("marks"))
 
     def apply(batches):
         for pdf in batches:
