@@ -67,53 +67,51 @@ def segments(texts: list[bytes], size: int = MIN_BYTES):
 
 
 def common_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and the class of equal prefixes of `least` symbols.
+    """Suffix order and the class of equal prefixes of `least` symbols; the last of the symbols, 0, is there once.
 
     Backward extension from the empty string, breadth first: all intervals of
     one length are extended by every symbol at once; a border found in round l
-    is a common prefix of l - 1. Rounds end at `least`. Symbols under 0 end
-    strings and equal nothing but their own place.
+    is a common prefix of l - 1. Rounds end at `least`.
     """
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while step < least:  # order by the first `least` symbols, which is all that the classes need
-        after = np.r_[rank[step:] + 1, np.zeros(min(step, n), np.int64)][:n]
+    n, step = len(text), 7
+    rank = np.zeros(n, np.int64)
+    for j in range(step):  # symbols of 9 bits
+        rank[: n - j] |= text[j:].astype(np.int64) << 9 * (step - 1 - j)
+    rank = np.unique(rank, return_inverse=True)[1]
+    while step < least and rank.max() < n - 1:  # order by the first `least` symbols, which is all that the classes need
+        after = np.zeros(n, np.int64)
+        after[: n - step] = rank[step:] + 1
         rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1]
         step *= 2
-        if rank.max() == n - 1:
-            break
     order = np.argsort(rank, kind="stable")
     bwt = text[order - 1]  # the symbol before each suffix; the first suffix wraps round
-    back = np.argsort(bwt, kind="stable")  # row of the suffix that is one symbol shorter
+    back = np.argsort(bwt, kind="stable").astype(np.int32)  # row of the suffix that is one symbol shorter
+    other = np.r_[True, np.diff(bwt[back]) != 0]
     border = np.zeros(n, bool)
     border[0] = True
     for _ in range(least):
-        cls = np.cumsum(border)
-        c, s = cls[back], bwt[back]
-        new = np.r_[True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])]
-        if (new == border).all() and _:
-            break
-        border = new | border
+        c = np.cumsum(border, dtype=np.int32)[back]
+        border |= other
+        border[1:] |= c[1:] != c[:-1]
     return order, np.cumsum(border) - 1
 
 
-def first_owner(parts: list[np.ndarray], owners: np.ndarray, size: int) -> list[np.ndarray]:
-    """For each string of `size` bytes of each part: the smallest owner among parts that hold it."""
-    lens = np.array([len(p) for p in parts])
-    ends = np.cumsum(lens + 1)
-    text = np.empty(int(ends[-1]), np.int64)
-    owner, place = np.empty(len(text), np.int64), np.zeros(len(text), bool)
-    for i, (p, e) in enumerate(zip(parts, ends, strict=True)):
-        a = int(e) - len(p) - 1
-        text[a : e - 1], text[e - 1] = p, -1 - i
-        owner[a:e] = owners[i]
-        place[a : a + len(p) - size + 1] = True
+def owned_runs(parts: list[bytes], owners: np.ndarray, size: int):
+    """Runs of strings of `size` bytes that a part with a smaller owner holds: number of the part, first place, bytes."""
+    lens = np.fromiter(map(len, parts), np.int64, len(parts))
+    part = np.repeat(np.arange(len(parts)), lens + 1)
+    place = np.arange(len(part)) - np.repeat(np.cumsum(lens + 1) - lens - 1, lens + 1)
+    text = np.full(len(part), 257, np.int16)  # bytes are 1 to 256, 257 ends a part
+    text[place < lens[part]] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int16) + 1
+    text[-1] = 0
     order, cls = common_prefixes(text, size)
+    owner = owners[part]
     least = np.minimum.reduceat(owner[order], np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]))
-    out = np.empty(len(text), np.int64)
-    out[order] = least[cls]
-    return [out[int(e) - len(p) - 1 :][: len(p) - size + 1] for p, e in zip(parts, ends, strict=True)]
+    on = np.empty(len(text), bool)
+    on[order] = least[cls] < owner[order]
+    edge = np.diff(np.r_[0, (on & (place + size <= lens[part])).view(np.int8), 0])
+    a, b = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    return part[a], place[a], b - a + size - 1
 
 
 def rows_of(docs: DataFrame, size: int) -> DataFrame:
@@ -202,20 +200,14 @@ def open_segments(rows: DataFrame, size: int) -> DataFrame:
 def compared(segs: DataFrame, size: int) -> DataFrame:
     """doc_id, start, len of strings that an earlier document's segment of the same anchor holds."""
     def search(t):
-        back, parts = pd.factorize(t.bytes)
-        doc, start = t.doc_id.to_numpy(), t.start.to_numpy()
-        group = pd.DataFrame({"key": t.key.to_numpy(), "part": back, "doc": doc})
-        no = group.groupby(["key", "part"], sort=False).ngroup().to_numpy()
-        head = np.flatnonzero(~pd.Series(no).duplicated().to_numpy())
-        owner = group.groupby(no).doc.min().to_numpy()
-        least = first_owner([np.frombuffer(parts[back[i]], np.uint8) for i in head], owner, size)
-        rows = []
-        for i, g in enumerate(no.tolist()):
-            on = least[g] < doc[i]
-            if on.any():
-                edge = np.flatnonzero(np.diff(np.r_[0, on.view(np.int8), 0]))
-                rows += [(doc[i], start[i] + a, b - a + size - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        return pd.DataFrame(rows, columns=["doc_id", "start", "len"])
+        no = t.assign(part=pd.factorize(t.bytes)[0]).groupby(["key", "part"], sort=False).ngroup().to_numpy()
+        head = np.unique(no, return_index=True)[1]
+        owner = t.doc_id.groupby(no).min().to_numpy()
+        part, a, n = owned_runs(t.bytes.to_numpy()[head].tolist(), owner, size)
+        found = pd.DataFrame({"no": no, "doc_id": t.doc_id.to_numpy(), "start": t.start.to_numpy()}).merge(pd.DataFrame({"no": part, "a": a, "len": n}), on="no")
+        later = owner[no] < t.doc_id.to_numpy()
+        whole = pd.DataFrame({"doc_id": t.doc_id[later], "start": t.start[later], "len": t.bytes[later].map(len)})
+        return pd.concat([found.assign(start=found.start + found.a)[["doc_id", "start", "len"]], whole])
 
     def work(t, rest):
         return [search(t)] if len(t) else [], rest
