@@ -39,3 +39,31 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("callee").alias("seed"), F.col("callee").alias("function_id")).distinct()
     reach = closure(ends, edges, "seed").select(F.col("seed").alias("callee"), F.col("function_id").alias("caller"))
     return edges.join(reach, ["caller", "callee"], "left_semi").select("caller", "callee")
+
+
+def external_callees(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """Distinct calls whose callee is not defined."""
+    return calls.join(functions.select(F.col("function_id").alias("callee")).distinct(), "callee", "left_anti").select("caller", "callee").distinct()
+
+
+def possible_functions(seeds: DataFrame, edges: DataFrame, calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """function_id of all that may run. Once a caller of undefined code runs, every function with external linkage may."""
+    start = seeds.select(F.lit(0).alias("any"), "function_id")
+    reached = closure(start, edges, "any").select("function_id")
+    opaque = external_callees(calls, functions).select(F.col("caller").alias("function_id"))
+    if reached.join(opaque, "function_id", "left_semi").isEmpty():
+        return reached
+    outside = functions.where("is_external").select(F.lit(0).alias("any"), "function_id")
+    return closure(start.unionByName(outside), edges, "any").select("function_id")
+
+
+def unreachable_functions(functions: DataFrame, possible: DataFrame, roots: DataFrame, unknowns: DataFrame, gap_kinds: list[str]) -> DataFrame:
+    """function_id that surely never runs: none if there is no root, or a gap of one of these kinds."""
+    if roots.isEmpty() or not unknowns.where(F.col("kind").isin(gap_kinds)).isEmpty():
+        return functions.select("function_id").limit(0)
+    return functions.select("function_id").join(possible, "function_id", "left_anti")
+
+
+def taint(unknowns: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind, function_id: kinds of uncertainty flow from each caller to its callees."""
+    return closure(unknowns.select("kind", "function_id"), edges, "kind").select("kind", "function_id")

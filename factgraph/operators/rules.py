@@ -37,3 +37,37 @@ def variable_rules(variables: DataFrame, accesses: DataFrame, bindings: DataFram
 def gap_groups(unknowns: DataFrame) -> DataFrame:
     """Per kind: rows, distinct functions, first line; the function only if there is exactly one."""
     return unknowns.groupBy("kind").agg(F.count("*").alias("n_rows"), F.count_distinct("function_id").alias("n_functions"), F.min("line").alias("first_line"), F.when(F.count_distinct("function_id") == 1, F.min("function_id")).alias("function_id"))
+
+
+def access_contexts(accesses: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Each access with the contexts of its function, sorted and comma-joined; '' if it has none."""
+    by_function = bindings.groupBy("function_id").agg(F.array_sort(F.collect_set("context_id")).alias("ids"))
+    return accesses.join(by_function, "function_id", "left").withColumn("contexts", F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit(""))).drop("ids")
+
+
+def context_pairs(accesses: DataFrame, bindings: DataFrame) -> DataFrame:
+    """symbol_id, first, second: pairs of contexts that access it. Contexts are few, so a symbol's list is short."""
+    per_symbol = accesses.select("symbol_id", "function_id").distinct().join(bindings.select("function_id", "context_id"), "function_id").groupBy("symbol_id").agg(F.array_sort(F.collect_set("context_id")).alias("ids"))
+    pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.filter("ids", lambda y: y > x), lambda y: F.struct(x.alias("first"), y.alias("second")))))
+    return per_symbol.select("symbol_id", F.inline(pairs))
+
+
+def entry_distance(accesses: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Shortest number of calls from an entry of each context to an access of each symbol."""
+    return accesses.select("symbol_id", "function_id").distinct().join(bindings, "function_id").groupBy("symbol_id", "context_id").agg(F.min("call_depth").alias("entry_distance"))
+
+
+def protection_evidence(accesses: DataFrame, events: DataFrame) -> DataFrame:
+    """symbol_id, function_id with the number of lock events in the function; 0 if none."""
+    counted = events.groupBy("function_id").agg(F.count("*").alias("n_events"))
+    return accesses.select("symbol_id", "function_id").distinct().join(counted, "function_id", "left").fillna(0, ["n_events"]).select("symbol_id", "function_id", "n_events")
+
+
+def merge_variables(rows: DataFrame) -> DataFrame:
+    """One row for each symbol from the rows of several units, in part_ord.
+
+    The first row gives the kind, the first with a definition gives the size; a failed parse of any unit stays.
+    """
+    return rows.groupBy("symbol_id").agg(
+        F.min_by("kind", "part_ord").alias("kind"), F.min_by("size_bytes", F.when(F.col("defined"), F.col("part_ord"))).alias("size_bytes"),
+        F.bool_or("parse_failed").alias("parse_failed"), F.count("*").alias("n_units"), (F.count_distinct("type") > 1).alias("type_variant"))

@@ -41,6 +41,13 @@ def findings_by_rule(spark, d):
     return _rules(spark, d).groupBy("rule").agg(F.count("*").alias("n_findings"))
 
 
+def _possible(spark, d):
+    return graph.possible_functions(facts.roots(spark, d), _edges(spark, d), facts.calls(spark, d), facts.functions(spark, d))
+
+
+#: Kinds of uncertainty that leave open what runs (those that occur among the derived facts).
+GAP_KINDS = ["EXTERNAL_ENTRY", "UNRESOLVED_CALL", "BUILD_INCOMPLETE"]
+
 QUERIES = {
     "call_graph_edges": _edges,
     "context_bindings": _bindings,
@@ -53,9 +60,22 @@ QUERIES = {
     "coverage_metrics": coverage_metrics,
     "gap_groups": lambda s, d: rules.gap_groups(facts.unknowns(s, d)),
     "file_manifest": file_manifest,
+    "external_callees": lambda s, d: graph.external_callees(facts.calls(s, d), facts.functions(s, d)),
+    "possible_functions": _possible,
+    "unreachable_functions": lambda s, d: graph.unreachable_functions(facts.functions(s, d), _possible(s, d), facts.roots(s, d), facts.unknowns(s, d), GAP_KINDS),
+    "taint": lambda s, d: graph.taint(facts.unknowns(s, d), _edges(s, d)),
+    "access_contexts": lambda s, d: rules.access_contexts(facts.accesses(s, d), _bindings(s, d)),
+    "context_pairs": lambda s, d: rules.context_pairs(facts.accesses(s, d), _bindings(s, d)),
+    "entry_distance": lambda s, d: rules.entry_distance(facts.accesses(s, d), _bindings(s, d)),
+    "protection_evidence": lambda s, d: rules.protection_evidence(facts.accesses(s, d), facts.protection_events(s, d)),
+    "merge_variables": lambda s, d: rules.merge_variables(facts.variable_parts(s, d)),
+    "scope_select": lambda s, d: facts.accesses(s, d).join(facts.variables(s, d).where("linkage = 'INTERNAL'"), "symbol_id", "left_semi"),
 }
 
 _WITH = f"WITH RECURSIVE {facts.CTE}"
+_WALK = """, walk(context_id, function_id, depth) AS (SELECT context_id, function_id, 0 FROM roots UNION SELECT w.context_id, e.callee, w.depth + 1 FROM walk w JOIN edges e ON w.function_id = e.caller WHERE w.depth < 40)"""
+_POSSIBLE = """, outside AS (SELECT caller, callee FROM calls WHERE callee NOT IN (SELECT function_id FROM functions)),
+may(function_id) AS (SELECT function_id FROM roots UNION SELECT function_id FROM functions WHERE is_external AND EXISTS (SELECT * FROM bound JOIN outside ON function_id = caller) UNION SELECT e.callee FROM may m JOIN edges e ON m.function_id = e.caller)"""
 _RW = """, rw AS (SELECT symbol_id, count(DISTINCT CASE WHEN access_kind IN ('READ', 'RMW') THEN context_id END) AS n_readers, count(DISTINCT CASE WHEN access_kind IN ('WRITE', 'RMW') THEN context_id END) AS n_writers,
   count(DISTINCT context_id) AS n_contexts, bool_or(access_kind = 'RMW') AS rmw, bool_or(access_kind = 'ADDRESS_TAKEN') AS addr FROM accesses JOIN bound USING (function_id) GROUP BY symbol_id)"""
 _RULES = _RW + """, v AS (SELECT variables.*, coalesce(n_writers, 0) AS nw, coalesce(n_contexts, 0) >= 2 AND coalesce(n_writers, 0) > 0 AS written, coalesce(rmw, false) AS rmw, coalesce(addr, false) AS addr FROM variables LEFT JOIN rw USING (symbol_id)),
@@ -76,4 +96,14 @@ SQL = {
     "coverage_metrics": f"{_WITH} SELECT count(*) AS total, count(*) FILTER (parse_failed) AS failed, round(100 * count(*) FILTER (NOT parse_failed) / greatest(count(*), 1), 2) AS parsed_percent FROM variables",
     "gap_groups": f"{_WITH} SELECT kind, count(*) AS n_rows, count(DISTINCT function_id) AS n_functions, min(line) AS first_line, CASE WHEN count(DISTINCT function_id) = 1 THEN min(function_id) END AS function_id FROM unknowns GROUP BY kind",
     "file_manifest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "external_callees": f"{_WITH} SELECT DISTINCT caller, callee FROM calls WHERE callee NOT IN (SELECT function_id FROM functions)",
+    "possible_functions": f"{_WITH}{_POSSIBLE} SELECT function_id FROM may",
+    "unreachable_functions": f"{_WITH}{_POSSIBLE} SELECT function_id FROM functions WHERE function_id NOT IN (SELECT function_id FROM may) AND EXISTS (SELECT * FROM roots) AND NOT EXISTS (SELECT * FROM unknowns WHERE kind IN ({', '.join(map(repr, GAP_KINDS))}))",
+    "taint": f"{_WITH}, flow(kind, function_id) AS (SELECT DISTINCT kind, function_id FROM unknowns UNION SELECT f.kind, e.callee FROM flow f JOIN edges e ON f.function_id = e.caller) SELECT kind, function_id FROM flow",
+    "access_contexts": f"{_WITH} SELECT a.*, coalesce(contexts, '') AS contexts FROM accesses a LEFT JOIN (SELECT function_id, string_agg(context_id::VARCHAR, ',' ORDER BY context_id) AS contexts FROM bound GROUP BY function_id) USING (function_id)",
+    "context_pairs": f"{_WITH}, used AS (SELECT DISTINCT symbol_id, context_id FROM accesses JOIN bound USING (function_id)) SELECT x.symbol_id, x.context_id AS first, y.context_id AS second FROM used x JOIN used y ON x.symbol_id = y.symbol_id AND x.context_id < y.context_id",
+    "entry_distance": f"{_WITH}{_WALK} SELECT symbol_id, context_id, min(depth)::INTEGER AS entry_distance FROM accesses JOIN walk USING (function_id) GROUP BY symbol_id, context_id",
+    "protection_evidence": f"{_WITH} SELECT symbol_id, function_id, (SELECT count(*) FROM events WHERE event_type = 'click' AND user_id = function_id) AS n_events FROM (SELECT DISTINCT symbol_id, function_id FROM accesses)",
+    "merge_variables": f"{_WITH} SELECT symbol_id, arg_min(kind, part_ord) AS kind, arg_min(size_bytes, part_ord) FILTER (defined) AS size_bytes, bool_or(parse_failed) AS parse_failed, count(*) AS n_units, count(DISTINCT type) > 1 AS type_variant FROM variable_parts GROUP BY symbol_id",
+    "scope_select": f"{_WITH} SELECT * FROM accesses WHERE symbol_id IN (SELECT symbol_id FROM variables WHERE linkage = 'INTERNAL')",
 }

@@ -51,6 +51,18 @@ def unknowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.upper("event_type").alias("kind"), F.col("user_id").alias("function_id"), (F.col("event_id") % 100).alias("line"))
 
 
+def protection_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("function_id"))
+
+
+def variable_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables as two units see them."""
+    key, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    columns = lambda no, size, defined, failed: [F.concat(F.lit("P"), key).alias("symbol_id"), F.lit(no).alias("part_ord"), F.col("p_brand").alias("kind"), size.alias("size_bytes"), F.substring("p_type", 1, 3 + 2 * no).alias("type"), defined.alias("defined"), failed.alias("parse_failed")]
+    first = part.select(columns(0, F.col("p_size"), key % 3 != 0, key % 97 == 0))
+    return first.union(part.where("p_partkey % 2 = 0").select(columns(1, F.col("p_size") + 1, F.lit(True), key % 89 == 0)))
+
+
 #: The same facts as common table expressions.
 CTE = """
 variables AS (SELECT 'P' || p_partkey AS symbol_id, CASE p_partkey % 3 WHEN 0 THEN 'GLOBAL' WHEN 1 THEN 'FILE_STATIC' ELSE 'LOCAL_STATIC' END AS kind, p_size AS size_bytes,
@@ -62,6 +74,8 @@ o AS (SELECT o_custkey, (o_custkey * 31 + o_orderkey * 17) % (SELECT count(*) FR
 calls AS (SELECT o_custkey AS caller, callee FROM o UNION SELECT callee, o_custkey FROM o WHERE o_custkey % 5 = 0),
 roots AS (SELECT n_regionkey AS context_id, c_custkey AS function_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0),
 unknowns AS (SELECT upper(event_type) AS kind, user_id AS function_id, event_id % 100 AS line FROM events),
+variable_parts AS (SELECT 'P' || p_partkey AS symbol_id, 0 AS part_ord, p_brand AS kind, p_size AS size_bytes, substr(p_type, 1, 3) AS type, p_partkey % 3 <> 0 AS defined, p_partkey % 97 = 0 AS parse_failed FROM part
+  UNION ALL SELECT 'P' || p_partkey, 1, p_brand, p_size + 1, substr(p_type, 1, 5), true, p_partkey % 89 = 0 FROM part WHERE p_partkey % 2 = 0),
 edges AS (SELECT caller, callee FROM calls WHERE callee IN (SELECT function_id FROM functions)),
 bound AS (SELECT context_id, function_id FROM roots UNION SELECT b.context_id, e.callee FROM bound b JOIN edges e ON b.function_id = e.caller)
 """
