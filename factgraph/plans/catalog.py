@@ -45,8 +45,11 @@ def _possible(spark, d):
     return graph.possible_functions(facts.roots(spark, d), _edges(spark, d), facts.calls(spark, d), facts.functions(spark, d))
 
 
-#: Kinds of uncertainty that leave open what runs (those that occur among the derived facts).
-GAP_KINDS = ["EXTERNAL_ENTRY", "UNRESOLVED_CALL", "BUILD_INCOMPLETE"]
+#: Kinds of uncertainty that leave open what runs. The derived facts hold none of them.
+GAP_KINDS = [
+    "PARSE_FAILED", "POINTS_TO_LIMIT", "INLINE_ASSEMBLY", "CPP_SEMANTICS_REVIEW", "MULTIPLE_BUILD_VARIANTS", "SOURCE_CHANGED_DURING_SCAN", "HEADER_CHANGED_DURING_SCAN", "UNMATCHED_CONTEXT",
+    "UNRESOLVED_CONFIG_CALL", "UNRESOLVED_TASK_ENTRY", "CMSIS_V1_TASK_ENTRY", "UNRESOLVED_REGISTERED_ENTRY", "UNMATCHED_ENTRY_REGISTRATION", "ASSEMBLY_SOURCE_REVIEW", "BUILD_INCOMPLETE",
+]
 
 QUERIES = {
     "call_graph_edges": _edges,
