@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BUCKETS, BROADCAST_IDS, OFFERS, KNOWN_WORDS, PAIRS_AT_ONCE = 1 << 16, 1_000_000, 3, 200_000, 500_000
+BUCKETS, BROADCAST_IDS, OFFERS, PAIRS_AT_ONCE = 1 << 16, 1_000_000, 3, 500_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -20,41 +20,79 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Words(dict):
-    """Hash numbers of words; forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word) - (1 << 63)
-        return h
-
-
-def shingles(text: str | None, k: int, words: Words) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; fewer words make one.
-
-    lower() and split() of bytes know ASCII letters and white space only.
-    """
-    own = text.encode().lower().split() if text else []
-    if not own:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, own), np.int64, len(own)).view(np.uint64)
-    n = max(1, len(h) - k + 1)
-    out = np.full(n, min(len(h), k), np.uint64)
-    for j in range(min(k, len(h))):
-        out = mix(out * ODD[0] + h[j : j + n] * ODD[1] + ODD[2])
-    return np.unique(out)
+# The hash of a word is a polynomial of its bytes' random numbers, in wrapping 64-bit arithmetic.
+BASE, CHUNK_BYTES = 0x9E3779B97F4A7C13, 1 << 19
+POWERS = [np.cumprod(np.full(1 << 12, x, np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64))]
+BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
+BYTE_VALUES[65:91] = BYTE_VALUES[97:123]
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """BASE and its inverse to the 1st, 2nd, ... nth at least; kept by the worker, as long as its longest chunk."""
+    while len(POWERS[0]) < n:
+        POWERS[:] = [np.concatenate([p, p * p[-1]]) for p in POWERS]
+    return POWERS
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of data; A-Z count as a-z, white space is ASCII only."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~SPACES[raw]
+    turns = np.flatnonzero(np.diff(inside))
+    start, end = turns[::2], turns[1::2]
+    up, down = powers(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start]), start
+
+
+def chunks(texts):
+    """Lists of texts as bytes, about CHUNK_BYTES at a time; a longer text is one of its own."""
+    some, size = [], 0
+    for t in texts:
+        t = t.encode() if t else b""
+        if some and size + len(t) > CHUNK_BYTES:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t) + 1
+    if some:
+        yield some
+
+
+def shingle_sets(texts, k: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's k-word shingles; fewer words make one."""
+    out = []
+    for some in chunks(texts):
+        h, start = word_hashes(b"\n".join(some))
+        ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in some]))
+        full = np.full(max(0, len(h) - k + 1), k, np.uint64)
+        for j in range(k):
+            full = mix(full * ODD[0] + h[j : j + len(full)] * ODD[1] + ODD[2])
+        first = 0
+        for last in ends.tolist():
+            s = full[first : last - k + 1] if last - first >= k else _short(h[first:last])
+            s = np.sort(s)
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s)
+            first = last
+    return out
 
 
-def _sets(pdf: pd.DataFrame, k: int, words: Words):
-    return [shingles(t, k, words) for t in pdf.text]
+def _short(h: np.ndarray) -> np.ndarray:
+    """The one shingle of fewer words than a shingle has; none of no words."""
+    out = np.full(min(1, len(h)), len(h), np.uint64)
+    for j in range(len(h)):
+        out = mix(out * ODD[0] + h[j : j + 1] * ODD[1] + ODD[2])
+    return out
 
 
 def summaries(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        words = Words()
         for pdf in batches:
-            sets = _sets(pdf, k, words)
+            sets = shingle_sets(pdf.text, k)
             yield pd.DataFrame({"doc_id": pdf.doc_id, "n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
 
     return docs.mapInPandas(run, "doc_id long, n long, key binary")
@@ -63,9 +101,9 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """Class of each of BUCKETS hash buckets by the shingles in it: an order of fixed size in which frequent shingles come late."""
     def run(batches):
-        total, words = np.zeros(BUCKETS, np.int64), Words()
+        total = np.zeros(BUCKETS, np.int64)
         for pdf in batches:
-            for s in _sets(pdf, k, words):
+            for s in shingle_sets(pdf.text, k):
                 total += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
@@ -79,10 +117,9 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 def tile_rows(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
     """A row for each prefix shingle of a set: two linked sets share one, as they differ in few."""
     def run(batches):
-        words = Words()
         for pdf in batches:
             parts = []
-            for doc, s in zip(pdf.doc_id, _sets(pdf, k, words), strict=True):
+            for doc, s in zip(pdf.doc_id, shingle_sets(pdf.text, k), strict=True):
                 n = len(s)
                 if not n:
                     continue
@@ -155,11 +192,9 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
-        words = Words()
         for pdf in batches:
             keep = []
-            for ta, tb in zip(pdf.ta, pdf.tb, strict=True):
-                x, y = shingles(ta, k, words), shingles(tb, k, words)
+            for x, y in zip(shingle_sets(pdf.ta, k), shingle_sets(pdf.tb, k), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]
