@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-BUCKETS, BROADCAST_IDS, OFFERS, PAIRS_AT_ONCE = 1 << 16, 1_000_000, 3, 500_000
+BUCKETS, BROADCAST_IDS, PAIRS_AT_ONCE = 1 << 16, 1_000_000, 500_000
+#: Partners that a row tries first, as rows before it in its tile; further ones differ from tile to tile.
+OFFERS = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233)
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -136,19 +139,20 @@ def tile_rows(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
     return docs.mapInPandas(run, "token long, doc_id long, n int, pos int, s0 long, s1 long")
 
 
-def tile_pairs(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
+def tile_pairs(rows: DataFrame, percent: int, few: bool) -> DataFrame:
     """Pairs that pass the size, place and bitmap bounds. Rows of a tile come by size; a band of sizes is held.
 
-    one_each: partners among the OFFERS rows before only, and one for each document; else all of another component.
+    few: partners at the distances of OFFERS only, and as many for each document; else all of another component.
     """
     def pairs(t):
-        """Each row against the 1st, 2nd, ... row before it, for all rows at once, until its tile or band ends."""
+        """Each row against the rows before it, at one distance for all rows at once, until its tile or band ends."""
         token, n, pos, doc, comp, old = (t[c].to_numpy() for c in ("token", "n", "pos", "doc_id", "comp", "old"))
         n, s0, s1 = n.astype(np.int64), t.s0.to_numpy(np.int64).view(np.uint64), t.s1.to_numpy(np.int64).view(np.uint64)
-        i, step, found = np.flatnonzero(~old), 0, []
-        while len(i) and not (one_each and step == OFFERS):
-            step += 1
+        i, found = np.flatnonzero(~old), []
+        for step in OFFERS if few else itertools.count(1):
             i = i[i >= step]
+            if not len(i):
+                break
             j = i - step
             near = (token[i] == token[j]) & (n[j] * 100 >= n[i] * percent)
             i, j = i[near], j[near]
@@ -174,12 +178,14 @@ def tile_pairs(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
                 yield pd.DataFrame({"a": out[0], "b": out[1]})
             last = pdf[pdf.token == pdf.token.iat[-1]]
             held = last[last.n * 100 >= last.n.iat[-1] * percent].assign(old=True)
+            held = held.tail(OFFERS[-1]) if few else held
 
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    found = dealt.mapInPandas(run, "a long, b long")
-    if one_each:
-        return found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    return found.distinct()
+    found = dealt.mapInPandas(run, "a long, b long").distinct()
+    if few:
+        order = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a")
+        found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= len(OFFERS)).drop("nth")
+    return found
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -231,7 +237,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     with nothing. Rows that repeat a doc_id are joined to one component by it,
     and each gives a row. Other columns are left out; an empty table gives none.
 
-    First every set offers one partner that passes the bounds; then, in tiles
+    First every set tries a few partners that pass the bounds; then, in tiles
     that still hold several components, all pairs between these are verified, so
     no link is lost while a group of near copies is not spelled out in pairs.
     """
@@ -249,7 +255,9 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     comp = stored(components(links))
     labelled = rows.join(F.broadcast(comp) if comp.count() <= BROADCAST_IDS else comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    more = stored(verify(tile_pairs(labelled.join(mixed, "token", "left_semi"), percent, False), single, k, percent))
+    # Written first: right after a join on token the planner drops the tiles' own shuffle and may then read the join's rows in another order.
+    tiles = stored(labelled.join(mixed, "token", "left_semi"))
+    more = stored(verify(tile_pairs(tiles, percent, False), single, k, percent))
     comp = stored(components(links.union(more)))
     return member.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
