@@ -49,6 +49,18 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_shingle_sets():
+    """As many shingles as distinct word triples, whatever shares a chunk; equal sets for equal words only."""
+    cases = [None, "", " \t", "A", "a b", "a B\nc", "a  b\tc d", "d a b c", "b a c", "a c b", "x" * 70_000 + " y z", *texts(), " ".join(f"w{i % 977}q{i % 31}" for i in range(120_000))]
+    got, seen = ngram_join.shingle_sets(cases, 3), {}
+    for t, s in zip(cases, got, strict=True):
+        w = t.encode().lower().split() if t else []
+        want = frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset()
+        assert len(s) == len(want) and np.all(s[1:] > s[:-1])
+        assert seen.setdefault(s.tobytes(), want) == want
+    assert len(seen) == len(set(seen.values()))
+
+
 def test_ngram_join(docs, empty):
     sets = []
     for t in texts():
