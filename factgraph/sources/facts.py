@@ -28,15 +28,15 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "R", "READ").when(F.col("l_returnflag") == "A", "WRITE").when(F.col("l_linestatus") == "F", "RMW").otherwise("ADDRESS_TAKEN")
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 23 = 0").select("l_orderkey", "l_partkey", "l_linenumber", kind.alias("access_kind"))
-    owners = table(spark, sf_dir, "orders").where("o_orderkey % 23 = 0").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", kind.alias("access_kind"))
+    owners = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat(F.lit("P"), "l_partkey").alias("symbol_id"), F.col("o_custkey").alias("function_id"), "access_kind", F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("offset"))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "customer").agg(F.count("*").alias("n")).select("n").scalar()
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 13 = 0").withColumn("callee", (F.col("o_custkey") * 31 + F.col("o_orderkey") * 17) % n)
+    o = table(spark, sf_dir, "orders").withColumn("callee", (F.col("o_custkey") * 31 + F.col("o_orderkey") * 17) % n)
     back = o.where("o_custkey % 5 = 0").select(F.col("callee").alias("caller"), F.col("o_custkey").alias("callee"))
     return o.select(F.col("o_custkey").alias("caller"), "callee").union(back).distinct()
 
