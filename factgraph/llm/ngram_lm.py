@@ -14,7 +14,10 @@ from .common import local_path, shared_dir, stored
 from .language_id import held_out
 
 END = b"\n"  # no word holds it
-SHARDS, DISCOUNT, MIN_PAIR, STEP = 16, 0.75, 2, 12 / 65535
+DISCOUNT, STEP = 0.75, 12 / 65535
+#: A task's group holds about so many rows; the number of shards follows from the counted ones.
+LEAST_SHARDS, SHARD_ROWS = 16, 1 << 22
+PART_BYTES = 1 << 23  # of text at once
 
 
 class EliasFano:
@@ -105,63 +108,85 @@ class Batch:
         self.keys = np.fromiter(map(key_of, self.words), np.uint64, len(self.words))
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of tokens that have a token before them in their text."""
-        follows = np.ones(len(self.tokens), bool)
-        follows[self.starts] = False
-        return np.flatnonzero(follows), follows
+    def after(self, n: int) -> np.ndarray:
+        """Places of tokens that have n tokens before them in their text."""
+        return np.flatnonzero(np.arange(len(self.tokens)) - np.repeat(self.starts, self.sizes) >= n)
 
 
 class Trie:
-    """Level 1: words in hash order; level 2: successors of each word. Only their pages that searches touch are read."""
+    """Level 1: words in hash order; level 2: successors of each word; level 3: successors of each pair, in the pair's shard.
 
-    def __init__(self, path: str, pairs: bool = True):
-        self.words = [EliasFano(f"{path}/w{s}") if os.path.exists(f"{path}/w{s}.head.npy") else None for s in range(SHARDS)]
+    A pointer of level 2 or 3 is at the place of its context in the level above. Only pages that searches touch are read.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.opened = path, {}
+        self.bits, self.shards = (int(x) for x in np.load(f"{path}/shape.npy"))
+        n = range(1 << self.bits)
+        self.words = [EliasFano(f"{path}/w{s}") if os.path.exists(f"{path}/w{s}.head.npy") else None for s in n]
         self.counts = [np.load(f"{path}/w{s}.count.npy", mmap_mode="r") if w else None for s, w in enumerate(self.words)]
         self.offset = np.concatenate([[0], np.cumsum([w.n if w else 0 for w in self.words])])
-        self.path, self.pairs = path, {}
-        if pairs:
-            for s in range(SHARDS):
-                if os.path.exists(f"{path}/p{s}.prob.npy"):
-                    self.pairs[s] = (EliasFano(f"{path}/p{s}.context"), EliasFano(f"{path}/p{s}.pointer"), EliasFano(f"{path}/p{s}.next"), np.load(f"{path}/p{s}.back.npy", mmap_mode="r"), np.load(f"{path}/p{s}.prob.npy", mmap_mode="r"))
+
+    def level(self, k: int, s: int):
+        """Pointers, successors, back-off weights and probabilities of a shard; None if it has none."""
+        if (k, s) not in self.opened:
+            at = f"{self.path}/l{k}.{s}"
+            self.opened[k, s] = (EliasFano(f"{at}.pointer"), EliasFano(f"{at}.next"), np.load(f"{at}.back.npy", mmap_mode="r"), np.load(f"{at}.prob.npy", mmap_mode="r")) if os.path.exists(f"{at}.prob.npy") else None
+        return self.opened[k, s]
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1: unknown) and count of each word."""
         ids, counts = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        shard = (keys >> np.uint64(60)).astype(np.int64)
-        for s, ef in enumerate(self.words):
-            at = np.flatnonzero(shard == s)
-            if ef is not None and len(at):
-                x = keys[at] & np.uint64((1 << 60) - 1)
-                found = ef.find(x, np.zeros(len(at)), np.full(len(at), ef.n))
+        low = np.uint64(64 - self.bits)
+        for s, at in by_shard((keys >> low).astype(np.int64)):
+            if (ef := self.words[s]) is not None:
+                found = ef.find(keys[at] & np.uint64((1 << int(low)) - 1), np.zeros(len(at)), np.full(len(at), ef.n))
                 ok = found >= 0
                 ids[at[ok]], counts[at[ok]] = found[ok] + self.offset[s], self.counts[s][found[ok]]
         return ids, counts
 
-    def follow(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted probability of word after context, and the weight left for the lower order."""
-        p, back = np.zeros(len(context)), np.ones(len(context))
-        for s, (ctx, pointer, nxt, backs, probs) in self.pairs.items():
-            at = np.flatnonzero((context % SHARDS == s) & (context >= 0))
-            if not len(at):
+    def follow(self, k: int, shard: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Discounted probability of word after the context at a place of a shard (-1: unknown), the weight left for the lower order, the place found or -1."""
+        p, back, place = np.zeros(len(word)), np.ones(len(word)), np.full(len(word), -1, np.int64)
+        for s, at in by_shard(np.where(context >= 0, shard, -1)):
+            if s < 0 or self.level(k, s) is None:
                 continue
-            c = ctx.find(context[at].astype(np.uint64), np.zeros(len(at)), np.full(len(at), ctx.n))
-            at, c = at[c >= 0], c[c >= 0]
-            back[at] = 10 ** (-STEP * backs[c])
-            known = word[at] >= 0
-            at, c = at[known], c[known]
-            x = c.astype(np.uint64) * np.uint64(int(self.offset[-1])) + word[at].astype(np.uint64)
-            place = nxt.find(x, pointer.get(c), pointer.get(c + 1))
-            hit = place >= 0
-            p[at[hit]] = 10 ** (-STEP * probs[place[hit]])
-        return p, back
-
-
-def train(docs: DataFrame, min_pair: int = MIN_PAIR, discount: float = DISCOUNT) -> tuple[str, int, int]:
+            pointer, nxt, backs, probs = self.level(k, s)
+            back[at] = 10 ** (-STEP * backs[context[at]])
+            at = at[word[at] >= 0]
+            c = context[at]
+            found = nxt.find(c.astype(np.uint64) * np.uint64(int(self.offset[-1])) + word[at].astype(np.uint64), pointer.get(c), pointer.get(c + 1))
+            hit = found >= 0
+            place[at] = found
+            p[at[hit]] = 10 ** (-STEP * probs[found[hit]])
+        return p, back, place
+
+    def follow_pairs(self, first: np.ndarray, second: np.ndarray):
+        """follow() of words after words, by number, with the shard of each."""
+        shard = np.where(first >= 0, first % self.shards, -1)
+        return shard, *self.follow(2, shard, np.where(first >= 0, first // self.shards, -1), second)
+
+
+def parts(batches):
+    """The batches in runs of rows of about PART_BYTES of text."""
+    for pdf in batches:
+        part = np.cumsum(pdf.text.str.len().to_numpy()) // PART_BYTES
+        for rows in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(part)) + 1):
+            if len(rows):
+                yield pdf.iloc[rows]
+
+
+def by_shard(shard: np.ndarray):
+    """Each shard with the places that hold it."""
+    order = np.argsort(shard, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ():
+        yield int(shard[at[0]]), at
+
+
+def train(docs: DataFrame, discount: float = DISCOUNT) -> tuple[str, int, int]:
     """Counts every training text and writes the trie's levels to the shared folder; returns its path, N and V.
 
-    Words count exactly; pairs below min_pair keep only their share of the
-    weight that is passed to the lower order. Shards are written by tasks under
+    Words, pairs and triples all count exactly. Shards are written by tasks under
     a name of their own and renamed, so a repeated task leaves the same files.
     """
     path = local_path(shared_dir(docs.sparkSession))
@@ -193,41 +218,57 @@ def train(docs: DataFrame, min_pair: int = MIN_PAIR, discount: float = DISCOUNT)
         return pd.DataFrame({"shard": [s], "n": [int(pdf.n.sum())], "v": [len(pdf)]})
 
     counts = stored(texts.mapInPandas(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    split = counts.select(F.shiftrightunsigned("key", 60).cast("int").alias("shard"), F.col("key").bitwiseAND((1 << 60) - 1).alias("low"), "n")
-    n_all, vocab = split.groupBy("shard").applyInPandas(write_words, "shard int, n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-
-    def pairs(batches):
-        trie = Trie(path, pairs=False)
-        for pdf in batches:
-            b = Batch(pdf.text)
-            ids, _ = trie.look_up(b.keys)
-            at, _ = b.pairs()
-            key, n = np.unique(ids[b.tokens[at - 1]] << 32 | ids[b.tokens[at]], return_counts=True)
-            yield pd.DataFrame({"pair": key, "n": n.astype(np.int32)})
-
-    def write_pairs(key, pdf):
-        s, pdf = int(key[0]), pdf.sort_values(["context", "word"])
-        context, first, inverse = np.unique(pdf.context.to_numpy(np.int64), return_index=True, return_inverse=True)
-        n = pdf.n.to_numpy(np.float64)
-        total = np.bincount(inverse, n)
-        keep = pdf.word.to_numpy() >= 0
-        share = np.maximum(n - discount, 0) / total[inverse]
-
-        def write(own):
-            EliasFano.write(f"{own}/p{s}.context", context)
-            EliasFano.write(f"{own}/p{s}.pointer", np.concatenate([[0], np.cumsum(np.bincount(inverse[keep], minlength=len(context)))]))
-            EliasFano.write(f"{own}/p{s}.next", inverse[keep].astype(np.uint64) * np.uint64(vocab) + pdf.word.to_numpy()[keep].astype(np.uint64))
-            np.save(f"{own}/p{s}.back.npy", quantise(1 - np.bincount(inverse[keep], share[keep], minlength=len(context))))
-            np.save(f"{own}/p{s}.prob.npy", quantise(share[keep]))
-
-        save(f"p{s}", write)
-        return pd.DataFrame({"shard": [s]})
-
-    counted = texts.mapInPandas(pairs, "pair long, n int").groupBy("pair").agg(F.sum("n").alias("n"))
-    # Rare pairs meet in one row for each context, under word -1, so that only their mass goes on.
-    word = F.when(F.col("n") >= min_pair, F.col("pair").bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(-1))
-    rows = counted.select(F.shiftright("pair", 32).alias("context"), word.alias("word"), "n").groupBy("context", "word").agg(F.sum("n").alias("n"))
-    rows.groupBy((F.col("context") % SHARDS).cast("int").alias("shard")).applyInPandas(write_pairs, "shard int").count()
+    n_words, n_all = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = (max(LEAST_SHARDS, -(-n_words // SHARD_ROWS)) - 1).bit_length()
+    shards = max(LEAST_SHARDS, -(-int(n_all) // SHARD_ROWS))  # there are no more distinct pairs or triples than tokens
+    np.save(f"{path}/shape.npy", np.array([bits, shards]))
+    split = counts.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("shard"), F.col("key").bitwiseAND((1 << 64 - bits) - 1).alias("low"), "n")
+    vocab = split.groupBy("shard").applyInPandas(write_words, "shard int, n long, v long").agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+
+    def followed(k: int):
+        def run(batches):
+            trie = Trie(path)
+            for pdf in parts(batches):
+                b = Batch(pdf.text)
+                ids = trie.look_up(b.keys)[0][b.tokens]
+                at = b.after(k - 1)
+                context, word = ids[at - 1], ids[at]
+                shard, context = context % shards, context // shards
+                if k == 3:
+                    pair, inverse = np.unique(ids[at - 2] << 32 | ids[at - 1], return_inverse=True)
+                    shard, _, _, place = trie.follow_pairs(pair >> 32, pair & 0xFFFFFFFF)
+                    shard, context = shard[inverse], place[inverse]
+                key = context << 32 | word
+                order = np.lexsort((key, shard))
+                shard, key = shard[order], key[order]
+                head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])]) if len(key) else order
+                yield pd.DataFrame({"shard": shard[head].astype(np.int32), "key": key[head], "n": np.diff(np.r_[head, len(key)]).astype(np.int32)})
+
+        return run
+
+    def write_level(k: int):
+        def run(key, pdf):
+            s, pdf = int(key[0]), pdf.sort_values("key")
+            own_key, n = pdf.key.to_numpy(np.int64), pdf.n.to_numpy(np.float64)
+            context, word = own_key >> 32, own_key & 0xFFFFFFFF
+            above = -(-(vocab - s) // shards) if k == 2 else EliasFano(f"{path}/l2.{s}.next").n
+            share = np.maximum(n - discount, 0) / np.bincount(context, n, above)[context]
+
+            def write(own):
+                EliasFano.write(f"{own}/l{k}.{s}.pointer", np.concatenate([[0], np.cumsum(np.bincount(context, minlength=above))]))
+                EliasFano.write(f"{own}/l{k}.{s}.next", context.astype(np.uint64) * np.uint64(vocab) + word.astype(np.uint64))
+                np.save(f"{own}/l{k}.{s}.back.npy", quantise(1 - np.bincount(context, share, above)))
+                np.save(f"{own}/l{k}.{s}.prob.npy", quantise(share))
+
+            save(f"l{k}.{s}", write)
+            return pd.DataFrame({"shard": [s]})
+
+        return run
+
+    for k in (2, 3):
+        # Batches have counted their own; dealing by shard first serves the sum and the writing.
+        rows = texts.mapInPandas(followed(k), "shard int, key long, n int").repartition("shard").groupBy("shard", "key").agg(F.sum("n").alias("n"))
+        rows.groupBy("shard").applyInPandas(write_level(k), "shard int").count()
     return path, int(n_all), int(vocab)
 
 
@@ -237,14 +278,20 @@ def score(docs: DataFrame, model: tuple[str, int, int]) -> DataFrame:
 
     def run(batches):
         trie = Trie(path)
-        for pdf in batches:
+        for pdf in parts(batches):
             b = Batch(pdf.text)
             ids, counts = trie.look_up(b.keys)
             base = ((counts + 0.1) / (n_all + 0.1 * (vocab + 1)))[b.tokens]
             prob = base.copy()
-            at, _ = b.pairs()
+            at = b.after(1)
             key, inverse = np.unique(b.tokens[at - 1] << 32 | b.tokens[at], return_inverse=True)
-            p, back = trie.follow(ids[key >> 32], ids[key & 0xFFFFFFFF])
+            shard, p, back, place = trie.follow_pairs(ids[key >> 32], ids[key & 0xFFFFFFFF])
+            prob[at] = p[inverse] + back[inverse] * prob[at]
+            pair = np.zeros(len(b.tokens), np.int64)
+            pair[at] = inverse
+            at = b.after(2)
+            key, inverse = np.unique(pair[at - 1] << 32 | b.tokens[at], return_inverse=True)
+            p, back, _ = trie.follow(3, shard[key >> 32], place[key >> 32], ids[key & 0xFFFFFFFF])
             prob[at] = p[inverse] + back[inverse] * prob[at]
             sums = lambda x: np.add.reduceat(x, b.starts)
             yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out, "n_tokens": b.sizes, "n_known": sums((counts[b.tokens] > 0).astype(np.int64)), "train_tokens": n_all, "base_score": sums(np.log10(base)), "score": sums(np.log10(prob))})

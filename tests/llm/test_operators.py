@@ -1,7 +1,10 @@
 """Operators against brute force on small fixtures with nulls, empty texts, copies and clashing columns."""
 
+import math
 import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -135,6 +138,33 @@ def test_language_model_beats_base_on_held_out(spark):
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_language_model_equals_counts(spark, docs, empty):
+    """Every pair and triple counts, also those seen once; unseen contexts leave all weight to the lower order."""
+    rng, rows = random.Random(5), [(i, t) for i, t in enumerate(texts())]
+    rows += [(100 + i, " ".join(rng.choices([f"w{j}" for j in range(30)], k=rng.randint(0, 60)))) for i in range(60)]
+    lines = [(i, (t or "").encode().lower().split() + [b"\n"], zlib.crc32(str(i).encode()) % 10 == 0) for i, t in rows]
+    grams = [Counter(tuple(w[i : i + k]) for _, w, held in lines if not held for i in range(len(w) - k + 1)) for k in (1, 2, 3)]
+    n_all, vocab = sum(grams[0].values()), len(grams[0])
+    after = [defaultdict(list), defaultdict(list)]
+    for k in (1, 2):
+        for g, n in grams[k].items():
+            after[k - 1][g[:-1]].append(n)
+
+    def prob(g):
+        if len(g) == 1:
+            return (grams[0][g] + 0.1) / (n_all + 0.1 * (vocab + 1))
+        seen = after[len(g) - 2].get(g[:-1])
+        return prob(g[1:]) if not seen else (max(grams[len(g) - 1][g] - 0.75, 0) + 0.75 * len(seen) * prob(g[1:])) / sum(seen)
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_lm.score(frame, ngram_lm.train(frame)).collect()}
+    assert any(held for _, _, held in lines) and len(got) == len(rows)
+    for i, w, held in lines:
+        assert (got[i].held_out, got[i].n_tokens, got[i].train_tokens) == (held, len(w), n_all)
+        assert abs(got[i].score - sum(math.log10(prob(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w)))) < 3e-4 * len(w)
+    assert ngram_lm.score(docs, ngram_lm.train(empty)).count() == len(texts())
+
+
 def test_language_id_held_out(spark, docs):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     net = language_id.train(rows)
