@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MIN_BYTES, ROUND_BYTES, CHUNK_BYTES, HELD_ROWS = 50, 1 << 20, 1 << 18, 500_000
+LAST = (1 << 63) - 1  # stands for a null doc_id
 MULT = np.uint64(0x9E3779B97F4A7C15)
 BYTE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -115,30 +116,30 @@ def owned_runs(parts: list[bytes], owners: np.ndarray, size: int):
 
 
 def rows_of(docs: DataFrame, size: int) -> DataFrame:
-    """key, seg, doc_id, start, n, done: the segments of every text, by anchor.
+    """key, seg, doc_id, th, start, n, done: the segments of every text, by anchor; th is the hash of the text.
 
     Of a segment that several documents of a batch hold, only the first document's rows stay open; the
     others are repeats for sure (done) and are dealt by document, so that no anchor gathers them.
     """
     def run(batches):
         def flush():
-            doc, key, seg, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, th, key, seg, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((doc, seg, key))
             k, s, d = key[order], seg[order], doc[order]
             head = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
             later = np.empty(len(doc), bool)
             later[order] = d != np.repeat(d[head], np.diff(np.r_[head, len(d)]))
             key = np.where(later, doc * 0x9E3779B1, key.view(np.int64))
-            return pd.DataFrame({"key": key, "seg": np.where(later, 0, seg.view(np.int64)), "doc_id": doc, "start": start, "n": n, "done": later})
+            return pd.DataFrame({"key": key, "seg": np.where(later, 0, seg.view(np.int64)), "doc_id": doc, "th": th, "start": start, "n": n, "done": later})
 
         held, count = [], 0
         for pdf in batches:
-            docs_, texts = pdf.doc_id.to_numpy(), [t.encode() for t in pdf.text]
+            docs_, ths, texts = pdf.doc_id.to_numpy(), pdf.th.to_numpy(), [t.encode() for t in pdf.text]
             edge = np.r_[0, np.cumsum([len(t) for t in texts])] // CHUNK_BYTES
             cuts = [0, *(np.flatnonzero(np.diff(edge[:-1])) + 1).tolist(), len(texts)]
             for i, j in zip(cuts, cuts[1:]):
                 own, key, seg, start, n = segments(texts[i:j], size)
-                held.append((docs_[i:j][own], key, seg, start, n))
+                held.append((docs_[i:j][own], ths[i:j][own], key, seg, start, n))
                 count += len(own)
                 if count >= HELD_ROWS:
                     yield flush()
@@ -146,7 +147,7 @@ def rows_of(docs: DataFrame, size: int) -> DataFrame:
         if count:
             yield flush()
 
-    return docs.mapInPandas(run, "key long, seg long, doc_id long, start long, n int, done boolean")
+    return docs.mapInPandas(run, "key long, seg long, doc_id long, th long, start long, n int, done boolean")
 
 
 def in_order(rows: DataFrame, key: str, work, schema: str) -> DataFrame:
@@ -170,8 +171,8 @@ def in_order(rows: DataFrame, key: str, work, schema: str) -> DataFrame:
 
 
 def open_segments(rows: DataFrame, size: int) -> DataFrame:
-    """key, doc_id, start, n, done: repeats of whole segments (done), and rows of anchors with several segments, whose bytes decide."""
-    columns = ["key", "doc_id", "start", "n", "done"]
+    """key, doc_id, th, start, n, done: repeats of whole segments (done), and rows of anchors with several segments, whose bytes decide."""
+    columns = ["key", "doc_id", "th", "start", "n", "done"]
 
     def settle(t):
         """Equal segments belong to their first document; the others are done."""
@@ -194,65 +195,67 @@ def open_segments(rows: DataFrame, size: int) -> DataFrame:
             rest = rest[~rest.done]
         return out, rest
 
-    return in_order(rows, "key", work, "key long, doc_id long, start long, n int, done boolean")
+    return in_order(rows, "key", work, "key long, doc_id long, th long, start long, n int, done boolean")
 
 
 def compared(segs: DataFrame, size: int) -> DataFrame:
-    """doc_id, start, len of strings that an earlier document's segment of the same anchor holds."""
+    """doc_id, th, start, len of strings that an earlier document's segment of the same anchor holds."""
     def search(t):
         no = t.assign(part=pd.factorize(t.bytes)[0]).groupby(["key", "part"], sort=False).ngroup().to_numpy()
         head = np.unique(no, return_index=True)[1]
         owner = t.doc_id.groupby(no).min().to_numpy()
         part, a, n = owned_runs(t.bytes.to_numpy()[head].tolist(), owner, size)
-        found = pd.DataFrame({"no": no, "doc_id": t.doc_id.to_numpy(), "start": t.start.to_numpy()}).merge(pd.DataFrame({"no": part, "a": a, "len": n}), on="no")
+        found = pd.DataFrame({"no": no, "doc_id": t.doc_id.to_numpy(), "th": t.th.to_numpy(), "start": t.start.to_numpy()}).merge(pd.DataFrame({"no": part, "a": a, "len": n}), on="no")
         later = owner[no] < t.doc_id.to_numpy()
-        whole = pd.DataFrame({"doc_id": t.doc_id[later], "start": t.start[later], "len": t.bytes[later].map(len)})
-        return pd.concat([found.assign(start=found.start + found.a)[["doc_id", "start", "len"]], whole])
+        whole = pd.DataFrame({"doc_id": t.doc_id[later], "th": t.th[later], "start": t.start[later], "len": t.bytes[later].map(len)})
+        return pd.concat([found.assign(start=found.start + found.a)[["doc_id", "th", "start", "len"]], whole])
 
     def work(t, rest):
         return [search(t)] if len(t) else [], rest
 
-    return in_order(segs, "key", work, "doc_id long, start long, len long")
+    return in_order(segs, "key", work, "doc_id long, th long, start long, len long")
 
 
 def repeats(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, start, len of byte runs that an earlier document has."""
+    """doc_id, th, start, len of byte runs that an earlier document has."""
     found = stored(open_segments(rows_of(docs, size), size))
-    wanted = found.where("not done").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
+    wanted = found.where("not done").groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
 
     def cut(batches):
         for pdf in batches:
             rows = []
-            for doc, text, wanted in zip(pdf.doc_id, pdf.text, pdf.wanted, strict=True):
+            for doc, th, text, wanted in zip(pdf.doc_id, pdf.th, pdf.text, pdf.wanted, strict=True):
                 raw = text.encode()
-                rows += [(w["key"], doc, w["start"], raw[w["start"] : w["start"] + w["n"] + size - 1]) for w in wanted]
-            yield pd.DataFrame([r for r in rows if len(r[3]) >= size], columns=["key", "doc_id", "start", "bytes"])
+                rows += [(w["key"], doc, th, w["start"], raw[w["start"] : w["start"] + w["n"] + size - 1]) for w in wanted]
+            yield pd.DataFrame([r for r in rows if len(r[4]) >= size], columns=["key", "doc_id", "th", "start", "bytes"])
 
-    segs = docs.join(wanted, "doc_id").mapInPandas(cut, "key long, doc_id long, start long, bytes binary")
-    return found.where("done").select("doc_id", "start", (F.col("n") + size - 1).cast("long").alias("len")).unionByName(compared(segs, size))
+    segs = docs.join(wanted, ["doc_id", "th"]).mapInPandas(cut, "key long, doc_id long, th long, start long, bytes binary")
+    return found.where("done").select("doc_id", "th", "start", (F.col("n") + size - 1).cast("long").alias("len")).unionByName(compared(segs, size))
 
 
-def dedup(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, size: int = MIN_BYTES, carry: list[str] = ()) -> DataFrame:
     """doc_id, text, n_bytes, spans, kept (binary) of every row.
 
     Removes each byte of a `size`-byte string that a document with a smaller
     doc_id has too; strings are judged on the input. Null texts are empty. Rows
-    that repeat a doc_id never remove from each other and lose the same places
-    as far as their texts agree. Other columns are left out.
+    that repeat a doc_id never remove from each other; each loses what an earlier
+    doc_id has. Null doc_ids come after all others and count as one doc_id.
+    Other columns are left out, except those to carry (without nulls).
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    real, carry = F.col("doc_id").cast("long"), list(carry)
+    docs = docs.select(F.coalesce(real, F.lit(LAST)).alias("doc_id"), real.isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"), *carry).withColumn("th", F.xxhash64("text"))
     # Whole copies of an earlier text need no search.
     text_key, n = F.md5("text"), F.octet_length("text")
     first = docs.groupBy(text_key.alias("k"), n.alias("len")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where(F.col("len") >= size)
-    keyed = docs.select("doc_id", text_key.alias("k"), n.cast("long").alias("len")).distinct()
-    copies = stored(keyed.join(first.where("copies > 1").select("k", "first"), "k").where("doc_id > first").select("doc_id", F.lit(0).cast("long").alias("start"), "len").distinct())
-    left = docs.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    marks = repeats(left, size).unionByName(copies).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("marks"))
+    keyed = docs.select("doc_id", "th", text_key.alias("k"), n.cast("long").alias("len")).distinct()
+    copies = stored(keyed.join(first.where("copies > 1").select("k", "first"), "k").where("doc_id > first").select("doc_id", "th", F.lit(0).cast("long").alias("start"), "len").distinct())
+    left = docs.select("doc_id", "th", "text").join(copies.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_anti")
+    marks = repeats(left, size).unionByName(copies).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("marks"))
 
     def apply(batches):
         for pdf in batches:
             rows = []
-            for doc, text, marks in zip(pdf.doc_id, pdf.text, pdf.marks, strict=True):
+            for no_id, text, marks in zip(pdf.no_id, pdf.text, pdf.marks, strict=True):
                 raw, spans, out, at = text.encode(), [], [], 0
                 for m in marks if marks is not None else ():
                     a, b = int(m["start"]), int(m["start"]) + int(m["len"])
@@ -265,7 +268,10 @@ def dedup(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
                     at = b
                 out.append(raw[at:])
                 kept = b"".join(out)
-                rows.append((doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((no_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            out = pd.DataFrame(rows, columns=["no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield out.assign(doc_id=pdf.doc_id.to_numpy(), **{c: pdf[c].to_numpy() for c in carry})
 
-    return docs.join(marks, "doc_id", "left").mapInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    types = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(carry).schema)
+    done = docs.join(marks, ["doc_id", "th"], "left").mapInPandas(apply, f"doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string{types}")
+    return done.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

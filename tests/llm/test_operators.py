@@ -52,6 +52,28 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_null_and_repeated_ids(spark):
+    """Each row against all rows of smaller doc_ids, null last; ids beyond 53 bits beside nulls."""
+    rng = random.Random(11)
+    line = lambda n: " ".join(rng.choices(["stone", "river", "light", "grass", "cloud", "north"], k=n))
+    shared, big = [line(20) for _ in range(6)], (1 << 60) + 1
+    rows = [(1, shared[0] + line(15)), (2, shared[0] + line(15)), (2, line(30)), (3, rows3 := line(40)), (4, rows3), (4, line(40)), (None, shared[1] + line(9)), (None, shared[1] + shared[0]), (None, rows3)]
+    rows += [(big + i, line(5) + shared[i % 6] + line(5)) for i in range(12)] + [(big, None), (5, "short")]
+    first = {}
+    for i, t in rows:
+        for j in range(len(t or "") - 49):
+            first[t[j : j + 50]] = min(first.get(t[j : j + 50], 1 << 63), i or 1 << 62)
+    want = []
+    for i, t in rows:
+        gone = bytearray(len(t or ""))
+        for j in range(len(gone) - 49):
+            if first[t[j : j + 50]] < (i or 1 << 62):
+                gone[j : j + 50] = b"\1" * 50
+        want.append((str(i), "".join(c for c, g in zip(t or "", gone) if not g)))
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.kept) for r in got) == sorted(want)
+
+
 def test_shingle_sets():
     """As many shingles as distinct word triples, whatever shares a chunk; equal sets for equal words only."""
     cases = [None, "", " \t", "A", "a b", "a B\nc", "a  b\tc d", "d a b c", "b a c", "a c b", "x" * 70_000 + " y z", *texts(), " ".join(f"w{i % 977}q{i % 31}" for i in range(120_000))]
