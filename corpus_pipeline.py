@@ -13,28 +13,40 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.3
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row for a stage's joins: doc_id may repeat or be null."""
+    return stored(docs.withColumn("row", F.monotonically_increasing_id()))
+
+
+def by_row(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("row").alias("doc_id"), "text")
+
+
 def detect_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language (no letter, or no class above LEAST_SCORE); lang becomes the predicted one."""
-    found = language_id.identify(docs, language_id.train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return docs.drop("lang").join(found.select("doc_id", F.col("lang_pred").alias("lang")).dropDuplicates(["doc_id"]), "doc_id").select(COLUMNS)
+    docs = keyed(docs)
+    found = language_id.identify(by_row(docs), language_id.train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return docs.drop("lang").join(found.select(F.col("doc_id").alias("row"), F.col("lang_pred").alias("lang")), "row").select(COLUMNS)
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of documents that share 0.8 of their five-word shingles."""
+    """Keeps one row, of the smallest doc_id, of each group of documents that share 0.8 of their five-word shingles."""
     return ngram_join.keep_one(docs).select(COLUMNS)
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts 50-byte strings that an earlier document has; a character cut in half goes, and a document with nothing left."""
-    kept = suffix_dedup.dedup(docs).select("doc_id", "kept", "n_removed")
+    docs = keyed(docs)
+    kept = suffix_dedup.dedup(docs, carry=["row"]).select("row", "kept", "n_removed")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return docs.join(kept, "doc_id").withColumn("text", text).where(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return docs.join(kept, "row").withColumn("text", text).where(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of ten words of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    docs = keyed(docs)
+    found = decontaminate.decontaminate(by_row(docs), table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("row"))
+    return docs.join(found, "row", "left_anti").select(COLUMNS)
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -263,6 +263,12 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: its smallest doc_id."""
-    kept = join(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """docs with exactly one row of each component: one of its smallest doc_id, null being the largest.
+
+    Rows have a key of their own here, so that repeated rows are copies of each other and null doc_ids count as rows.
+    """
+    docs = stored(docs.withColumn("row", F.monotonically_increasing_id()))
+    found = join(docs.select(F.col("row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    kept = docs.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return docs.join(kept, "row", "left_semi").drop("row")
