@@ -1,17 +1,17 @@
-"""License scans: winnowed template fingerprints in an inverted index, then banded alignment."""
+"""License scans: the rarer words of templates in an inverted index, then banded alignment around each."""
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-GRAM, WINNOW, BAND, COVERAGE, MAX_TEMPLATE_BYTES = 2, 3, 8, 0.8, 16 << 20
+BAND, COVERAGE, MAX_TEMPLATE_BYTES = 16, 0.8, 16 << 20
+#: Taken as fingerprints only where a template has too few other words.
+COMMON = set("a an and any are as at be by can for from if in is it may must not of on or other out shall so that the this to under use you your with without work which".split())
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -19,6 +19,26 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD-notice", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("Apache-2.0-header", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+    http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+    CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-header", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License,
+    or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+    PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("MIT-text", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including
+    without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+    the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF
+    ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+    LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-2-Clause-text", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above
+    copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution."""),
+    ("BSD-disclaimer", """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS
+    FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+    LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+    (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense-text", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
 
@@ -26,36 +46,35 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def grams(tokens: list[str], k: int) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(" ".join(tokens[i : i + k]).encode()) for i in range(len(tokens) - k + 1)], np.uint64)
-
-
-def winnow(h: np.ndarray, w: int) -> list[int]:
-    """Places of the smallest hash of every w neighbours, the last one of equals."""
-    if not len(h):
-        return []
-    w = min(w, len(h))
-    return sorted({i + w - 1 - int(np.argmin(h[i : i + w][::-1])) for i in range(len(h) - w + 1)})
-
-
-def align(template: list[str], text: list[str], band: int) -> tuple[int, int, int]:
-    """Most template words in order in the text, inserts and gaps within the band; matched words, first and end place."""
-    best = (0, 0, 0)
-    prev: dict[int, tuple[int, int]] = {}  # text place -> matched so far, negated first place
-    for i, word in enumerate(template):
-        now: dict[int, tuple[int, int]] = {}
-        run = (0, -len(text))
-        for j in range(max(0, i - band), min(len(text), i + 2 * band + 1)):
-            own = prev.get(j, (0, -len(text)))
-            if text[j] == word:
-                before = prev.get(j - 1, (0, -len(text)))
-                own = max(own, (before[0] + 1, before[1] if before[0] else -j))
-                if (own[0], own[1]) > (best[0], -best[1]) and own[0] > best[0]:
-                    best = (own[0], -own[1], j + 1)
-            run = max(run, own)
-            now[j] = run
+def fingerprints(template: list[str], need: int) -> list[int]:
+    """Places of so many words, the rarer first, that one of them is matched wherever `need` words are."""
+    order = sorted(range(len(template)), key=lambda p: (template[p] in COMMON, -len(template[p]), p))
+    return order[: len(template) - need + 1]
+
+
+def reach(template: list[str], text: list[str], band: int) -> tuple[int, int]:
+    """Most template words in order in the text, its diagonal left by at most the band; matched words, and the text's words until the last of them."""
+    best, end = 0, 0
+    prev = [0] * (len(text) + 1)
+    for i, word in enumerate(template, 1):
+        lo, hi = max(1, i - band), min(len(text), i + band)
+        now = prev[:]
+        for j in range(lo, hi + 1):
+            own = prev[j - 1] + 1 if text[j - 1] == word else 0
+            if own > best or own == best and 0 < j < end:
+                best, end = own, j
+            now[j] = max(own, prev[j], now[j - 1])
+        for j in range(hi + 1, min(len(text), hi + 1) + 1):
+            now[j] = max(now[j], now[hi])
         prev = now
-    return best
+    return best, end
+
+
+def align(template: list[str], p: int, text: list[str], i: int, band: int) -> tuple[int, int, int]:
+    """Alignment in which word p of the template is word i of the text: matched words, first and end place."""
+    left, back = reach(template[:p][::-1], text[max(0, i - p - band) : i][::-1], band)
+    right, on = reach(template[p + 1 :], text[i + 1 : i + len(template) - p + band], band)
+    return left + 1 + right, i - back, i + 1 + on
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
@@ -70,38 +89,30 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage
     if sum(len(t) for _, t in templates) > MAX_TEMPLATE_BYTES:
         raise ValueError("templates are too large for an index in each task")
     known = [(name, words(t)) for name, t in templates if words(t)]
-    index: dict[int, list[tuple[int, int]]] = {}
-    for t, (_, tokens) in enumerate(known):
-        h = grams(tokens, min(GRAM, len(tokens)))
-        for p in winnow(h, WINNOW):
-            index.setdefault(int(h[p]), []).append((t, p))
-    sizes = sorted({min(GRAM, len(t)) for _, t in known})
-    starts = {(k, known[t][1][p]) for entries in index.values() for t, p in entries for k in [min(GRAM, len(known[t][1]))]}
-    heads = {w for _, w in starts}
+    needs = [next(n for n in range(len(own) + 1) if n >= coverage * len(own)) for _, own in known]
+    sets = [set(own) for _, own in known]
+    index: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, own) in enumerate(known):
+        for p in fingerprints(own, max(needs[t], 1)):
+            index.setdefault(own[p], []).append((t, p))
 
     def run(batches):
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
                 tokens = words(text)
-                near: dict[int, list[int]] = {}
+                near: dict[int, list[tuple[int, int]]] = {}
                 for i, w in enumerate(tokens):
-                    if w in heads:
-                        for k in sizes:
-                            for t, p in index.get(xxhash.xxh3_64_intdigest(" ".join(tokens[i : i + k]).encode()), ()):
-                                near.setdefault(t, []).append(i - p)
+                    for t, p in index.get(w, ()):
+                        near.setdefault(t, []).append((p, i))
                 for t, found in near.items():
                     name, own = known[t]
                     places = []
-                    last = None
-                    for d in sorted(found):
-                        if last is not None and d - last <= BAND // 2:
-                            continue
-                        last = d
-                        a = max(0, d - BAND)
-                        n, s, e = align(own, tokens[a : d + len(own) + 2 * BAND], 2 * BAND)
-                        if n >= coverage * len(own):
-                            places.append((-n, e - s, a + s, a + e))
+                    for p, i in found:
+                        if sum(map(sets[t].__contains__, tokens[max(0, i - p - BAND) : i + len(own) - p + BAND])) >= needs[t]:
+                            n, s, e = align(own, p, tokens, i, BAND)
+                            if n >= needs[t]:
+                                places.append((-n, e - s, s, e))
                     taken: list[tuple[int, int]] = []
                     for n, _, s, e in sorted(set(places)):
                         if all(e <= x or s >= y for x, y in taken):

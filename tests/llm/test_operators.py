@@ -205,3 +205,24 @@ def test_license_scan(spark):
     rows = [(1, "intro. Released under the MIT License. more"), (2, "nothing here"), (3, None), (4, "Licensed under the Apache Software License, Version 2.0.")]
     got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.license, r.start, r.end, r.matched) for r in got) == [(1, "MIT", 1, 6, 5), (4, "Apache-2.0", 0, 8, 7)]
+
+
+def test_license_scan_edits_and_adjacent_copies(spark):
+    """Each notice with any one word replaced, dropped or added is found; every copy of adjacent ones is reported."""
+    short, rows, want = license_scan.TEMPLATES[:6], [], []
+    for name, text in license_scan.TEMPLATES:
+        w = license_scan.words(text)
+        for k in range(0, len(w), max(1, len(w) // 12)):
+            for edited, missing in ((w[:k] + ["zzz"] + w[k + 1 :], 1), (w[:k] + w[k + 1 :], 1), (w[:k] + ["zzz"] + w[k:], 0)):
+                rows.append((len(rows), "intro zzz " + " ".join(edited) + " more"))
+                want.append((name, len(w) - missing))
+    edits = len(rows)
+    rows += [(len(rows) + i, "\n".join([text] * 4)) for i, (_, text) in enumerate(short)]
+    got = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.start, r.end, r.matched))
+    for i, (name, matched) in enumerate(want):
+        assert [g[3] for g in got[i] if g[0] == name] == [matched]
+    for i, (name, text) in enumerate(short):
+        n = len(license_scan.words(text))
+        assert sorted(g for g in got[edits + i] if g[0] == name) == [(name, k * n, k * n + n, n) for k in range(4)]
