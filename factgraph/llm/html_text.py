@@ -14,15 +14,19 @@ SKIP = {"script", "style", "noscript", "template", "nav", "footer", "aside", "fo
 BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "table", "tr", "td", "th", "tbody", "thead", "div", "section", "article", "main", "body", "html", "header", "figure", "figcaption", "address", "br", "hr"}
 TEXTUAL = {"p", "pre", "blockquote", "td", "li", "dd"}
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "li", "dt", "dd", "body", "html"} | {"ul", "ol"}
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|comments?|disqus|replies|sidebar|side|nav\w*|menu|footer|header|breadcrumbs?|share|social|related|newsletter|subscribe|widget|masthead)(?:$|[\s_-])", re.I)
+UNLIKELY = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|comments?|disqus|replies|sidebar|side|nav\w*|menu|footer|header|breadcrumbs?|share|social|related|newsletter|subscribe|widget|masthead)(?:$|[_-])", re.I)
+#: Names that say what else the page has, not what the element is.
+ABOUT_PAGE = re.compile(r"(?:^|[_-])(?:with|without|has|no)[_-]", re.I)
+HEADER = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-])", re.I)
 WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "score", "bad", "text_n", "link_n")
+    __slots__ = ("tag", "parent", "items", "score", "bad", "named", "text_n", "link_n")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool = False):
         self.tag, self.parent, self.bad = tag, parent, bad
+        self.named = False  # marked only for its class, id or role
         self.items: list[Node | str] = []
         self.score = 0.0
         self.text_n = self.link_n = 0
@@ -41,9 +45,11 @@ class Tree(HTMLParser):
             self.end("p")
         if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and self.at.tag == tag:
             self.end(tag)
-        said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        bad = tag in SKIP or tag == "header" and not (self.open.get("article") or self.open.get("main")) or tag not in ("html", "body", "article", "main") and bool(said and UNLIKELY.search(said))
-        node = Node(tag, self.at, bad)
+        inside = bool(self.open.get("article") or self.open.get("main"))
+        node = Node(tag, self.at, tag in SKIP or tag == "header" and not inside)
+        if not node.bad and tag not in ("html", "body", "article", "main"):
+            said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).split()
+            node.named = any(UNLIKELY.search(v) and not ABOUT_PAGE.search(v) and not (inside and HEADER.search(v)) for v in said)
         self.at.items.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -91,17 +97,47 @@ def blocks(node: Node) -> list[str]:
     return [t for t in (WHITE.sub(" ", b).strip() for b in out) if t]
 
 
+def mark(tree: Tree) -> None:
+    """Marks the elements that their name says are no content, and all below marked ones.
+
+    A named element stays if the page's only article or main is in it or, on a
+    page without these, most of the points of the page's paragraphs.
+    """
+    below, named = set(), set()  # of marked ones; of named ones
+    for node in tree.nodes:
+        if node.parent in below or node.bad:
+            below.add(node)
+        if node.named or node.parent in named:
+            named.add(node)
+    points, holds = dict.fromkeys(tree.nodes, 0.0), set()
+    for node in reversed(tree.nodes):
+        if node in below:
+            continue
+        if node.tag in TEXTUAL:
+            text = "".join(blocks(node))
+            points[node] += 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3) if text else 0
+        if node.tag in ("article", "main"):
+            holds.add(node)
+        if node.parent is not None:
+            points[node.parent] += points[node]
+            if node in holds:
+                holds.add(node.parent)
+    outside = any(n.tag in ("article", "main") and n not in named for n in holds)
+    for node in tree.nodes:
+        if node.named and not outside:
+            node.named = node not in holds and (bool(holds) or points[node] * 2 <= points[tree.root])
+        node.bad |= node.named or node.parent is not None and node.parent.bad
+
+
 def extract(html: str | None) -> str:
     """Article text: each paragraph passes points for its length and commas to
     its parent, half to the grandparent, a third of that further up; a link
     density discounts them. The best container is kept with siblings that score
-    a fifth of it or are long paragraphs of few links."""
+    a fifth of it or are text or paragraphs of few links."""
     tree = Tree()
     tree.feed(html or "")
     HTMLParser.close(tree)
-    for node in tree.nodes:
-        if node.parent is not None and node.parent.bad:
-            node.bad = True
+    mark(tree)
     for node in reversed(tree.nodes):
         if node.bad:
             continue
@@ -140,7 +176,7 @@ def extract(html: str | None) -> str:
         return "\n\n".join(blocks(best))
     least, kept = best.score * (1 - density(best)) / 5, Node(best.parent.tag, None)
     for x in best.parent.items:
-        if x is best or isinstance(x, Node) and not x.bad and (x.score * (1 - density(x)) >= max(least, 1e-9) or x.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "table") and density(x) < 0.25):
+        if x is best or isinstance(x, str) or not x.bad and (x.tag not in BLOCK and density(x) < 0.25 or x.tag in ("br", "hr") or x.score * (1 - density(x)) >= max(least, 1e-9) or x.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "table") and density(x) < 0.25):
             kept.items.append(x)
     return "\n\n".join(blocks(kept))
 

@@ -201,6 +201,19 @@ def test_html():
     assert html_text.extract(None) == "" and html_text.extract("") == ""
 
 
+def test_html_named_wrappers():
+    body = "<h1>Head</h1><p>One, two and three, with more words than others have.</p><p>Four, five.</p>"
+    want = "Head\n\nOne, two and three, with more words than others have.\n\nFour, five."
+    for name in ("content with-sidebar", "has-sidebar", "main no-sidebar", "site header-fixed"):
+        for inner in (body, f"<article>{body}</article>", f"<main>{body}</main>"):
+            assert html_text.extract(f'<html><body><div class="{name}">{inner}</div><div class="sidebar"><p>Side</p></div></body></html>') == want
+    for name in ("entry-header", "post-header"):
+        page = f'<body><article><div class="{name}"><h1>Head</h1></div>{body[13:]}</article><div id="comments"><article><p>No, no, no</p></article></div>'
+        assert html_text.extract(page) == want
+    page = "<body><section>Before, bare <b>bold</b> text.<div><p>One, two, three, four, five, six.</p><p>Seven, eight, nine.</p></div>After <br>it.</section></body>"
+    assert html_text.extract(page) == "Before, bare bold text.\n\nOne, two, three, four, five, six.\n\nSeven, eight, nine.\n\nAfter\n\nit."
+
+
 def test_license_scan(spark):
     rows = [(1, "intro. Released under the MIT License. more"), (2, "nothing here"), (3, None), (4, "Licensed under the Apache Software License, Version 2.0.")]
     got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
