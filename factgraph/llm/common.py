@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +26,17 @@ def ascii_lower(col):
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="factgraph-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir(spark)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """A temporary folder of this application; only where no shared one is set, as in local tests."""
+    base = os.path.join(tempfile.gettempdir(), f"factgraph-{spark.sparkContext.applicationId}")
+    os.makedirs(base, exist_ok=True)
+    return base
+
+
 def local_path(uri: str) -> str:
     """Path of a folder that all executors mount; other schemes cannot be memory-mapped."""
     parts = urlparse(uri)
@@ -39,6 +45,16 @@ def local_path(uri: str) -> str:
     return parts.path
 
 
+def byte_parts(batches, size: int = 4 << 20):
+    """The batches in runs of rows of about `size` characters of text; a longer text is one of its own."""
+    for pdf in batches:
+        n = pdf.text.str.len().fillna(0).to_numpy()
+        part = (np.cumsum(n) - n) // size
+        for rows in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(part)) + 1):
+            if len(rows):
+                yield pdf.iloc[rows]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there."""
     path = shared_dir(df.sparkSession)

@@ -10,13 +10,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE, CACHE_WORDS = "▁", 400_000
+from .common import byte_parts
+
+SPACE, CACHE_WORDS, WORDS_AT_ONCE = "▁", 400_000, 50_000
 #: A piece may start with spaces but none follows another character, so merges stay inside these parts.
 PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+SHIFT, SLOT_BITS, ODD = 21, 20, np.uint64(0x9E3779B97F4A7C15)
+
+
+class PairTable:
+    """Merged piece of a pair of symbols: open addressing in arrays, all look-ups probe together."""
+
+    def __init__(self, pairs: dict[int, int]):
+        self.keys, self.values = np.full(1 << SLOT_BITS, -1, np.int64), np.full(1 << SLOT_BITS, -1, np.int32)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        for slot, key in zip(self._slots(keys).tolist(), keys.tolist(), strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << SLOT_BITS) - 1)
+            self.keys[slot], self.values[slot] = key, pairs[key]
+
+    @staticmethod
+    def _slots(keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * ODD) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merged piece of each pair, or -1."""
+        keys = a.astype(np.int64) << SHIFT | b
+        slots = self._slots(keys)
+        seen, out = self.keys[slots], self.values[slots]
+        live = np.flatnonzero((seen != keys) & (seen >= 0))
+        out[seen != keys] = -1
+        while len(live):
+            slots[live] = (slots[live] + 1) & ((1 << SLOT_BITS) - 1)
+            at = slots[live]
+            hit = self.keys[at] == keys[live]
+            out[live[hit]] = self.values[at[hit]]
+            live = live[~hit & (self.keys[at] >= 0)]
+        return out
 
 
 class Codec:
-    """A BPE model's pieces as arrays; pairs of ids find their merged piece by a sorted search."""
+    """A BPE model's pieces as arrays."""
 
     def __init__(self, model: bytes, add_eos: bool = True):
         import sentencepiece
@@ -25,8 +59,8 @@ class Codec:
         n = lib.get_piece_size()
         self.pieces = [lib.id_to_piece(i) for i in range(n)]
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i) for i in range(n)]
-        self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
-        self.scores = np.array([lib.get_score(i) for i in range(n)], np.float64)
+        ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
+        scores = np.array([lib.get_score(i) for i in range(n)], np.float64)
         self.byte = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes_of = {i: b for b, i in enumerate(self.byte)}
         self.names = [str(i) for i in range(n)]
@@ -35,96 +69,119 @@ class Codec:
         self.control = {i for i in range(n) if lib.is_control(i)}
         self.eos = lib.eos_id() if add_eos else None
         # Two kinds of symbols: pieces by id, other characters by n + code point, which never merge.
-        self.n, pairs = n, {}
-        for p, i in self.ids.items():
+        self.n = n
+        self.symbol = np.arange(0x110000, dtype=np.int32) + n
+        pairs = {}
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
             for cut in range(1, len(p)):
-                a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
+                a, b = ids.get(p[:cut]), ids.get(p[cut:])
                 if a is not None and b is not None:
-                    pairs[a * n + b] = i
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        order = np.unique(-self.scores)
-        self.rank = np.searchsorted(order, -self.scores)
+                    pairs[a << SHIFT | b] = i
+        self.pairs = PairTable(pairs)
+        order = np.unique(-scores)
         self.none = len(order)
-        self.cache: dict[str, list[int]] = {}
-
-    def _pairs(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merged piece and rank of each symbol with the next of its word."""
-        a, b = sym[:-1], sym[1:]
-        key = np.where((word[:-1] == word[1:]) & (a < self.n) & (b < self.n), a * self.n + b, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        ok = self.keys[at] == key
-        return np.where(ok, self.merged[at], -1), np.where(ok, self.rank[self.merged[at]], self.none)
-
-    def _words(self, words: list[str]) -> list[list[int]]:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        word = np.repeat(np.arange(len(words)), sizes)
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        distinct, back = np.unique(chars, return_inverse=True)
-        sym = np.array([self.ids.get(chr(c), self.n + int(c)) for c in distinct], np.int64)[back]
-        done: list = [None] * len(words)
-        while len(sym):
-            piece, rank = self._pairs(sym, word)
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.minimum.reduceat(np.r_[rank, self.none], starts)
-            seg = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(sym)]))
-            live = best[seg] < self.none
-            if not live.all():
-                for s, e in zip(starts[best == self.none].tolist(), np.r_[starts[1:], len(sym)][best == self.none].tolist(), strict=True):
-                    done[word[s]] = sym[s:e].tolist()
-                sym, word = sym[live], word[live]
-                continue
-            hit = np.r_[rank == best[seg[:-1]], False]
+        self.rank = np.r_[np.searchsorted(order, -scores), self.none].astype(np.int32)  # the last one: no piece
+        #: Ids joined by spaces, and the text that they decode to, by part.
+        self.known: dict[str, str] = {}
+        self.texts: dict[str, str] = {}
+
+    def _merge_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Final symbols of the words, one after another, and how many each word has."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lens)
+        sym = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        starts = np.cumsum(lens) - lens
+        head = np.zeros(len(sym) + 1, bool)
+        head[starts], head[-1] = True, True
+        piece = np.r_[self.pairs.get(sym[:-1], sym[1:]), np.int32(-1)]
+        piece[np.r_[starts[1:], len(sym)] - 1] = -1
+        rank, done = self.rank[piece], []
+        while True:
+            best = np.minimum.reduceat(rank, starts)
+            over = best == self.none
+            if over.any():
+                gone = np.repeat(over, lens)
+                done.append((sym[gone], word[gone]))
+                stay = ~gone
+                sym, word, rank, piece, head = sym[stay], word[stay], rank[stay], piece[stay], np.r_[head[:-1][stay], True]
+                best, lens = best[~over], lens[~over]
+                starts = np.cumsum(lens) - lens
+                if not len(sym):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, lens))
             # Leftmost merges first: of a run of overlapping pairs every second one, from the left.
-            at = np.flatnonzero(hit)
-            head = np.r_[True, np.diff(at) > 1]
-            first = np.maximum.accumulate(np.where(head, at, 0))
-            at = at[(at - first) % 2 == 0]
-            new, keep = self._merge(sym, piece, at)
-            _, after = self._pairs(new[keep], word[keep])
-            seg_kept = seg[keep]
-            worse = np.unique(seg_kept[:-1][after < best[seg_kept[:-1]]])
-            if len(worse):  # a new pair outranks this one: in these words only the leftmost merge is sure
-                lead = np.r_[True, seg[at[1:]] != seg[at[:-1]]]
-                at = at[lead | ~np.isin(seg[at], worse)]
-                new, keep = self._merge(sym, piece, at)
-            sym, word = new[keep], word[keep]
-        return done
-
-    @staticmethod
-    def _merge(sym, piece, at):
+            first = np.r_[True, np.diff(at) > 1]
+            if not first.all():
+                at = at[(at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0]
+            seg = np.searchsorted(starts, at, "right") - 1
+            new, keep, left, left_piece, right_piece = self._merged(sym, piece, head, at)
+            worse = np.minimum(self.rank[left_piece], self.rank[right_piece]) < best[seg]
+            if worse.any():  # a new pair outranks this one: in these words only the leftmost merge is sure
+                lead = np.r_[True, seg[1:] != seg[:-1]]
+                at = at[lead | ~np.isin(seg, seg[worse])]
+                seg = np.searchsorted(starts, at, "right") - 1
+                new, keep, left, left_piece, right_piece = self._merged(sym, piece, head, at)
+            # Only pairs beside a merge are new.
+            piece[at] = right_piece
+            inner = ~head[at]
+            piece[left[inner]] = left_piece[inner]
+            rank[at], rank[left[inner]] = self.rank[right_piece], self.rank[left_piece[inner]]
+            sym, word, rank, piece, head = new[keep], word[keep], rank[keep], piece[keep], np.r_[head[:-1][keep], True]
+            lens = lens - np.bincount(seg, minlength=len(lens))
+            starts = np.cumsum(lens) - lens
+        sym, word = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        return sym[order], np.bincount(word, minlength=len(words))
+
+    def _merged(self, sym, piece, head, at):
+        """Symbols after the merges, which of them stay, and left neighbours and new pieces on both sides of each merge."""
         new, keep = sym.copy(), np.ones(len(sym), bool)
         new[at] = piece[at]
         keep[at + 1] = False
-        return new, keep
-
-    def _final(self, symbols: list[int]) -> list[int]:
-        out: list[int] = []
-        for s in symbols:
-            if s < self.n:
-                out.append(s)
+        left = np.maximum(at - 1, 0)
+        left = np.where(keep[left], left, at - 2)
+        last = np.minimum(at + 2, len(sym) - 1)
+        left_piece = np.where(head[at], -1, self.pairs.get(new[left], new[at]))
+        right_piece = np.where(head[at + 2], -1, self.pairs.get(new[at], new[last]))
+        return new, keep, left, left_piece, right_piece
+
+    def _learn(self, words: list[str]) -> None:
+        """Keeps the words' ids and texts."""
+        sym, sizes = self._merge_rounds(words)
+        ends = np.cumsum(sizes)
+        spelled = np.logical_or.reduceat(sym >= self.n, ends - sizes).tolist()
+        at, sym, names, plain = 0, sym.tolist(), self.names, self.plain
+        for w, end, bytewise in zip(words, ends.tolist(), spelled, strict=True):
+            own = sym[at:end]
+            at = end
+            if bytewise:
+                own = [x for s in own for x in ([s] if s < self.n else [self.byte[b] for b in chr(s - self.n).encode()])]
+                self.texts[w] = self._with_bytes(own)
             else:
-                out.extend(self.byte[b] for b in chr(s - self.n).encode())
-        return out
+                self.texts[w] = "".join([plain[i] for i in own])
+            self.known[w] = " ".join([names[i] for i in own])
+
+    def run(self, texts: list[str]) -> tuple[list[str], list[str]]:
+        """Of each text its ids in decimal, joined by spaces, and the text that they decode to.
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        Every part starts with a space's piece, so no run of byte pieces goes
+        from one part into the next and the parts decode one by one.
+        """
         parts = [PARTS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list({w for p in parts for w in p if w not in self.cache})
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list({w for p in parts for w in p})
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            self.cache.update(zip(part, map(self._final, self._words(part)), strict=True))
-        end = [] if self.eos is None else [self.eos]
-        return [[i for w in p for i in self.cache[w]] + end for p in parts]
-
-    def decode(self, ids: list[int]) -> str:
-        try:
-            text = "".join(map(self.plain.__getitem__, ids))
-        except TypeError:
-            text = self._with_bytes(ids)
-        return text[1:] if text.startswith(" ") else text
+        distinct = set().union(*parts)
+        new = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            self.texts.clear()
+            new = list(distinct)
+        for i in range(0, len(new), WORDS_AT_ONCE):
+            self._learn(new[i : i + WORDS_AT_ONCE])
+        end = [] if self.eos is None else [self.names[self.eos]]
+        ids = [" ".join([*map(self.known.__getitem__, p), *end]) for p in parts]
+        decoded = ["".join(map(self.texts.__getitem__, p)) for p in parts]
+        return ids, [t[1:] if t.startswith(" ") else t for t in decoded]
 
     def _with_bytes(self, ids: list[int]) -> str:
         out, run = [], bytearray()
@@ -148,22 +205,22 @@ def encode_decode(docs: DataFrame, model_path: str, out: str = "digest") -> Data
 
     out 'digest': doc_id, n_tokens, ids_sha256, decoded_sha256; 'full': doc_id, ids, decoded.
     Null counts as empty: only the end id, decoded to ''. Repeated rows give
-    repeated rows; other columns are left out. Any character without a piece
-    becomes its UTF-8 bytes' pieces.
+    repeated rows, an empty table none; other columns are left out. Any
+    character without a piece becomes its UTF-8 bytes' pieces. Rows go through
+    in runs of a few MB of text, so memory follows the longest text only.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
         codec = Codec(model.value)
-        for pdf in batches:
-            ids = codec.encode_batch([t or "" for t in pdf.text])
-            texts = [codec.decode(x) for x in ids]
+        for pdf in byte_parts(batches):
+            ids, texts = codec.run([t or "" for t in pdf.text])
             if out == "full":
-                yield pd.DataFrame({"doc_id": pdf.doc_id, "ids": ids, "decoded": texts})
+                yield pd.DataFrame({"doc_id": pdf.doc_id, "ids": [np.fromstring(s, np.int32, sep=" ") for s in ids], "decoded": texts})
             else:
-                sha = [hashlib.sha256(" ".join(map(codec.names.__getitem__, x)).encode()).hexdigest() for x in ids]
-                yield pd.DataFrame({"doc_id": pdf.doc_id, "n_tokens": [len(x) for x in ids], "ids_sha256": sha, "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts]})
+                sha = lambda some: [hashlib.sha256(t.encode()).hexdigest() for t in some]
+                yield pd.DataFrame({"doc_id": pdf.doc_id, "n_tokens": [s.count(" ") + (s != "") for s in ids], "ids_sha256": sha(ids), "decoded_sha256": sha(texts)})
 
     schema = "doc_id long, ids array<int>, decoded string" if out == "full" else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
