@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("factgraph.llm")
-from factgraph.llm import decontaminate, html_text, language_id, license_scan, ngram_join, ngram_lm, sentencepiece_codec, suffix_dedup, topk, url_filter  # noqa: E402
+from factgraph.llm import decontaminate, elias_fano, html_text, language_id, license_scan, ngram_join, ngram_lm, sentencepiece_codec, suffix_dedup, topk, url_filter  # noqa: E402
 from factgraph.llm.queries import tokenizer_model  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -147,8 +147,8 @@ def test_top_k_equals_sql(spark):
 
 def test_elias_fano_round_trip(tmp_path):
     values = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 500)).astype(np.uint64)
-    ngram_lm.EliasFano.write(f"{tmp_path}/x", values)
-    ef = ngram_lm.EliasFano(f"{tmp_path}/x")
+    elias_fano.EliasFano.write(f"{tmp_path}/x", values)
+    ef = elias_fano.EliasFano(f"{tmp_path}/x")
     assert (ef.get(np.arange(500)) == values).all()
     assert (ef.find(values, np.zeros(500), np.full(500, 500)) >= 0).all()
     assert (ef.find(values[:1] + np.uint64(1), np.zeros(1), np.full(1, 500)) == -1).all()
@@ -179,11 +179,15 @@ def test_language_model_equals_counts(spark, docs, empty):
         return prob(g[1:]) if not seen else (max(grams[len(g) - 1][g] - 0.75, 0) + 0.75 * len(seen) * prob(g[1:])) / sum(seen)
 
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in ngram_lm.score(frame, ngram_lm.train(frame)).collect()}
-    assert any(held for _, _, held in lines) and len(got) == len(rows)
-    for i, w, held in lines:
-        assert (got[i].held_out, got[i].n_tokens, got[i].train_tokens) == (held, len(w), n_all)
-        assert abs(got[i].score - sum(math.log10(prob(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w)))) < 3e-4 * len(w)
+    assert any(held for _, _, held in lines)
+    for often in (1 << 20, 20):  # without and with words that are spread over all shards
+        got = {r.doc_id: r for r in ngram_lm.score(frame, ngram_lm.train(frame, often=often)).collect()}
+        assert len(got) == len(rows)
+        for i, w, held in lines:
+            assert (got[i].held_out, got[i].n_tokens, got[i].train_tokens) == (held, len(w), n_all)
+            assert got[i].n_known == sum(grams[0][(x,)] > 0 for x in w)
+            assert abs(got[i].base_score - sum(math.log10(prob((x,))) for x in w)) < 1e-6
+            assert abs(got[i].score - sum(math.log10(prob(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w)))) < 3e-4 * len(w)
     assert ngram_lm.score(docs, ngram_lm.train(empty)).count() == len(texts())
 
 
