@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import byte_parts, stored
 
-BUCKETS, BROADCAST_IDS, PAIRS_AT_ONCE = 1 << 16, 1_000_000, 500_000
-#: Partners that a row tries first, as rows before it in its tile; further ones differ from tile to tile.
-OFFERS = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233)
+BUCKETS, CHUNK, BROADCAST_IDS = 1 << 20, 1 << 14, 1_000_000
+#: Rows that meet in one task, about: of all tiles of a cell, and of one block of a hot tile.
+CELL_ROWS, BLOCK_ROWS, PAIRS_AT_ONCE = 50_000, 8192, 1 << 19
+#: Partners that a row tries first, as rows before it in its tile, beside the tile's smallest doc_id; of all these it takes the PARTNERS with which it shares most tiles.
+OFFERS, PARTNERS, CLASSES = (1, 2, 3, 5, 8, 13), 3, 6
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -92,100 +92,192 @@ def _short(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def signature(s: np.ndarray) -> bytes:
+    """A bitmap of half of the set, about as wide as the set; both halves of a wider one together give the next narrower one."""
+    width = max(64, 1 << (len(s).bit_length() - 1) if len(s) else 0)
+    bits = np.zeros(width, np.uint8)
+    bits[(s[s >> np.uint64(63) == 0] & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def summaries(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        for pdf in batches:
+        for pdf in byte_parts(batches):
             sets = shingle_sets(pdf.text, k)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sig": [signature(s) for s in sets]})
 
-    return docs.mapInPandas(run, "doc_id long, n long, key binary")
+    return docs.mapInPandas(run, "doc_id long, n long, key binary, sig binary")
 
 
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """Class of each of BUCKETS hash buckets by the shingles in it: an order of fixed size in which frequent shingles come late."""
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
-        for pdf in batches:
+        for pdf in byte_parts(batches):
             for s in shingle_sets(pdf.text, k):
-                total += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
+                np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        yield pd.DataFrame({"chunk": np.arange(BUCKETS // CHUNK), "n": [x.tobytes() for x in total.reshape(-1, CHUNK)]})
 
-    out = np.zeros(BUCKETS, np.uint8)
-    rows = docs.mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out[rows.bucket] = np.log2(rows.n.to_numpy(np.float64) + 1) * 4
-    return out
+    def add(key, pdf):
+        total = sum(np.frombuffer(x, np.int64) for x in pdf.n)
+        return pd.DataFrame({"chunk": [key[0]], "class": [np.minimum(np.log2(total + 1.0) * CLASSES, 255).astype(np.uint8).tobytes()]})
+
+    out = np.zeros((BUCKETS // CHUNK, CHUNK), np.uint8)
+    for r in docs.mapInPandas(run, "chunk int, n binary").groupBy("chunk").applyInPandas(add, "chunk int, class binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["class"], np.uint8)
+    return out.ravel()
 
 
 def tile_rows(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
-    """A row for each prefix shingle of a set: two linked sets share one, as they differ in few."""
+    """A row for each prefix shingle of a set: two linked sets share one, as they differ in few. blocks: into how many its tile is to be split, by its bucket's class."""
     def run(batches):
-        for pdf in batches:
+        for pdf in byte_parts(batches):
             parts = []
             for doc, s in zip(pdf.doc_id, shingle_sets(pdf.text, k), strict=True):
                 n = len(s)
                 if not n:
                     continue
-                order = s[np.lexsort((s, classes.value[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))]
+                own = classes.value[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 m = n - -(-percent * n // 100) + 1
+                order = np.lexsort((s, own))[:m]
                 some = s[s >> np.uint64(61) == 0] & np.uint64(127)
                 sig = np.zeros(128, np.uint8)
                 sig[some.astype(np.int64)] = 1
                 sig = np.packbits(sig, bitorder="little").view(np.int64)
-                parts.append((order[:m].view(np.int64), np.full(m, doc), np.full(m, n), np.arange(m), np.full(m, sig[0]), np.full(m, sig[1])))
+                blocks = np.ceil(2.0 ** (own[order] / CLASSES) / BLOCK_ROWS).astype(np.int64)
+                parts.append((s[order].view(np.int64), np.full(m, doc), np.full(m, n), np.arange(m), np.full(m, sig[0]), np.full(m, sig[1]), blocks))
             if parts:
-                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("token", "doc_id", "n", "pos", "s0", "s1"), zip(*parts, strict=True), strict=True)})
-
-    return docs.mapInPandas(run, "token long, doc_id long, n int, pos int, s0 long, s1 long")
-
-
-def tile_pairs(rows: DataFrame, percent: int, few: bool) -> DataFrame:
-    """Pairs that pass the size, place and bitmap bounds. Rows of a tile come by size; a band of sizes is held.
-
-    few: partners at the distances of OFFERS only, and as many for each document; else all of another component.
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("token", "doc_id", "n", "pos", "s0", "s1", "blocks"), zip(*parts, strict=True), strict=True)})
+
+    return docs.mapInPandas(run, "token long, doc_id long, n int, pos int, s0 long, s1 long, blocks int")
+
+
+class Tile:
+    """Rows of some tiles, by token, size and doc_id."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        pdf = pdf[pdf.token.duplicated(keep=False)].sort_values(["token", "n", "doc_id"], ignore_index=True)
+        self.token, self.n, self.pos, self.doc = (pdf[c].to_numpy(np.int64) for c in ("token", "n", "pos", "doc_id"))
+        self.s0, self.s1 = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("s0", "s1"))
+        self.starts = np.flatnonzero(np.r_[True, self.token[1:] != self.token[:-1]]) if len(pdf) else np.zeros(0, np.int64)
+        self.sizes = np.diff(np.r_[self.starts, len(pdf)])
+        self.pdf = pdf
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of places pass the bounds of size, place and bitmap."""
+        n, s0, s1 = self.n, self.s0, self.s1
+        ok = (self.token[i] == self.token[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (self.doc[i] != self.doc[j])
+        i, j = i[ok], j[ok]
+        need = -(-percent * (n[i] + n[j]) // (100 + percent))
+        out_i = np.bitwise_count(s0[i] & ~s0[j]).astype(np.int64) + np.bitwise_count(s1[i] & ~s1[j])
+        out_j = np.bitwise_count(s0[j] & ~s0[i]).astype(np.int64) + np.bitwise_count(s1[j] & ~s1[i])
+        ok[ok] = (np.minimum(n[i] - self.pos[i], n[j] - self.pos[j]) >= need) & (n[i] - out_i >= need) & (n[j] - out_j >= need)
+        return ok
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        both = pd.DataFrame({"a": np.minimum(self.doc[i], self.doc[j]), "b": np.maximum(self.doc[i], self.doc[j])})
+        return both.groupby(["a", "b"], sort=False).size().reset_index(name="tiles") if len(both) else both.assign(tiles=0)
+
+
+def cells(rows: DataFrame, n_rows: int, *salt):
+    """Rows grouped into cells of whole tiles, or of whole blocks of tiles; the grouping is the planner's to keep."""
+    return rows.groupBy(F.pmod(F.xxhash64("token", *salt), F.lit(max(1, n_rows // CELL_ROWS))).alias("cell"))
+
+
+def offers(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
+    """a, b: for each b the PARTNERS smaller doc_ids, among a few rows of each of its tiles, that share most tiles with it. Hot tiles are split at random."""
+    def run(pdf):
+        t = Tile(pdf)
+        every = np.arange(len(t.doc))
+        i, j = [], []
+        for step in OFFERS:
+            i.append(every[step:])
+            j.append(every[: len(every) - step])
+        if len(every):
+            first = np.array([s + int(t.doc[s : s + n].argmin()) for s, n in zip(t.starts.tolist(), t.sizes.tolist(), strict=True)])
+            i.append(every)
+            j.append(np.repeat(first, t.sizes))
+        i, j = np.concatenate(i), np.concatenate(j)
+        ok = t.may_link(i, j, percent)
+        return t.pairs(i[ok], j[ok])
+
+    split = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    found = cells(rows, n_rows, split).applyInPandas(run, "a long, b long, tiles long").groupBy("a", "b").agg(F.sum("tiles").alias("tiles"))
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("tiles"), "a"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= PARTNERS).select("a", "b")
+
+
+def between(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
+    """a, b: all pairs of rows of different components of a tile that pass the bounds.
+
+    Such a pair has at least one row outside the tile's main component, so only
+    these rows look for partners. A hot tile is split into blocks: each row has
+    one block as its own, and those that look for partners go to all blocks.
     """
-    def pairs(t):
-        """Each row against the rows before it, at one distance for all rows at once, until its tile or band ends."""
-        token, n, pos, doc, comp, old = (t[c].to_numpy() for c in ("token", "n", "pos", "doc_id", "comp", "old"))
-        n, s0, s1 = n.astype(np.int64), t.s0.to_numpy(np.int64).view(np.uint64), t.s1.to_numpy(np.int64).view(np.uint64)
-        i, found = np.flatnonzero(~old), []
-        for step in OFFERS if few else itertools.count(1):
-            i = i[i >= step]
-            if not len(i):
-                break
-            j = i - step
-            near = (token[i] == token[j]) & (n[j] * 100 >= n[i] * percent)
-            i, j = i[near], j[near]
-            need = -(-percent * (n[i] + n[j]) // (100 + percent))
-            out_i = np.bitwise_count(s0[i] & ~s0[j]).astype(np.int64) + np.bitwise_count(s1[i] & ~s1[j])
-            out_j = np.bitwise_count(s0[j] & ~s0[i]).astype(np.int64) + np.bitwise_count(s1[j] & ~s1[i])
-            ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (n[i] - out_i >= need) & (n[j] - out_j >= need) & (comp[j] != comp[i])
-            both = np.sort(np.stack([doc[i[ok]], doc[j[ok]]]), axis=0)
-            found.append(both)
-            if sum(x.shape[1] for x in found) >= PAIRS_AT_ONCE:
-                yield np.unique(np.concatenate(found, axis=1), axis=1)
-                found = []
-        if found:
-            yield np.unique(np.concatenate(found, axis=1), axis=1)
+    def run(pdf):
+        t = Tile(pdf)
+        if not len(t.doc):
+            return t.pairs(t.doc, t.doc)
+        comp, own = t.pdf.comp.to_numpy(np.int64), t.pdf.own.to_numpy(bool)
+        tile = np.repeat(np.arange(len(t.starts)), t.sizes)
+        main = t.pdf.main.fillna(0).to_numpy(np.int64)
+        looks = comp != np.where(t.pdf.known.to_numpy(bool), main, largest(tile, comp)[tile])
+        i, key = np.flatnonzero(looks), tile << 32 | t.n
+        lo = np.searchsorted(key, tile[i] << 32 | -(-t.n[i] * percent // 100))
+        hi = np.searchsorted(key, tile[i] << 32 | t.n[i] * 100 // percent, "right")
+        edge, at, found = np.r_[0, np.cumsum(hi - lo)], 0, [t.pairs(i[:0], i[:0])]
+        while at < len(i):
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + PAIRS_AT_ONCE, "right")) - 1)
+            count = (hi - lo)[at:to]
+            x = np.repeat(i[at:to], count)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[at:to], count)
+            keep = own[y] & (comp[x] != comp[y]) & (~looks[y] | (x < y) | ~own[x])
+            x, y = x[keep], y[keep]
+            ok = t.may_link(x, y, percent)
+            found.append(t.pairs(x[ok], y[ok]))
+            at = to
+        return pd.concat(found).groupby(["a", "b"], sort=False, as_index=False).sum()
+
+    alone = rows.where("blocks = 1").withColumns({"main": F.lit(0).cast("long"), "known": F.lit(False), "block": F.lit(0), "own": F.lit(True)})
+    hot = rows.where("blocks > 1")
+    sizes = hot.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", "m").alias("main"), F.sum("m").alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    sizes = sizes.select("token", "main", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("parts"))
+    hot = hot.join(sizes, "token").withColumn("known", F.lit(True)).withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    all_blocks = F.when(F.col("comp") == F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    hot = hot.withColumn("block", F.explode(all_blocks)).withColumn("own", F.col("block") == F.col("home"))
+    both = alone.unionByName(hot.drop("parts", "home"))
+    return cells(both, n_rows, "block").applyInPandas(run, "a long, b long, tiles long").select("a", "b").distinct()
+
+
+def largest(tile: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """The most frequent component of each tile."""
+    order = np.lexsort((comp, tile))
+    tile, comp = tile[order], comp[order]
+    head = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (comp[1:] != comp[:-1])])
+    n = np.diff(np.r_[head, len(tile)])
+    by_size = np.lexsort((n, tile[head]))
+    out = np.zeros(int(tile[-1]) + 1, np.int64)
+    out[tile[head][by_size]] = comp[head][by_size]  # the last of a tile stays
+    return out
+
 
+def bounded(pairs: DataFrame, every: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures leave room for the link: a document's bits that the other lacks bound the overlap from above."""
     def run(batches):
-        held = None
         for pdf in batches:
-            pdf["old"] = False
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            for out in pairs(pdf[pdf.token.duplicated(keep=False)]):
-                yield pd.DataFrame({"a": out[0], "b": out[1]})
-            last = pdf[pdf.token == pdf.token.iat[-1]]
-            held = last[last.n * 100 >= last.n.iat[-1] * percent].assign(old=True)
-            held = held.tail(OFFERS[-1]) if few else held
-
-    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    found = dealt.mapInPandas(run, "a long, b long").distinct()
-    if few:
-        order = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a")
-        found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= len(OFFERS)).drop("nth")
-    return found
+            keep = []
+            for sa, sb, na, nb in zip(pdf.sig_a, pdf.sig_b, pdf.n_a, pdf.n_b, strict=True):
+                a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
+                while len(a) > len(b):
+                    a = a[: len(a) // 2] | a[len(a) // 2 :]
+                while len(b) > len(a):
+                    b = b[: len(b) // 2] | b[len(b) // 2 :]
+                need = -(-percent * (na + nb) // (100 + percent))
+                keep.append(na - int(np.bitwise_count(a & ~b).sum()) >= need and nb - int(np.bitwise_count(b & ~a).sum()) >= need)
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    side = lambda x: every.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -240,6 +332,8 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     First every set tries a few partners that pass the bounds; then, in tiles
     that still hold several components, all pairs between these are verified, so
     no link is lost while a group of near copies is not spelled out in pairs.
+    Candidates meet signatures of some bits a shingle first, and whole texts
+    only where these leave room for a link.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -249,15 +343,13 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     member = stored(every.join(first, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     copies = member.where("doc_id != rep").select("doc_id")
     single = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
-    classes = spark.sparkContext.broadcast(frequencies(docs, k))
+    classes = spark.sparkContext.broadcast(frequencies(single, k))
     rows = stored(tile_rows(single, k, percent, classes))
-    links = stored(verify(tile_pairs(rows.withColumn("comp", F.col("doc_id")), percent, True), single, k, percent))
+    n_rows = rows.count()
+    links = stored(verify(bounded(offers(rows, n_rows, percent), every, percent), single, k, percent))
     comp = stored(components(links))
     labelled = rows.join(F.broadcast(comp) if comp.count() <= BROADCAST_IDS else comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    # Written first: right after a join on token the planner drops the tiles' own shuffle and may then read the join's rows in another order.
-    tiles = stored(labelled.join(mixed, "token", "left_semi"))
-    more = stored(verify(tile_pairs(tiles, percent, False), single, k, percent))
+    more = stored(verify(bounded(between(labelled, n_rows, percent), every, percent), single, k, percent))
     comp = stored(components(links.union(more)))
     return member.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
