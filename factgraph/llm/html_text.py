@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SKIP = {"script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "title", "object", "dialog", "menu"}
-BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "table", "tr", "td", "th", "tbody", "thead", "div", "section", "article", "main", "body", "html", "header", "figure", "figcaption", "address", "br", "hr"}
+BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "table", "tr", "td", "th", "tbody", "thead", "div", "section", "article", "main", "body", "html", "header", "figure", "figcaption", "address", "hr"}
+DIRECT = {"div", "section", "article", "main", "body"}
 TEXTUAL = {"p", "pre", "blockquote", "td", "li", "dd"}
-CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "li", "dt", "dd", "body", "html"} | {"ul", "ol"}
-UNLIKELY = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|comments?|disqus|replies|sidebar|side|nav\w*|menu|footer|header|breadcrumbs?|share|social|related|newsletter|subscribe|widget|masthead)(?:$|[_-])", re.I)
+CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "li", "dt", "dd", "body", "html"} | {"ul", "ol"}
+UNLIKELY = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|comments?|disqus|replies|sidebar|nav\w*|menu|footer|header|breadcrumbs?|share|social|related|newsletter|subscribe|widget|masthead)(?:$|[_-])", re.I)
+#: Text elements keep what they hold, whatever their name.
+NAMED = BLOCK - {"html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "tr", "td", "th", "tbody", "thead", "figcaption", "hr"} | {"span"}
 #: Names that say what else the page has, not what the element is.
 ABOUT_PAGE = re.compile(r"(?:^|[_-])(?:with|without|has|no)[_-]", re.I)
 HEADER = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-])", re.I)
@@ -22,14 +25,19 @@ WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "score", "bad", "named", "text_n", "link_n")
+    __slots__ = ("tag", "parent", "items", "score", "passed", "bad", "named", "text_n", "link_n", "commas", "direct_n", "direct_commas")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool = False):
         self.tag, self.parent, self.bad = tag, parent, bad
         self.named = False  # marked only for its class, id or role
         self.items: list[Node | str] = []
-        self.score = 0.0
-        self.text_n = self.link_n = 0
+        self.score = self.passed = 0.0
+        self.text_n = self.link_n = self.commas = self.direct_n = self.direct_commas = 0
+
+    def points(self) -> float:
+        """For a text element's whole text, or for the text that lies directly in a container."""
+        n, commas = (self.text_n, self.commas) if self.tag in TEXTUAL else (self.direct_n, self.direct_commas) if self.tag in DIRECT else (0, 0)
+        return 1 + commas + min(n / 100, 3) if n else 0.0
 
 
 class Tree(HTMLParser):
@@ -47,7 +55,7 @@ class Tree(HTMLParser):
             self.end(tag)
         inside = bool(self.open.get("article") or self.open.get("main"))
         node = Node(tag, self.at, tag in SKIP or tag == "header" and not inside)
-        if not node.bad and tag not in ("html", "body", "article", "main"):
+        if not node.bad and tag in NAMED:
             said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).split()
             node.named = any(UNLIKELY.search(v) and not ABOUT_PAGE.search(v) and not (inside and HEADER.search(v)) for v in said)
         self.at.items.append(node)
@@ -88,6 +96,8 @@ def blocks(node: Node) -> list[str]:
             run.clear()
         elif isinstance(x, str):
             run.append(x)
+        elif x.tag == "br":
+            run.append(" ")
         elif not x.bad:
             border = x.tag in BLOCK
             stack.extend([None] * border)
@@ -97,6 +107,27 @@ def blocks(node: Node) -> list[str]:
     return [t for t in (WHITE.sub(" ", b).strip() for b in out) if t]
 
 
+def measure(tree: Tree, left_out: set) -> None:
+    """Lengths and commas of the text of every element, once from the leaves up, without the subtrees that are left out."""
+    for node in tree.nodes:
+        node.text_n = node.link_n = node.commas = node.direct_n = node.direct_commas = 0
+    for node in reversed(tree.nodes):
+        if node in left_out:
+            continue
+        for x in node.items:
+            if isinstance(x, str):
+                node.direct_n += len(WHITE.sub(" ", x).strip())
+                node.direct_commas += x.count(",") + x.count("，")
+        node.text_n += node.direct_n
+        node.commas += node.direct_commas
+        if node.tag == "a":
+            node.link_n = node.text_n
+        if node.parent is not None:
+            node.parent.text_n += node.text_n
+            node.parent.link_n += node.link_n
+            node.parent.commas += node.commas
+
+
 def mark(tree: Tree) -> None:
     """Marks the elements that their name says are no content, and all below marked ones.
 
@@ -109,13 +140,13 @@ def mark(tree: Tree) -> None:
             below.add(node)
         if node.named or node.parent in named:
             named.add(node)
+    measure(tree, below)
     points, holds = dict.fromkeys(tree.nodes, 0.0), set()
     for node in reversed(tree.nodes):
         if node in below:
             continue
         if node.tag in TEXTUAL:
-            text = "".join(blocks(node))
-            points[node] += 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3) if text else 0
+            points[node] += node.points()
         if node.tag in ("article", "main"):
             holds.add(node)
         if node.parent is not None:
@@ -131,39 +162,31 @@ def mark(tree: Tree) -> None:
 
 def extract(html: str | None) -> str:
     """Article text: each paragraph passes points for its length and commas to
-    its parent, half to the grandparent, a third of that further up; a link
-    density discounts them. The best container is kept with siblings that score
-    a fifth of it or are text or paragraphs of few links."""
+    its parent, half to the grandparent, a third of that to each further one; a
+    link density discounts them. The best container is kept with siblings that
+    score a fifth of it or are text or paragraphs of few links; beside an
+    article only other articles of such a score. <br> is white space inside its
+    block. Time is linear in the page, whatever the depth of its elements."""
     tree = Tree()
     tree.feed(html or "")
     HTMLParser.close(tree)
     mark(tree)
+    measure(tree, {n for n in tree.nodes if n.bad})
+    density = lambda n: n.link_n / n.text_n if n.text_n else 0.0
     for node in reversed(tree.nodes):
         if node.bad:
             continue
-        own = sum(len(WHITE.sub(" ", x).strip()) for x in node.items if isinstance(x, str))
-        node.text_n += own
-        if node.tag == "a":
-            node.link_n = node.text_n
+        own = node.points()
+        if node.tag in TEXTUAL:
+            to_parent, further = own, 0.0
+        else:  # a container's own text counts for itself
+            node.score += own
+            to_parent, further = 0.0, own / 2
         if node.parent is not None:
-            node.parent.text_n += node.text_n
-            node.parent.link_n += node.link_n
-    density = lambda n: n.link_n / n.text_n if n.text_n else 0.0
-    for node in tree.nodes:
-        if node.bad or not node.text_n:
-            continue
-        direct = [x for x in node.items if isinstance(x, str) and x.strip()]
-        if node.tag in TEXTUAL or direct and node.tag in ("div", "section", "article", "main", "body"):
-            text = "".join(direct) if node.tag not in TEXTUAL else " ".join(blocks(node))
-            if not text:
-                continue
-            points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
-            up, share, level = node if node.tag not in TEXTUAL else node.parent, 1.0, 0
-            while up is not None and level < 5:
-                up.score += points * share
-                level += 1
-                share = 0.5 if level == 1 else share / 3
-                up = up.parent
+            # score: what its paragraphs passed; passed: what they pass on from here.
+            node.parent.score += to_parent + node.passed
+            node.parent.passed += to_parent / 2 + further / 3 + node.passed / 3
+            node.parent.score += further
     able = [n for n in tree.nodes if not n.bad and n.score > 0 and n.tag not in ("root", "a", "b", "i", "em", "strong", "span")]
     if not able:
         return "\n\n".join(blocks(tree.root))
@@ -172,11 +195,13 @@ def extract(html: str | None) -> str:
     while around is not None and around.tag not in ("article", "main"):
         around = around.parent
     best = around or best
-    if best.parent is None or best.tag in ("article", "main", "body", "html"):
+    if best.parent is None or best.tag in ("main", "body", "html"):
         return "\n\n".join(blocks(best))
-    least, kept = best.score * (1 - density(best)) / 5, Node(best.parent.tag, None)
+    least, kept = max(best.score * (1 - density(best)) / 5, 1e-9), Node(best.parent.tag, None)
     for x in best.parent.items:
-        if x is best or isinstance(x, str) or not x.bad and (x.tag not in BLOCK and density(x) < 0.25 or x.tag in ("br", "hr") or x.score * (1 - density(x)) >= max(least, 1e-9) or x.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "table") and density(x) < 0.25):
+        if x is best or not isinstance(x, str) and not x.bad and x.tag == best.tag and x.score * (1 - density(x)) >= least:
+            kept.items.append(x)
+        elif best.tag != "article" and (isinstance(x, str) or not x.bad and (x.tag not in BLOCK and density(x) < 0.25 or x.tag == "hr" or x.score * (1 - density(x)) >= least or x.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "table") and density(x) < 0.25)):
             kept.items.append(x)
     return "\n\n".join(blocks(kept))
 
