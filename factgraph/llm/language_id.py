@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 DOCS_PER_LANG, WINDOWS_PER_DOC, EPOCHS, SEED = 400, 4, 12, 7
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's categories L is in it."""
+    return any(unicodedata.category(c)[0] == "L" for c in text if c.isalpha())
 
 
 def windows(data: bytes, size: int = WINDOW) -> np.ndarray:
@@ -119,7 +123,7 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> ByteCnn | None
         for pdf in batches:
             rows = []
             for text, lang in zip(pdf.text, pdf.lang, strict=True):
-                if LETTER.search(text):
+                if has_letter(text):
                     w = windows(text.encode())
                     rows += [(lang, w[i].tobytes()) for i in sorted({int(j) for j in np.linspace(0, len(w) - 1, min(len(w), WINDOWS_PER_DOC))})]
             yield pd.DataFrame(rows, columns=["lang", "win"])
@@ -145,7 +149,7 @@ def identify(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
         tables = net and net._tables()
         for pdf in batches:
             langs, scores = ["und"] * len(pdf), [0.0] * len(pdf)
-            rows = [i for i, t in enumerate(pdf.text) if net and t is not None and LETTER.search(t)]
+            rows = [i for i, t in enumerate(pdf.text) if net and t is not None and has_letter(t)]
             for part in range(0, len(rows), 256):
                 idx = rows[part : part + 256]
                 wins = [windows(pdf.text.iloc[i].encode()) for i in idx]
