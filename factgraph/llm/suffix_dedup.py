@@ -62,8 +62,11 @@ def segments(texts: list[bytes], size: int = MIN_BYTES):
     since = np.arange(len(own)) - np.repeat(heads, np.diff(np.r_[heads, len(own)]))
     heads = np.flatnonzero(since % w == 0)
     n = np.diff(np.r_[heads, len(own)])
+    # Windows of 32 bytes side by side, the last one at the end, cover the whole segment.
     a, last, h32 = at[heads], n + size - 1 - 32, hashes[32]
-    seg = both(both(h32[a], h32[a + last]), both(h32[a + last // 2], n.astype(np.uint64)))
+    seg = both(h32[a + last], n.astype(np.uint64))
+    for offset in range(0, 2 * size - 52, 32):
+        seg = both(seg, h32[a + np.minimum(offset, last)])
     return own[heads], low[heads], seg, first[heads], n
 
 
@@ -234,14 +237,18 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, size: int = MIN_BYTES, carry: list[str] = ()) -> DataFrame:
-    """doc_id, text, n_bytes, spans, kept (binary) of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (text) of every row.
 
     Removes each byte of a `size`-byte string that a document with a smaller
     doc_id has too; strings are judged on the input. Null texts are empty. Rows
     that repeat a doc_id never remove from each other; each loses what an earlier
-    doc_id has. Null doc_ids come after all others and count as one doc_id.
+    doc_id has. Null doc_ids come after all others and count as one doc_id. In
+    `kept` a character that is cut in half is dropped; kept_sha256 is of all bytes.
+    size is at least 32. An empty table gives no rows.
     Other columns are left out, except those to carry (without nulls).
     """
+    if size < 32:
+        raise ValueError("size: 32 bytes at least")
     real, carry = F.col("doc_id").cast("long"), list(carry)
     docs = docs.select(F.coalesce(real, F.lit(LAST)).alias("doc_id"), real.isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"), *carry).withColumn("th", F.xxhash64("text"))
     # Whole copies of an earlier text need no search.
