@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 2048, 16_384
+QUERY_BLOCK, ROW_BLOCK = 8192, 8192
 
 
 def add_slices(groups: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
@@ -65,6 +65,8 @@ class Slices:
         """For a negative weight the complement of each slice is added; the constant that this adds is the same for all rows."""
         groups: dict[int, list[np.ndarray]] = {}
         size = np.abs(query)
+        if len(query) * int(size.max()) * max(abs(int(self.rows.max())), abs(int(self.low.min()))) >= 1 << 62:
+            raise OverflowError("components are too large for a 64-bit inner product")
         for c in range(int(size.max()).bit_length() if len(size) else 0):
             for sign in (query > 0, query < 0):
                 use = sign & (size >> c & 1).astype(bool)
@@ -90,48 +92,35 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     the query's, nor rows that share the query's vec_id. Repeated queries count
     once, repeated candidates each. Ties go to the smaller vec_id.
 
-    Queries go out in blocks of at most QUERY_BLOCK, each against all rows;
-    every task returns k rows a query from each ROW_BLOCK of its rows.
+    Components so large that an inner product may leave 64 bits raise an error.
+    Other columns are left out; an empty table gives no rows.
+
+    Blocks of about ROW_BLOCK rows meet blocks of about QUERY_BLOCK queries in
+    one job, each pair of blocks in a task, which returns k rows a query.
     """
     x = F.col("embedding")
     good = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)) & (F.size("embedding") > 0)).select(
         "vec_id", F.transform("embedding", lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("v"))
+    n_rows, n_queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    row_blocks, query_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    schema = "query_id long, vec_id long, score long"
-    found = None
-    for block in range(n_blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).toPandas()
-        if len(part) == 0:
-            continue
-        sent = vectors.sparkSession.sparkContext.broadcast([(int(i), np.array(v, np.int64)) for i, v in zip(part.vec_id, part.v, strict=True)])
-
-        def run(batches, sent=sent):
-            held: list[pd.DataFrame] = []
-
-            def search():
-                pdf = pd.concat(held)
-                held.clear()
-                sizes = pdf.v.map(len)
-                for size in sizes.unique():
-                    own = pdf[sizes == size]
-                    index = Slices(own.vec_id.to_numpy(np.int64), np.stack(own.v.to_list()).astype(np.int64))
-                    out = [(q, *index.search(v, q, k)) for q, v in sent.value if len(v) == size]
-                    for i in range(0, len(out), 256):
-                        yield pd.DataFrame({"query_id": np.concatenate([np.full(len(a), q) for q, a, _ in out[i : i + 256]]), "vec_id": np.concatenate([a for _, a, _ in out[i : i + 256]]), "score": np.concatenate([s for *_, s in out[i : i + 256]])})
-
-            for pdf in batches:
-                held.append(pdf)
-                if sum(map(len, held)) >= ROW_BLOCK:
-                    yield from search()
-            if held and sum(map(len, held)):
-                yield from search()
-
-        one = rows.mapInPandas(run, schema)
-        found = one if found is None else found.unionAll(one)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
+
+    def search(rows, queries):
+        own: list[tuple] = []
+        sizes = rows.v.map(len)
+        for size in sizes.unique():
+            part = rows[sizes == size]
+            index = Slices(part.vec_id.to_numpy(np.int64), np.stack(part.v.to_list()).astype(np.int64))
+            own += [(q, *index.search(np.array(v, np.int64), q, k)) for q, v in zip(queries.vec_id, queries.v, strict=True) if len(v) == size]
+        if not own:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+        return pd.DataFrame({"query_id": np.repeat([q for q, *_ in own], [len(a) for _, a, _ in own]), "vec_id": np.concatenate([a for _, a, _ in own]), "score": np.concatenate([s for *_, s in own])})
+
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("row_block", F.pmod(F.monotonically_increasing_id(), F.lit(row_blocks)).cast("int")).withColumn("query_block", every_block(query_blocks))
+    right = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("row_block", every_block(row_blocks))
+    found = left.groupBy("row_block", "query_block").cogroup(right.groupBy("row_block", "query_block")).applyInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures with nulls, empty texts, copies and clashing columns."""
 
+import hashlib
 import math
 import random
 import re
@@ -37,18 +38,21 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize("size", [32, 50, 150])
+def test_suffix_dedup(docs, empty, size):
     first, raws = {}, [(t or "").encode() for t in texts()]
     for i, b in enumerate(raws):
-        for j in range(len(b) - 49):
-            first.setdefault(b[j : j + 50], i)
-    got = {r.doc_id: r for r in suffix_dedup.dedup(docs).collect()}
+        for j in range(len(b) - size + 1):
+            first.setdefault(b[j : j + size], i)
+    got = {r.doc_id: r for r in suffix_dedup.dedup(docs, size).collect()}
     for i, b in enumerate(raws):
         gone = bytearray(len(b))
-        for j in range(len(b) - 49):
-            if first[b[j : j + 50]] < i:
-                gone[j : j + 50] = b"\1" * 50
-        assert (got[i].n_bytes, got[i].n_removed) == (len(b), sum(gone))
+        for j in range(len(b) - size + 1):
+            if first[b[j : j + size]] < i:
+                gone[j : j + size] = b"\1" * size
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     assert suffix_dedup.dedup(empty).count() == 0
 
 
@@ -143,6 +147,24 @@ def test_top_k_equals_sql(spark):
     assert sorted(map(tuple, topk.top_k(spark.read.parquet(f"{SF}/embeddings.parquet")).collect())) == sorted(con.execute(topk.ORACLE).fetchall())
     odd = spark.createDataFrame([(0, [1.0, -2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [1.0, -2.0]), (6, [1.0, -2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(odd).orderBy("rank").collect()] == [(0, 1, 4, 327680), (0, 2, 6, 327680)]
+    assert topk.top_k(odd.where("false")).count() == 0
+    with pytest.raises(Exception, match="64-bit"):
+        topk.top_k(odd.union(spark.createDataFrame([(7, [1e30, 0.0])], odd.schema))).collect()
+
+
+def test_top_k_blocks_and_ties(spark, monkeypatch):
+    """Several blocks of rows and queries, ties, repeated rows and columns of the operator's own names."""
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(0, 240, 2)] * 2
+    got = topk.top_k(spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, rank int, query_block int")).collect()
+    want = []
+    for q, v in dict(rows).items():
+        if q % 50 == 0:
+            best = sorted((-int(65536 * sum(a * b for a, b in zip(v, w))), i) for i, w in rows if i != q)[:5]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_elias_fano_round_trip(tmp_path):
@@ -197,6 +219,7 @@ def test_language_id_held_out(spark, docs):
     out = [r for r in language_id.identify(rows, net).join(rows.select("doc_id", "lang"), "doc_id").collect() if r.held_out and r.lang]
     assert sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out)
     assert {r.doc_id for r in language_id.identify(docs, net).where("lang_pred = 'und'").collect()} == {0, 7, 8}
+    assert [language_id.has_letter(t) for t in ("½ ²", "１٣ 5", "", "a", "日", "ª", "Ⅷ")] == [False, False, False, True, True, True, False]
 
 
 def test_html():
@@ -215,7 +238,29 @@ def test_html_named_wrappers():
         page = f'<body><article><div class="{name}"><h1>Head</h1></div>{body[13:]}</article><div id="comments"><article><p>No, no, no</p></article></div>'
         assert html_text.extract(page) == want
     page = "<body><section>Before, bare <b>bold</b> text.<div><p>One, two, three, four, five, six.</p><p>Seven, eight, nine.</p></div>After <br>it.</section></body>"
-    assert html_text.extract(page) == "Before, bare bold text.\n\nOne, two, three, four, five, six.\n\nSeven, eight, nine.\n\nAfter\n\nit."
+    assert html_text.extract(page) == "Before, bare bold text.\n\nOne, two, three, four, five, six.\n\nSeven, eight, nine.\n\nAfter it."
+
+
+def test_html_names_depth_and_articles():
+    body = "<h1>Head</h1><p>One, two and three, with more words than others have.</p>"
+    kept = "Head\n\nOne, two and three, with more words than others have."
+    assert html_text.extract(f'<body><article>{body}<p class="related work">Work, that is related.</p><div class="side by side">Both.</div></article>') == f"{kept}\n\nWork, that is related.\n\nBoth."
+    assert html_text.extract(f'<body><main><article>{body}</article><article>{body}</article></main>') == f"{kept}\n\n{kept}"
+    assert html_text.extract(f'<body><div class="page no-sidebar">{body}</div>') == kept
+    assert html_text.extract("<body><article><p>One<br>two<br/>three</p></article>") == "One two three"
+    deep = "<blockquote>" * 4000 + "<p>Deep, deeper.</p>" + "</blockquote>" * 4000
+    assert html_text.extract(f"<body><article>{body}{deep}</article>") == f"{kept}\n\nDeep, deeper."
+
+
+def test_html_pages_equal_their_articles():
+    """Brute force for the supplied pages, whose text is all in one article: tags are cut from it by patterns."""
+    import html
+
+    for page, url in duckdb.connect().execute(f"SELECT html, url FROM read_parquet('{SF}/pages.parquet')").fetchall():
+        inside = re.search(r"<article>(.*)</article>", page or "", re.S)
+        parts = re.split(r"</?(?:p|h1|ul|li)[^>]*>", re.sub(r"<!--.*?-->", "", inside.group(1), flags=re.S)) if inside else []
+        want = "\n\n".join(t for t in (" ".join(html.unescape(re.sub(r"<[^>]+>", lambda m: " " if m.group().startswith("<br") else "", x)).split()) for x in parts) if t)
+        assert html_text.extract(page) == want
 
 
 def test_license_scan(spark):
