@@ -1,8 +1,10 @@
-"""Graph closures as iterative joins; each round's result is cut from its lineage by checkpoint()."""
+"""Graph closures as iterative joins; each round's new rows are cut from their lineage by checkpoint()."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +13,23 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factgraph-", dir="/tmp"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"factgraph-{sc.applicationId}"))
     return df.checkpoint()
 
 
+def _rounds(front: DataFrame, keys: list[str], step) -> DataFrame:
+    """front and what step() adds to it, round by round, until nothing is new. Only new rows are written in a round."""
+    found = [front := checkpointed(front)]
+    while not front.isEmpty():
+        seen = reduce(DataFrame.unionByName, found).select(keys)
+        front = checkpointed(step(front).join(seen, keys, "left_anti"))
+        found.append(front)
+    return reduce(DataFrame.unionByName, found)
+
+
 def call_graph_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """Calls whose callee is defined."""
-    return calls.join(functions.select(F.col("function_id").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee")
+    """Distinct calls whose callee is defined."""
+    return calls.select("caller", "callee").distinct().join(functions.select(F.col("function_id").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee")
 
 
 def closure(seeds: DataFrame, edges: DataFrame, label: str) -> DataFrame:
@@ -25,45 +37,106 @@ def closure(seeds: DataFrame, edges: DataFrame, label: str) -> DataFrame:
 
     Semi-naive: a round joins only the pairs that the round before found.
     """
-    edges = checkpointed(edges.distinct())
-    seen = front = checkpointed(seeds.select(label, "function_id").distinct().withColumn("depth", F.lit(0)))
-    while not front.isEmpty():
-        step = front.join(edges, F.col("function_id") == F.col("caller")).groupBy(label, F.col("callee").alias("function_id")).agg((F.min("depth") + 1).cast("int").alias("depth"))
-        front = checkpointed(step.join(seen, [label, "function_id"], "left_anti"))
-        seen = checkpointed(seen.unionByName(front))
-    return seen
+    edges = checkpointed(edges.select("caller", "callee").distinct())
+
+    def step(front):
+        return front.join(edges, F.col("function_id") == F.col("caller")).groupBy(label, F.col("callee").alias("function_id")).agg((F.min("depth") + 1).cast("int").alias("depth"))
+
+    return _rounds(seeds.select(label, "function_id").distinct().withColumn("depth", F.lit(0)), [label, "function_id"], step)
+
+
+def witness_paths(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """context_id, function_id, path, call_depth: of the shortest paths from a context's roots the one that comes first in order."""
+    edges = checkpointed(edges.select("caller", "callee").distinct())
+
+    def step(front):
+        return front.join(edges, F.col("function_id") == F.col("caller")).groupBy("context_id", F.col("callee").alias("function_id")).agg(F.min(F.concat("path", F.array("callee"))).alias("path"))
+
+    found = _rounds(roots.select("context_id", "function_id").distinct().withColumn("path", F.array("function_id")), ["context_id", "function_id"], step)
+    return found.withColumn("call_depth", F.size("path") - 1)
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges that stay when functions without a caller or without a callee go, again and again."""
+    n = edges.count()
+    while True:
+        edges = edges.join(edges.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi")
+        edges = checkpointed(edges.join(edges.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee"))
+        n, before = edges.count(), n
+        if n == before:
+            return edges
 
 
 def cyclic_edges(edges: DataFrame) -> DataFrame:
-    """Edges on a cycle: the callee reaches the caller."""
-    ends = edges.select(F.col("callee").alias("seed"), F.col("callee").alias("function_id")).distinct()
-    reach = closure(ends, edges, "seed").select(F.col("seed").alias("callee"), F.col("function_id").alias("caller"))
-    return edges.join(reach, ["caller", "callee"], "left_semi").select("caller", "callee")
+    """Edges inside a strongly connected component.
+
+    Each function takes the smallest id that reaches it; what reaches that
+    smallest function back, among those of its label, is its component. Found
+    components leave the graph and the rest goes round again.
+    """
+    left, found = _trimmed(checkpointed(edges.select("caller", "callee").distinct())), []
+    while not left.isEmpty():
+        labels = checkpointed(left.select(F.col("caller").alias("function_id")).union(left.select("callee")).distinct().withColumn("label", F.col("function_id")))
+        while True:
+            passed = left.join(labels, F.col("caller") == F.col("function_id")).groupBy(F.col("callee").alias("function_id")).agg(F.min("label").alias("least"))
+            moved = labels.join(passed, "function_id", "left").select("function_id", F.coalesce(F.least("label", "least"), "label").alias("label"), F.coalesce(F.col("least") < F.col("label"), F.lit(False)).alias("moved"))
+            moved = checkpointed(moved)
+            labels = moved.select("function_id", "label")
+            if moved.where("moved").isEmpty():
+                break
+        of = lambda side: labels.select(F.col("function_id").alias(side), F.col("label").alias(f"{side}_label"))
+        same = checkpointed(left.join(of("caller"), "caller").join(of("callee"), "callee").where("caller_label = callee_label").select("caller", "callee", F.col("caller_label").alias("label")))
+        back = same.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))
+        member = checkpointed(closure(labels.where("function_id = label"), back, "label").select("label", "function_id"))
+        inside = same.join(member.withColumnRenamed("function_id", "caller"), ["label", "caller"], "left_semi").join(member.withColumnRenamed("function_id", "callee"), ["label", "callee"], "left_semi")
+        found.append(checkpointed(inside.select("caller", "callee")))
+        gone = member.select("function_id")
+        left = left.join(gone.withColumnRenamed("function_id", "caller"), "caller", "left_anti").join(gone.withColumnRenamed("function_id", "callee"), "callee", "left_anti")
+        left = _trimmed(checkpointed(left.select("caller", "callee")))
+    return reduce(DataFrame.union, found) if found else edges.select("caller", "callee").limit(0)
+
+
+#: Library calls whose effect is modelled.
+SUMMARISED = ["memcpy", "memmove", "memset", "memcmp", "xTaskCreate", "xTaskCreateStatic", "osThreadNew", "xTaskCreatePinnedToCore"]
 
 
 def external_callees(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """Distinct calls whose callee is not defined."""
-    return calls.join(functions.select(F.col("function_id").alias("callee")).distinct(), "callee", "left_anti").select("caller", "callee").distinct()
+    """function_id, file, line, callee: one row for each site that calls undefined code whose effect is not modelled."""
+    made = calls.where(F.col("call_kind").isin("DIRECT", "INDIRECT_RESOLVED") & ~F.coalesce(F.col("callee_name").isin(SUMMARISED), F.lit(False)))
+    return made.join(functions.select(F.col("function_id").alias("callee")).distinct(), "callee", "left_anti").select(F.col("caller").alias("function_id"), "file", "line", F.col("callee_name").alias("callee")).distinct()
 
 
-def possible_functions(seeds: DataFrame, edges: DataFrame, calls: DataFrame, functions: DataFrame) -> DataFrame:
+def possible_functions(seeds: DataFrame, edges: DataFrame, opaque: DataFrame, functions: DataFrame) -> DataFrame:
     """function_id of all that may run. Once a caller of undefined code runs, every function with external linkage may."""
     start = seeds.select(F.lit(0).alias("any"), "function_id")
     reached = closure(start, edges, "any").select("function_id")
-    opaque = external_callees(calls, functions).select(F.col("caller").alias("function_id"))
     if reached.join(opaque, "function_id", "left_semi").isEmpty():
         return reached
-    outside = functions.where("is_external").select(F.lit(0).alias("any"), "function_id")
+    outside = functions.where("linkage = 'EXTERNAL'").select(F.lit(0).alias("any"), "function_id")
     return closure(start.unionByName(outside), edges, "any").select("function_id")
 
 
-def unreachable_functions(functions: DataFrame, possible: DataFrame, roots: DataFrame, unknowns: DataFrame, gap_kinds: list[str]) -> DataFrame:
-    """function_id that surely never runs: none if there is no root, or a gap of one of these kinds."""
-    if roots.isEmpty() or not unknowns.where(F.col("kind").isin(gap_kinds)).isEmpty():
-        return functions.select("function_id").limit(0)
-    return functions.select("function_id").join(possible, "function_id", "left_anti")
+#: Kinds of uncertainty that leave open what runs.
+GAP_KINDS = [
+    "PARSE_FAILED", "POINTS_TO_LIMIT", "INLINE_ASSEMBLY", "CPP_SEMANTICS_REVIEW", "MULTIPLE_BUILD_VARIANTS", "SOURCE_CHANGED_DURING_SCAN", "HEADER_CHANGED_DURING_SCAN", "UNMATCHED_CONTEXT",
+    "UNRESOLVED_CONFIG_CALL", "UNRESOLVED_TASK_ENTRY", "CMSIS_V1_TASK_ENTRY", "UNRESOLVED_REGISTERED_ENTRY", "UNMATCHED_ENTRY_REGISTRATION", "ASSEMBLY_SOURCE_REVIEW", "BUILD_INCOMPLETE",
+]
+
+
+def reachability(functions: DataFrame, bound: DataFrame, possible: DataFrame, unknowns: DataFrame) -> DataFrame:
+    """function_id, reachability: REACHABLE from a context; PROVEN_UNREACHABLE if nothing may run it, contexts exist and no gap leaves it open; else UNKNOWN_ENTRY."""
+    closed = not bound.isEmpty() and unknowns.where(F.col("kind").isin(GAP_KINDS)).isEmpty()
+    flagged = functions.select("function_id").join(bound.select("function_id").distinct().withColumn("bound", F.lit(True)), "function_id", "left").join(possible.select("function_id").distinct().withColumn("possible", F.lit(True)), "function_id", "left")
+    return flagged.select("function_id", F.when(F.col("bound"), "REACHABLE").when(F.col("possible").isNull() & F.lit(closed), "PROVEN_UNREACHABLE").otherwise("UNKNOWN_ENTRY").alias("reachability"))
 
 
 def taint(unknowns: DataFrame, edges: DataFrame) -> DataFrame:
-    """kind, function_id: kinds of uncertainty flow from each caller to its callees."""
-    return closure(unknowns.select("kind", "function_id"), edges, "kind").select("kind", "function_id")
+    """kind, function_id: kinds of uncertainty without a symbol flow from their target, else their function, to all callees."""
+    at = F.coalesce("target_function_id", "function_id")
+    seeds = unknowns.where(F.col("symbol_id").isNull()).select("kind", at.alias("function_id")).where("function_id != ''")
+    return closure(seeds, edges, "kind").select("kind", "function_id")
+
+
+def ancestors(seeds: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """label, function_id: the seeds and everything that calls them, directly or not."""
+    return closure(seeds, edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")), label).select(label, "function_id")
