@@ -1,9 +1,10 @@
-"""Graph closures as iterative joins; each round's new rows are cut from their lineage by checkpoint()."""
+"""Graph closures as iterative joins; each round's new rows are cut from their lineage by a written table."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,10 +12,15 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"factgraph-{sc.applicationId}"))
-    return df.checkpoint()
+    """df written as a table to the shared folder and read back: its lineage ends there, and the planner sees its true size.
+
+    checkpoint() would keep estimated sizes, which multiply from round to round.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), f"factgraph-{spark.sparkContext.applicationId}")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _rounds(front: DataFrame, keys: list[str], step) -> DataFrame:

@@ -206,7 +206,7 @@ def answer_violations(answers: DataFrame) -> DataFrame:
     text = ("reason", "interleaving", "protection", "impact", "fix", "verification")
     missing = e["missing_evidence"]
     rules = [
-        ("NOT_JSON", a.isNull()), ("FINDING_ID", ~a["finding_id"].eqNullSafe(F.col("finding_id"))), ("STATUS", ~F.coalesce(status.isin(STATUSES), F.lit(False))),
+        ("NOT_JSON", F.try_parse_json("answer").isNull()), ("FINDING_ID", ~a["finding_id"].eqNullSafe(F.col("finding_id"))), ("STATUS", ~F.coalesce(status.isin(STATUSES), F.lit(False))),
         *[(f"NO_{t.upper()}", blank(a[t])) for t in text], ("EVIDENCE", a["evidence"].isNull() | ((status != "NEED_MORE_CONTEXT") & (n_evidence == 0))),
         ("EVIDENCE_ITEM", some(a["evidence"], lambda x: blank(x["file"]) | F.coalesce(x["line"] < 1, F.lit(True)) | blank(x["quote"]))), ("CLAIM", some(a["evidence"], lambda x: blank(x["claim"]))),
         ("SCHEMA_VERSION", ~a["schema_version"].eqNullSafe(F.lit(2))), ("REVIEW_TYPE", ~a["review_type"].eqNullSafe(F.col("review_type"))), ("NO_EXPLANATION", e.isNull()),
