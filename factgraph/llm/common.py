@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 from urllib.parse import urlparse
 
@@ -55,8 +57,33 @@ def byte_parts(batches, size: int = 4 << 20):
                 yield pdf.iloc[rows]
 
 
+_owner = threading.local()
+
+
+@contextlib.contextmanager
+def collected(paths: list[str]):
+    """Adds the paths of tables that are stored meanwhile, by this thread, to the list."""
+    before, _owner.paths = getattr(_owner, "paths", None), paths
+    try:
+        yield
+    finally:
+        _owner.paths = before
+
+
+def release(spark: SparkSession, paths: list[str], docs: DataFrame) -> None:
+    """Deletes the listed tables and empties the list; those that docs still reads stay in it."""
+    needed = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()} if paths else set()
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in paths if p.rsplit("/", 1)[-1] not in needed]:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(conf).delete(own, True)
+        paths.remove(path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    if getattr(_owner, "paths", None) is not None:
+        _owner.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

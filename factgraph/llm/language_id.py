@@ -6,11 +6,12 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-DOCS_PER_LANG, WINDOWS_PER_DOC, EPOCHS, SEED = 400, 4, 12, 7
+DOCS_PER_LANG, WINDOWS_PER_DOC, EPOCHS, SEED, ROWS = 400, 4, 12, 7, 512
 
 
 def has_letter(text: str) -> bool:
@@ -138,27 +139,35 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> ByteCnn | None
     return net
 
 
-def identify(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
+def identify(docs: DataFrame, net: ByteCnn | None, carry: list[str] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, from its whole text's windows.
 
     The score is the softmax of the windows' mean log probabilities. Null texts,
     texts without a letter and, where nothing could be learned, all texts are
-    'und' with score 0. Repeated rows give repeated rows; other columns are left out.
+    'und' with score 0. Repeated rows give repeated rows, an empty table none.
+    Other columns are left out, except those to carry.
     """
+    carry = list(carry)
+
     def run(batches):
         tables = net and net._tables()
-        for pdf in batches:
-            langs, scores = ["und"] * len(pdf), [0.0] * len(pdf)
-            rows = [i for i, t in enumerate(pdf.text) if net and t is not None and has_letter(t)]
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            text = batch.column("text").to_pylist()
+            langs, scores = ["und"] * len(text), [0.0] * len(text)
+            rows = [i for i, t in enumerate(text) if net and t is not None and has_letter(t)]
             for part in range(0, len(rows), 256):
                 idx = rows[part : part + 256]
-                wins = [windows(pdf.text.iloc[i].encode()) for i in idx]
+                wins = [windows(text[i].encode()) for i in idx]
                 starts = np.cumsum([0, *map(len, wins[:-1])])
                 mean = np.add.reduceat(net.log_probs(np.concatenate(wins), tables), starts) / np.array([len(w) for w in wins])[:, None]
                 p = np.exp(mean - mean.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 for i, row in zip(idx, p, strict=True):
                     langs[i], scores[i] = net.langs[int(row.argmax())], float(row.max())
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out, "lang_pred": langs, "score": scores})
+            columns = ["id", "held_out", *[f"carried_{i}" for i in range(len(carry))]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 5).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), held_out(F.col("doc_id"), 5).alias("held_out"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)], F.col("text").alias("text"))
+    kinds = "".join(f", carried_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    found = rows.mapInArrow(run, f"id long, held_out boolean{kinds}, lang_pred string, score double")
+    return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_parts
 
-SPACE, CACHE_WORDS, WORDS_AT_ONCE = "▁", 400_000, 50_000
+SPACE, CACHE_WORDS, WORDS_AT_ONCE = "▁", 200_000, 50_000
 #: A piece may start with spaces but none follows another character, so merges stay inside these parts.
 PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SHIFT, SLOT_BITS, ODD = 21, 20, np.uint64(0x9E3779B97F4A7C15)

@@ -245,7 +245,7 @@ def dedup(docs: DataFrame, size: int = MIN_BYTES, carry: list[str] = ()) -> Data
     doc_id has. Null doc_ids come after all others and count as one doc_id. In
     `kept` a character that is cut in half is dropped; kept_sha256 is of all bytes.
     size is at least 32. An empty table gives no rows.
-    Other columns are left out, except those to carry (without nulls).
+    Other columns are left out, except strings to carry.
     """
     if size < 32:
         raise ValueError("size: 32 bytes at least")
