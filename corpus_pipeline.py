@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+import functools
+import threading
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm import decontaminate, language_id, ngram_join, sentencepiece_codec, suffix_dedup
-from factgraph.llm.common import stored, table
+from factgraph.llm.common import collected, release, stored, table
 from factgraph.llm.queries import tokenizer_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.3
+#: Rows that go to a Python worker at once: texts are long, and a batch lies in the executor and in the worker.
+BATCH_ROWS = 1000
+
+_own = threading.local()
+
+
+def staged(stage):
+    """A stage that first deletes what earlier stages stored, but for what its documents are still read from. It sets the session's Arrow batches to BATCH_ROWS."""
+    @functools.wraps(stage)
+    def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not hasattr(_own, "paths"):
+            _own.paths = []
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        release(spark, _own.paths, docs)
+        with collected(_own.paths):
+            return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -22,26 +43,27 @@ def by_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("row").alias("doc_id"), "text")
 
 
+@staged
 def detect_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language (no letter, or no class above LEAST_SCORE); lang becomes the predicted one."""
-    docs = keyed(docs)
-    found = language_id.identify(by_row(docs), language_id.train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return docs.drop("lang").join(found.select(F.col("doc_id").alias("row"), F.col("lang_pred").alias("lang")), "row").select(COLUMNS)
+    """Drops texts without a language (no letter, or no class above LEAST_SCORE); lang becomes the predicted one. Repeated rows and null doc_ids stay; no rows give none."""
+    found = language_id.identify(docs, language_id.train(docs), ["text", "source", "n_chars"]).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return found.withColumnRenamed("lang_pred", "lang").select(COLUMNS)
 
 
+@staged
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, of the smallest doc_id, of each group of documents that share 0.8 of their five-word shingles."""
     return ngram_join.keep_one(docs).select(COLUMNS)
 
 
+@staged
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts 50-byte strings that an earlier document has; a character cut in half goes, and a document with nothing left."""
-    docs = keyed(docs)
-    kept = suffix_dedup.dedup(docs, carry=["row"]).select("row", "kept", "n_removed")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return docs.join(kept, "row").withColumn("text", text).where(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    found = suffix_dedup.dedup(docs, carry=["lang", "source"]).withColumnRenamed("kept", "text").where(F.trim("text") != "")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+@staged
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of ten words of a benchmark item."""
     docs = keyed(docs)
@@ -49,6 +71,7 @@ def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(found, "row", "left_anti").select(COLUMNS)
 
 
+@staged
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every kept text and the text that they decode to."""
     return sentencepiece_codec.encode_decode(docs, tokenizer_model(), "full")
@@ -59,7 +82,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; each one's result is written and read again, and what it stored goes when the next has its own."""
+    docs, results = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with collected(results):
+            docs = stored(stage(spark, docs, sf_dir))
+        release(spark, results, docs)
     return docs
