@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import threading
@@ -10,6 +13,7 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,19 @@ def local_path(uri: str) -> str:
     return parts.path
 
 
+def lean(run):
+    """run, a function of a task's batches, after which freed memory goes back to the system: the worker process lives on, beside others."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def byte_parts(batches, size: int = 4 << 20):
     """The batches in runs of rows of about `size` characters of text; a longer text is one of its own."""
     for pdf in batches:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 DOCS_PER_LANG, WINDOWS_PER_DOC, EPOCHS, SEED, ROWS = 400, 4, 12, 7, 512
 
@@ -129,7 +131,7 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> ByteCnn | None
                     rows += [(lang, w[i].tobytes()) for i in sorted({int(j) for j in np.linspace(0, len(w) - 1, min(len(w), WINDOWS_PER_DOC))})]
             yield pd.DataFrame(rows, columns=["lang", "win"])
 
-    rows = labelled.where(spread < share).select("lang", "text").mapInPandas(cut, "lang string, win binary").orderBy("lang", "win").toPandas()
+    rows = labelled.where(spread < share).select("lang", "text").mapInPandas(lean(cut), "lang string, win binary").orderBy("lang", "win").toPandas()
     if not len(rows):
         return None
     langs = sorted(set(rows.lang))
@@ -169,5 +171,5 @@ def identify(docs: DataFrame, net: ByteCnn | None, carry: list[str] = ()) -> Dat
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), held_out(F.col("doc_id"), 5).alias("held_out"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)], F.col("text").alias("text"))
     kinds = "".join(f", carried_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    found = rows.mapInArrow(run, f"id long, held_out boolean{kinds}, lang_pred string, score double")
+    found = rows.mapInArrow(lean(run), f"id long, held_out boolean{kinds}, lang_pred string, score double")
     return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])

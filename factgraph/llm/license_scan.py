@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 BAND, COVERAGE, MAX_TEMPLATE_BYTES = 16, 0.8, 16 << 20
 #: Taken as fingerprints only where a template has too few other words.
@@ -120,4 +122,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage
                             rows.append((doc, name, s, e, -n, -n / len(own)))
             yield pd.DataFrame(rows, columns=["doc_id", "license", "start", "end", "matched", "coverage"])
 
-    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, license string, start long, end long, matched long, coverage double")
+    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lean(run), "doc_id long, license string, start long, end long, matched long, coverage double")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_parts, stored
+from .common import byte_parts, lean, stored
 
 BUCKETS, CHUNK, BROADCAST_IDS = 1 << 20, 1 << 14, 1_000_000
 #: Rows that meet in one task, about: of all tiles of a cell, and of one block of a hot tile.
@@ -106,7 +106,7 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
             sets = shingle_sets(pdf.text, k)
             yield pd.DataFrame({"doc_id": pdf.doc_id, "n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sig": [signature(s) for s in sets]})
 
-    return docs.mapInPandas(run, "doc_id long, n long, key binary, sig binary")
+    return docs.mapInPandas(lean(run), "doc_id long, n long, key binary, sig binary")
 
 
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
@@ -123,7 +123,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
         return pd.DataFrame({"chunk": [key[0]], "class": [np.minimum(np.log2(total + 1.0) * CLASSES, 255).astype(np.uint8).tobytes()]})
 
     out = np.zeros((BUCKETS // CHUNK, CHUNK), np.uint8)
-    for r in docs.mapInPandas(run, "chunk int, n binary").groupBy("chunk").applyInPandas(add, "chunk int, class binary").collect():
+    for r in docs.mapInPandas(lean(run), "chunk int, n binary").groupBy("chunk").applyInPandas(add, "chunk int, class binary").collect():
         out[r["chunk"]] = np.frombuffer(r["class"], np.uint8)
     return out.ravel()
 
@@ -149,7 +149,7 @@ def tile_rows(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
             if parts:
                 yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("token", "doc_id", "n", "pos", "s0", "s1", "blocks"), zip(*parts, strict=True), strict=True)})
 
-    return docs.mapInPandas(run, "token long, doc_id long, n int, pos int, s0 long, s1 long, blocks int")
+    return docs.mapInPandas(lean(run), "token long, doc_id long, n int, pos int, s0 long, s1 long, blocks int")
 
 
 class Tile:
@@ -277,7 +277,7 @@ def bounded(pairs: DataFrame, every: DataFrame, percent: int) -> DataFrame:
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
     side = lambda x: every.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(lean(run), "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -297,7 +297,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    return both.mapInPandas(run, "a long, b long")
+    return both.mapInPandas(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

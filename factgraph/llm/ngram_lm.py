@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_parts, local_path, shared_dir
+from .common import byte_parts, lean, local_path, shared_dir
 from .elias_fano import EliasFano, exists
 from .language_id import held_out
 
@@ -272,7 +272,7 @@ def train(docs: DataFrame, discount: float = DISCOUNT, often: int = SHARD_TOKENS
     def dealt(df, key):
         return df.repartition(key).sortWithinPartitions(key)
 
-    counted = dealt(texts.mapInPandas(words, "word_shard long, rows binary, n binary"), "word_shard").mapInPandas(
+    counted = dealt(texts.mapInPandas(lean(words), "word_shard long, rows binary, n binary"), "word_shard").mapInPandas(
         lambda batches: merged(batches, "word_shard", lambda x: np.frombuffer(x, np.uint64), write_words), "word_shard long, total long, v long, hot array<long>, hot_n array<long>").collect()
     counted.sort(key=lambda r: r.word_shard)
     offset = np.r_[0, np.cumsum([r.v for r in counted])].astype(np.int64)
@@ -299,7 +299,7 @@ def train(docs: DataFrame, discount: float = DISCOUNT, often: int = SHARD_TOKENS
         columns = lambda x: np.frombuffer(x, np.int64) if layout.packs else np.frombuffer(x, np.int64).reshape(-1, 2)
         yield from merged(batches, "shard", columns, lambda s, rows, n: write_shard(path, layout, s, rows, n, discount))
 
-    kinds = dealt(texts.mapInPandas(grams, "shard long, rows binary, n binary"), "shard").mapInPandas(write_grams, "hot array<long>, kinds array<long>")
+    kinds = dealt(texts.mapInPandas(lean(grams), "shard long, rows binary, n binary"), "shard").mapInPandas(lean(write_grams), "hot array<long>, kinds array<long>")
     kinds = kinds.select(F.explode(F.arrays_zip("hot", "kinds")).alias("x")).groupBy("x.hot").agg(F.sum("x.kinds").alias("kinds")).collect()
     seen = np.zeros(len(hot))
     for r in kinds:
@@ -340,4 +340,4 @@ def score(docs: DataFrame, model: tuple[str, int]) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out, "n_tokens": b.sizes, "n_known": sums((counts[b.tokens] > 0).astype(np.int64)), "train_tokens": layout.n_all, "base_score": sums(np.log10(base)), "score": sums(np.log10(prob))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 10).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInPandas(lean(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_parts
+from .common import byte_parts, lean
 
 SPACE, CACHE_WORDS, WORDS_AT_ONCE = "▁", 200_000, 50_000
 #: A piece may start with spaces but none follows another character, so merges stay inside these parts.
@@ -223,4 +223,4 @@ def encode_decode(docs: DataFrame, model_path: str, out: str = "digest") -> Data
                 yield pd.DataFrame({"doc_id": pdf.doc_id, "n_tokens": [s.count(" ") + (s != "") for s in ids], "ids_sha256": sha(ids), "decoded_sha256": sha(texts)})
 
     schema = "doc_id long, ids array<int>, decoded string" if out == "full" else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(lean(run), schema)

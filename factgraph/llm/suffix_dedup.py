@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 MIN_BYTES, ROUND_BYTES, CHUNK_BYTES, HELD_ROWS = 50, 1 << 20, 1 << 18, 500_000
 LAST = (1 << 63) - 1  # stands for a null doc_id
@@ -150,7 +150,7 @@ def rows_of(docs: DataFrame, size: int) -> DataFrame:
         if count:
             yield flush()
 
-    return docs.mapInPandas(run, "key long, seg long, doc_id long, th long, start long, n int, done boolean")
+    return docs.mapInPandas(lean(run), "key long, seg long, doc_id long, th long, start long, n int, done boolean")
 
 
 def in_order(rows: DataFrame, key: str, work, schema: str) -> DataFrame:
@@ -170,7 +170,7 @@ def in_order(rows: DataFrame, key: str, work, schema: str) -> DataFrame:
             t = pd.concat(held, ignore_index=True)
             yield from work(t, t[:0])[0]
 
-    return rows.repartition(key).sortWithinPartitions(key, "doc_id").mapInPandas(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, "doc_id").mapInPandas(lean(run), schema)
 
 
 def open_segments(rows: DataFrame, size: int) -> DataFrame:
@@ -232,7 +232,7 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
                 rows += [(w["key"], doc, th, w["start"], raw[w["start"] : w["start"] + w["n"] + size - 1]) for w in wanted]
             yield pd.DataFrame([r for r in rows if len(r[4]) >= size], columns=["key", "doc_id", "th", "start", "bytes"])
 
-    segs = docs.join(wanted, ["doc_id", "th"]).mapInPandas(cut, "key long, doc_id long, th long, start long, bytes binary")
+    segs = docs.join(wanted, ["doc_id", "th"]).mapInPandas(lean(cut), "key long, doc_id long, th long, start long, bytes binary")
     return found.where("done").select("doc_id", "th", "start", (F.col("n") + size - 1).cast("long").alias("len")).unionByName(compared(segs, size))
 
 
@@ -280,5 +280,5 @@ def dedup(docs: DataFrame, size: int = MIN_BYTES, carry: list[str] = ()) -> Data
             yield out.assign(doc_id=pdf.doc_id.to_numpy(), **{c: pdf[c].to_numpy() for c in carry})
 
     types = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(carry).schema)
-    done = docs.join(marks, ["doc_id", "th"], "left").mapInPandas(apply, f"doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string{types}")
+    done = docs.join(marks, ["doc_id", "th"], "left").mapInPandas(lean(apply), f"doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string{types}")
     return done.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
