@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, stored
 
-MIN_BYTES, ROUND_BYTES, CHUNK_BYTES, HELD_ROWS = 50, 1 << 20, 1 << 18, 500_000
+MIN_BYTES, ROUND_BYTES, CHUNK_BYTES, HELD_ROWS = 50, 1 << 20, 1 << 18, 120_000
 LAST = (1 << 63) - 1  # stands for a null doc_id
 MULT = np.uint64(0x9E3779B97F4A7C15)
 BYTE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64)
