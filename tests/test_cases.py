@@ -210,6 +210,20 @@ def test_text(spark):
     assert arms == {("f", 1, 1): (1, 9, None, True), ("f", 3, 1): (3, 6, 1, False), ("f", 3, 2): (7, 8, 1, False), ("open", None, None): (None, None, None, None), ("shut", None, None): (None, None, None, None)}
 
 
+def test_branch_variants(spark):
+    source = "#if A\n#if B \\\n && C\nx\n#elif D\ny\n#endif\n#else\nz\n#endif"
+    guarded = "#ifndef G\n#define G\n#ifdef Q\nq\n#endif\n#endif"
+    f = spark.createDataFrame([("f", source), ("g", guarded), ("open", "#if A"), ("none", ""), ("null", None)], "file string, text string")
+    d = text.directives(f)
+    got = {(r.file, r.open, r.nth): r.text for r in text.branch_variants(f, d, text.conditional_branches(d)).collect()}
+    tail = "\nx\n#elif D\ny\n#endif\n#else\nz\n#endif"
+    assert got == {
+        ("f", 1, 1): "#if 1\n#if B \\\n && C" + tail, ("f", 1, 2): "#if 0\n#if B \\\n && C" + tail,
+        ("f", 2, 1): "#if 1\n#if 1  \n     " + tail.replace("#elif D", "#elif 0"), ("f", 2, 2): "#if 1\n#if 0  \n     " + tail.replace("#elif D", "#elif 1"),
+        ("g", 3, 1): guarded.replace("#ifdef Q", "#if 1   "),
+    }
+
+
 def test_access_modes(spark):
     rows = [("r1", 1, "MEMBER", ".", 0, False, False), ("r1", 2, "BINARY", "=", 0, False, False), ("r2", 1, "BINARY", "=", 0, True, False), ("r3", 1, "BINARY", "=", 1, False, False), ("r4", 1, "UNARY", "++", 0, False, False), ("r5", 1, "SIZEOF", "", 0, False, False),
             ("r6", 1, "CALL", "", 1, False, True), ("r7", 1, "UNARY", "&", 0, False, False), ("r7", 2, "BINARY", "=", 0, False, False), ("r8", 1, "BINARY", "|=", 0, False, False)]
