@@ -14,6 +14,9 @@ STATUSES = ["CONFIRMED", "LIKELY", "REVIEWED_SAFE", "FALSE_POSITIVE", "NEED_MORE
 TERMINAL = ["CONFIRMED", "REVIEWED_SAFE", "FALSE_POSITIVE"]
 SAFE = ["REVIEWED_SAFE", "FALSE_POSITIVE"]
 LINE_BUDGET = 1600
+#: Rules and gap kinds in the order in which a report explains them.
+RULE_ORDER = ["GS-RMW-INTERLEAVE", "GS-STALE-SNAPSHOT", "DMA_SHARED_REVIEW", "GS-MULTI-WRITER", "GS-TEAR-RISK", "GS-STRUCT-INCONSISTENT", "GS-LOCAL-STATIC-REENTRANT", "GS-OWNER-VIOLATION", "GS-UNKNOWN-CONTEXT", "GS-INDIRECT-ACCESS", "GS-DEFINITION-MISSING", "GS-NO-ACCESS-EVIDENCE",
+              "GS-COVERAGE-INCOMPLETE", "GS-FILE-STATIC-SHARED", "GS-MULTI-CONTEXT", "EXTERNAL_CALLEE", "FUNCTION_ADDRESS", "INDIRECT_CALL", "INLINE_ASSEMBLY", "POINTER_DEREFERENCE", "POINTER_SUBSCRIPT", "UNRESOLVED_POINTEE", "PARSE_FAILED", "EMPTY_AUDIT_SCOPE"]
 
 
 def strings(values) -> Column:
@@ -25,6 +28,12 @@ def rank(values: list[str], of: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(strings(values), of), F.lit(0)), F.lit(len(values) + 1))
 
 
+def ordered_rules(rules: Column, order: list[str] = RULE_ORDER) -> Column:
+    """The rules of the list `order` in its order, each once, then all others as they come, repeats included. Null stays null."""
+    known = F.array_intersect(strings(order), rules)
+    return F.when(rules.isNotNull(), F.concat(known, F.filter(rules, lambda r: ~F.coalesce(F.array_contains(strings(order), r), F.lit(False)))))
+
+
 def latest(events: DataFrame) -> DataFrame:
     """finding_id with the state and status of its last event, the number of earlier ones and the pass; a second pass replaces the first."""
     return events.groupBy("finding_id").agg(F.max_by(F.struct("state", "status", "pass"), F.struct("pass", "seq")).alias("x"), (F.count("*") - 1).alias("n_previous")).select("finding_id", "x.state", "x.status", "x.pass", "n_previous")

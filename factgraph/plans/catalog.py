@@ -333,6 +333,8 @@ query("variable_decisions", lambda f: review.variable_decisions(f.states, f.reco
 query("risk_summary", lambda f: review.risk_summary(review.variable_decisions(f.states, f.records)), f", {_REC}, {_VD} SELECT d AS decision, count(symbol_id) AS n_variables FROM (VALUES ('confirmed'), ('likely'), ('unresolved'), ('safe'), ('screened_safe'), ('inventory'), ('supplemental')) k(d) LEFT JOIN vd ON decision = d GROUP BY d", *_NEED, "variables")
 query("final_conclusion", lambda f: review.final_conclusion(f.records, False), f", {_REC}, n AS (SELECT count(*) FILTER (symbol_id IS NOT NULL AND c = 'confirmed') AS k, count(*) FILTER (c IN ('unresolved', 'likely')) AS o, count(*) FILTER (symbol_id IS NULL AND c = 'confirmed') AS g, count(*) AS t, count(*) FILTER (state = 'DONE') AS r FROM cat) SELECT CASE WHEN k > 0 THEN 'HAS_ISSUES' ELSE 'INCONCLUSIVE' END AS verdict, k AS confirmed, o + CASE WHEN k = 0 THEN g ELSE 0 END AS unresolved, t AS total, r AS reviewed FROM n", *_NEED)
 query("review_summary", lambda f: review.review_summary(f.records), f", {_REC}, q AS (SELECT symbol_id, bool_and(c IN ('confirmed', 'safe')) AS s FROM cat WHERE symbol_id IS NOT NULL GROUP BY symbol_id) SELECT count(*) AS total, count(*) FILTER (c = 'confirmed') AS confirmed, count(*) FILTER (c = 'likely') AS likely, count(*) FILTER (c = 'unresolved') AS unresolved, count(*) FILTER (c = 'safe') AS safe, (SELECT count(*) FROM q) AS queued, (SELECT count(*) FROM q WHERE s) AS terminal FROM cat", *_NEED)
+query("rule_order", lambda f: f.findings.select("finding_id", F.array_join(review.ordered_rules(F.split("rule_list", ",")), ",").alias("rules")),
+      f"SELECT finding_id, array_to_string(list_filter({review.RULE_ORDER}, lambda c: list_contains(r, c)) || list_filter(r, lambda c: NOT list_contains({review.RULE_ORDER}, c)), ',') AS rules FROM (SELECT finding_id, string_split(rule_list, ',') AS r FROM findings)", "findings")
 query("findings_sorted", lambda f: review.sorted_findings(f.findings).select("finding_id", "risk_level"), "SELECT finding_id, risk_level FROM findings", "findings")
 query("findings_display_order", lambda f: review.display_order(f.records), f", {_REC} SELECT finding_id, decision, risk_level, n_signals::INTEGER AS n_signals FROM dec", *_NEED)
 query("queue_limit", lambda f: review.queue_limit(f.findings, F.substring("finding_id", -1, 1) == "3", 73), "SELECT finding_id FROM findings WHERE finding_id NOT LIKE '%3' ORDER BY CASE risk_level WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END, finding_id LIMIT 73", "findings")

@@ -224,6 +224,12 @@ def test_branch_variants(spark):
     }
 
 
+def test_rule_order(spark):
+    rows = [(["GS-MULTI-CONTEXT", "X", "GS-RMW-INTERLEAVE", "A", "GS-MULTI-CONTEXT", "X", None],), ([],), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "rules array<string>").select(review.ordered_rules(review.F.col("rules"))).collect()]
+    assert got == [["GS-RMW-INTERLEAVE", "GS-MULTI-CONTEXT", "X", "A", "X", None], [], None]
+
+
 def test_access_modes(spark):
     rows = [("r1", 1, "MEMBER", ".", 0, False, False), ("r1", 2, "BINARY", "=", 0, False, False), ("r2", 1, "BINARY", "=", 0, True, False), ("r3", 1, "BINARY", "=", 1, False, False), ("r4", 1, "UNARY", "++", 0, False, False), ("r5", 1, "SIZEOF", "", 0, False, False),
             ("r6", 1, "CALL", "", 1, False, True), ("r7", 1, "UNARY", "&", 0, False, False), ("r7", 2, "BINARY", "=", 0, False, False), ("r8", 1, "BINARY", "|=", 0, False, False)]
