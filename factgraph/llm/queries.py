@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from . import decontaminate, html_text, language_id, license_scan, ngram_join, ngram_lm, sentencepiece_codec, suffix_dedup, topk, url_filter
+from . import bpe_lexicon, decontaminate, fill_middle, html_text, language_id, license_scan, ngram_join, ngram_lm, prefix_trie, sentencepiece_codec, suffix_dedup, topk, url_filter
 from .common import table
 
 
-def tokenizer_model() -> str:
+def tokenizer_model(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_license_scan(spark, sf_dir) -> DataFrame:
@@ -56,5 +56,18 @@ def op10_ngram_join(spark, sf_dir) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_lm_score, op4_language_id, op5_suffix_dedup, op6_sentencepiece, op7_top_k, op8_html_text, op9_decontaminate, op10_ngram_join)}
-SQL = {"op2_url_filter": url_filter.ORACLE, "op7_top_k": topk.ORACLE}
+def op11_bpe(spark, sf_dir) -> DataFrame:
+    return bpe_lexicon.encode_decode(table(spark, sf_dir, "documents"), tokenizer_model("byte_bpe_50k.json"))
+
+
+def op12_fill_middle(spark, sf_dir) -> DataFrame:
+    return fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark, sf_dir) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_lm_score, op4_language_id, op5_suffix_dedup, op6_sentencepiece, op7_top_k, op8_html_text, op9_decontaminate, op10_ngram_join,
+                                   op11_bpe, op12_fill_middle, op13_prefix_trie)}
+SQL = {"op2_url_filter": url_filter.ORACLE, "op7_top_k": topk.ORACLE, "op12_fill_middle": fill_middle.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
