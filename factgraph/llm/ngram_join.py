@@ -15,6 +15,8 @@ BUCKETS, CHUNK, BROADCAST_IDS = 1 << 20, 1 << 14, 1_000_000
 CELL_ROWS, BLOCK_ROWS, PAIRS_AT_ONCE = 50_000, 8192, 1 << 19
 #: Partners that a row tries first, as rows before it in its tile, beside the tile's smallest doc_id; of all these it takes the PARTNERS with which it shares most tiles.
 OFFERS, PARTNERS, CLASSES = (1, 2, 3, 5, 8, 13), 3, 6
+#: Partners of a row that a cell names for the second try, of which those ALIKE are taken whose signatures are most alike.
+NEAREST, ALIKE = 4, 8
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -174,6 +176,12 @@ class Tile:
         ok[ok] = (np.minimum(n[i] - self.pos[i], n[j] - self.pos[j]) >= need) & (n[i] - out_i >= need) & (n[j] - out_j >= need)
         return ok
 
+    def nearest(self, i: np.ndarray, j: np.ndarray, n: int) -> pd.DataFrame:
+        """a, b, far: for each row of i those n of its partners whose bitmaps differ in the fewest bits."""
+        far = np.bitwise_count(self.s0[i] ^ self.s0[j]).astype(np.int64) + np.bitwise_count(self.s1[i] ^ self.s1[j])
+        both = pd.DataFrame({"a": self.doc[i], "b": self.doc[j], "far": far}).drop_duplicates(["a", "b"])
+        return both.sort_values(["far", "b"]).groupby("a", sort=False).head(n)
+
     def pairs(self, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
         both = pd.DataFrame({"a": np.minimum(self.doc[i], self.doc[j]), "b": np.maximum(self.doc[i], self.doc[j])})
         return both.groupby(["a", "b"], sort=False).size().reset_index(name="tiles") if len(both) else both.assign(tiles=0)
@@ -207,8 +215,15 @@ def offers(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
     return found.withColumn("nth", nth).where(F.col("nth") <= PARTNERS).select("a", "b")
 
 
-def between(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
-    """a, b: all pairs of rows of different components of a tile that pass the bounds.
+def closest(rows: DataFrame, n_rows: int, every: DataFrame, percent: int) -> DataFrame:
+    """a, b: for each row outside its tiles' main components the ALIKE ones of other components whose signatures are most alike, of those in its tiles whose bitmaps are."""
+    found = bounded(between(rows, n_rows, percent, NEAREST).select("a", "b").distinct(), every, percent)
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= ALIKE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def between(rows: DataFrame, n_rows: int, percent: int, nearest: int = 0) -> DataFrame:
+    """a, b: all pairs of rows of different components of a tile that pass the bounds; or, with nearest, a, b, far: so many of each row (a) and cell, those with the most similar bitmaps.
 
     Such a pair has at least one row outside the tile's main component, so only
     these rows look for partners. A hot tile is split into blocks: each row has
@@ -217,7 +232,7 @@ def between(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
     def run(pdf):
         t = Tile(pdf)
         if not len(t.doc):
-            return t.pairs(t.doc, t.doc)
+            return t.nearest(t.doc, t.doc, 1) if nearest else t.pairs(t.doc, t.doc)
         comp, own = t.pdf.comp.to_numpy(np.int64), t.pdf.own.to_numpy(bool)
         tile = np.repeat(np.arange(len(t.starts)), t.sizes)
         main = t.pdf.main.fillna(0).to_numpy(np.int64)
@@ -225,7 +240,7 @@ def between(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
         i, key = np.flatnonzero(looks), tile << 32 | t.n
         lo = np.searchsorted(key, tile[i] << 32 | -(-t.n[i] * percent // 100))
         hi = np.searchsorted(key, tile[i] << 32 | t.n[i] * 100 // percent, "right")
-        edge, at, found = np.r_[0, np.cumsum(hi - lo)], 0, [t.pairs(i[:0], i[:0])]
+        edge, at, found = np.r_[0, np.cumsum(hi - lo)], 0, [t.nearest(i[:0], i[:0], 1) if nearest else t.pairs(i[:0], i[:0])]
         while at < len(i):
             to = max(at + 1, int(np.searchsorted(edge, edge[at] + PAIRS_AT_ONCE, "right")) - 1)
             count = (hi - lo)[at:to]
@@ -234,8 +249,11 @@ def between(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
             keep = own[y] & (comp[x] != comp[y]) & (~looks[y] | (x < y) | ~own[x])
             x, y = x[keep], y[keep]
             ok = t.may_link(x, y, percent)
-            found.append(t.pairs(x[ok], y[ok]))
+            x, y = x[ok], y[ok]
+            found.append(t.nearest(np.r_[x, y[looks[y]]], np.r_[y, x[looks[y]]], nearest) if nearest else t.pairs(x, y))
             at = to
+        if nearest:
+            return pd.concat(found).drop_duplicates(["a", "b"]).sort_values(["far", "b"]).groupby("a", sort=False).head(nearest)
         return pd.concat(found).groupby(["a", "b"], sort=False, as_index=False).sum()
 
     alone = rows.where("blocks = 1").withColumns({"main": F.lit(0).cast("long"), "known": F.lit(False), "block": F.lit(0), "own": F.lit(True)})
@@ -246,7 +264,8 @@ def between(rows: DataFrame, n_rows: int, percent: int) -> DataFrame:
     all_blocks = F.when(F.col("comp") == F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     hot = hot.withColumn("block", F.explode(all_blocks)).withColumn("own", F.col("block") == F.col("home"))
     both = alone.unionByName(hot.drop("parts", "home"))
-    return cells(both, n_rows, "block").applyInPandas(run, "a long, b long, tiles long").select("a", "b").distinct()
+    found = cells(both, n_rows, "block").applyInPandas(run, f"a long, b long, {'far' if nearest else 'tiles'} long")
+    return found if nearest else found.select("a", "b").distinct()
 
 
 def largest(tile: np.ndarray, comp: np.ndarray) -> np.ndarray:
@@ -262,10 +281,10 @@ def largest(tile: np.ndarray, comp: np.ndarray) -> np.ndarray:
 
 
 def bounded(pairs: DataFrame, every: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures leave room for the link: a document's bits that the other lacks bound the overlap from above."""
+    """Pairs whose signatures leave room for the link: a document's bits that the other lacks bound the overlap from above. alike: the share of their bits that both have."""
     def run(batches):
         for pdf in batches:
-            keep = []
+            keep, alike = [], []
             for sa, sb, na, nb in zip(pdf.sig_a, pdf.sig_b, pdf.n_a, pdf.n_b, strict=True):
                 a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
                 while len(a) > len(b):
@@ -274,15 +293,16 @@ def bounded(pairs: DataFrame, every: DataFrame, percent: int) -> DataFrame:
                     b = b[: len(b) // 2] | b[len(b) // 2 :]
                 need = -(-percent * (na + nb) // (100 + percent))
                 keep.append(na - int(np.bitwise_count(a & ~b).sum()) >= need and nb - int(np.bitwise_count(b & ~a).sum()) >= need)
-            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+                alike.append(int(np.bitwise_count(a & b).sum()) / max(1, int(np.bitwise_count(a | b).sum())))
+            yield pdf[["a", "b"]].assign(alike=alike)[np.array(keep, bool)]
 
     side = lambda x: every.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(lean(run), "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(lean(run), "a long, b long, alike double")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose sorted sets really overlap enough."""
-    pairs = stored(pairs)
+    pairs = stored(pairs.select("a", "b").distinct())
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -329,9 +349,11 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     with nothing. Rows that repeat a doc_id are joined to one component by it,
     and each gives a row. Other columns are left out; an empty table gives none.
 
-    First every set tries a few partners that pass the bounds; then, in tiles
-    that still hold several components, all pairs between these are verified, so
-    no link is lost while a group of near copies is not spelled out in pairs.
+    First every set tries a few partners that pass the bounds, and sets outside
+    their tiles' main components those that look most alike; then, in
+    tiles that still hold several components, all pairs between these are
+    verified, so no link is lost while a group of near copies is not spelled out
+    in pairs.
     Candidates meet signatures of some bits a shingle first, and whole texts
     only where these leave room for a link.
     """
@@ -347,13 +369,18 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     rows = stored(tile_rows(single, k, percent, classes))
     n_rows = rows.count()
     links = stored(verify(bounded(offers(rows, n_rows, percent), every, percent), single, k, percent))
-    comp = stored(components(links))
-    labelled = rows.join(F.broadcast(comp) if comp.count() <= BROADCAST_IDS else comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    labelled = _labelled(rows, stored(components(links)))
+    links = stored(links.union(verify(closest(labelled, n_rows, every, percent), single, k, percent)))
+    labelled = _labelled(rows, stored(components(links)))
     more = stored(verify(bounded(between(labelled, n_rows, percent), every, percent), single, k, percent))
     comp = stored(components(links.union(more)))
     return member.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
 
+def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(comp) if comp.count() <= BROADCAST_IDS else comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with exactly one row of each component: one of its smallest doc_id, null being the largest.
 
