@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.operators.intervals import points_in_ranges
 from factgraph.operators.scope import glob_regex
 
 #: Library calls that read or write through an argument, and hardware buffers by argument.
@@ -14,26 +15,62 @@ DMA_CONTRACTS = [
     ("HAL_SPI_Transmit_DMA", 1, "READ", "tx"), ("HAL_ADC_Start_DMA", 1, "WRITE", "rx"),
 ]
 COMPOUND = ["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>="]
-
-
-def access_mode(ancestors: DataFrame) -> DataFrame:
-    """ref, mode of each reference from its ancestors: ref, distance, kind, op, child (0: left), same_symbol, is_array.
-
-    The nearest ancestor that decides wins: ++ and -- and compound assignment
-    give RMW, & and an array that decays or goes to a call give ADDRESS_TAKEN,
-    the left side of = gives WRITE (RMW if the right side names the same
-    symbol), sizeof gives no access (null). Without one it is a READ.
+#: Spellings by the parser's numbers of operator kinds.
+UNARY_KINDS = {1: "++", 2: "--", 3: "++", 4: "--", 5: "&", 6: "*", 7: "+", 8: "-", 9: "~", 10: "!"}
+BINARY_KINDS = {
+    3: "*", 4: "/", 5: "%", 6: "+", 7: "-", 8: "<<", 9: ">>", 11: "<", 12: ">", 13: "<=", 14: ">=", 15: "==", 16: "!=", 17: "&", 18: "^", 19: "|", 20: "&&", 21: "||",
+    22: "=", 23: "*=", 24: "/=", 25: "%=", 26: "+=", 27: "-=", 28: "<<=", 29: ">>=", 30: "&=", 31: "^=", 32: "|=", 33: ",",
+}
+ANCESTOR = ["distance", "kind", "op", "child", "same_symbol", "is_array", "decays", "arrow", "name"]
+
+
+def _chains(ancestors: DataFrame) -> DataFrame:
+    """ref, up: each reference's ancestors from the nearest on, as far as its tree is deep."""
+    return ancestors.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct(*ANCESTOR))).alias("up"))
+
+
+def access_mode(ancestors: DataFrame, through_pointer: bool = False) -> DataFrame:
+    """ref, mode, path of each reference from its ancestors.
+
+    ancestors: ref, distance, kind, op, child (0: left or base), same_symbol
+    (the right side names the object too), is_array (the object is one), decays
+    (a wrapper that turns an array into a pointer), arrow (a member by ->),
+    name (of a member). Wrappers, members by a point and elements of the base
+    are passed and make the path, outermost first; the first other ancestor
+    decides: ++ and -- and compound assignment to it give RMW, = gives WRITE
+    (RMW with same_symbol), & and an array that goes to a call without a member
+    or element give ADDRESS_TAKEN, sizeof gives no access (null), all else READ.
+    A read of an array that has decayed since its last element is
+    ADDRESS_TAKEN. A member by -> and an index end the path as READ: what they
+    reach is another object, as is anything through a pointer.
     """
-    kind, op, left = F.col("kind"), F.col("op"), F.col("child") == 0
-    mode = (F.when(kind == "SIZEOF", "NONE").when((kind == "UNARY") & op.isin("++", "--"), "RMW").when((kind == "UNARY") & (op == "&"), "ADDRESS_TAKEN").when((kind == "BINARY") & (op == "=") & left, F.when(F.col("same_symbol"), "RMW").otherwise("WRITE"))
-            .when((kind == "BINARY") & op.isin(COMPOUND) & left, "RMW").when((kind == "CALL") & F.col("is_array"), "ADDRESS_TAKEN").when((kind == "DECAY") & F.col("is_array"), "ADDRESS_TAKEN"))
-    first = F.min_by(mode, F.when(mode.isNotNull(), F.col("distance")))
-    return ancestors.groupBy("ref").agg(F.nullif(F.coalesce(first, F.lit("READ")), F.lit("NONE")).alias("mode"))
-
-
-def operator_text(kind: Column) -> Column:
-    """Spelling of an assignment or increment by the number of its kind, 'other' for the rest. Fixed values."""
-    return F.coalesce(F.get(F.array(*map(F.lit, ["=", *COMPOUND, "++", "--", "&"])), kind.cast("int")), F.lit("other"))
+    passed = lambda x: (x["kind"] == "WRAPPER") | ((x["kind"] == "MEMBER") & ~x["arrow"] & ~F.lit(through_pointer)) | ((x["kind"] == "SUBSCRIPT") & (x["child"] == 0) & ~F.lit(through_pointer))
+    c = _chains(ancestors).withColumn("stop", F.get(F.filter("up", lambda x: ~passed(x)), F.lit(0)))
+    c = c.withColumn("way", F.filter("up", lambda x: F.col("stop").isNull() | (x["distance"] < F.col("stop.distance"))))
+    steps = F.transform(F.filter("way", lambda x: x["kind"] != "WRAPPER"), lambda x: F.when(x["kind"] == "MEMBER", x["name"]).otherwise("[]"))
+    last = lambda test: F.coalesce(F.array_max(F.transform(F.filter("way", test), lambda x: x["distance"])), F.lit(-1))
+    decayed = last(lambda x: x["decays"]) > last(lambda x: x["kind"] == "SUBSCRIPT")
+    kind, op, left = F.col("stop.kind"), F.col("stop.op"), F.col("stop.child") == 0
+    mode = (F.when(kind == "SIZEOF", None).when((kind == "UNARY") & op.isin("++", "--"), "RMW").when((kind == "UNARY") & (op == "&"), "ADDRESS_TAKEN")
+            .when((kind == "BINARY") & (op == "=") & left, F.when(F.col("stop.same_symbol"), "RMW").otherwise("WRITE")).when((kind == "BINARY") & op.isin(COMPOUND) & left, "RMW")
+            .when((kind == "CALL") & F.col("stop.is_array") & (F.size(steps) == 0), "ADDRESS_TAKEN").when(kind.isin("MEMBER", "SUBSCRIPT"), "READ").when(decayed, "ADDRESS_TAKEN").otherwise("READ"))
+    return c.select("ref", mode.alias("mode"), F.when(~kind.eqNullSafe("SIZEOF"), F.array_join(F.reverse(steps), ".")).otherwise("").alias("path"))
+
+
+def indirect_mode(ancestors: DataFrame) -> DataFrame:
+    """ref, mode of each place that a pointer reaches, from the same ancestors: any member and base of an element is passed; & gives ADDRESS_TAKEN, ++ and -- and compound assignment RMW, = WRITE, sizeof none (null), all else READ."""
+    passed = lambda x: x["kind"].isin("WRAPPER", "MEMBER") | ((x["kind"] == "SUBSCRIPT") & (x["child"] == 0))
+    c = _chains(ancestors).withColumn("stop", F.get(F.filter("up", lambda x: ~passed(x)), F.lit(0)))
+    kind, op, left = F.col("stop.kind"), F.col("stop.op"), F.col("stop.child") == 0
+    mode = (F.when(kind == "SIZEOF", None).when((kind == "UNARY") & op.isin("++", "--"), "RMW").when((kind == "UNARY") & (op == "&"), "ADDRESS_TAKEN")
+            .when((kind == "BINARY") & (op == "=") & left, "WRITE").when((kind == "BINARY") & op.isin(COMPOUND) & left, "RMW").otherwise("READ"))
+    return c.select("ref", mode.alias("mode"))
+
+
+def operator_text(kind: Column, unary: Column) -> Column:
+    """Spelling of an operator by the number of its kind, '' for the rest."""
+    of = lambda table: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[kind.cast("int")]
+    return F.coalesce(F.when(unary, of(UNARY_KINDS)).otherwise(of(BINARY_KINDS)), F.lit(""))
 
 
 def protection_kinds(calls: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:
@@ -60,7 +97,7 @@ def dma_accesses(arguments: DataFrame) -> DataFrame:
 def macro_owner(sites: DataFrame, functions: DataFrame) -> DataFrame:
     """site, function_id of the function around each macro site (file, pos): from its line to its end_line."""
     f = functions.select("file", "function_id", "line", "end_line")
-    return sites.join(f, "file").where("pos between line and end_line").select("site", "function_id")
+    return points_in_ranges(sites, f, ["file"], "pos", "line", "end_line").select("site", "function_id")
 
 
 def local_aliases(assigned: DataFrame, rounds: int = 3) -> DataFrame:

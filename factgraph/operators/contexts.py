@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factgraph.operators.scope import glob_regex
+from factgraph.operators.sets import canonical_json, list_digest
 
 #: Exception handlers by name, and registration calls with their callback argument and kind.
 HANDLERS = ["SysTick_Handler", "PendSV_Handler", "SVC_Handler", "NMI_Handler", "HardFault_Handler", "MemManage_Handler", "BusFault_Handler", "UsageFault_Handler"]
@@ -54,8 +56,9 @@ def auto_entry_kind() -> Column:
     return F.when(handler, "ISR").when(F.col("name") == "main", "MAIN")
 
 
-def short_digest(n: int, *columns) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, n)
+def text_digest(n: int, column: Column | str) -> Column:
+    """The first n hex digits of the canonical digest of one text."""
+    return F.substring(F.sha2(canonical_json(F.col(column) if isinstance(column, str) else column, T.StringType()), 256), 1, n)
 
 
 def configured_contexts(functions: DataFrame, specs: list[dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,27 +74,44 @@ def configured_contexts(functions: DataFrame, specs: list[dict]) -> tuple[DataFr
 def auto_contexts(functions: DataFrame, taken: DataFrame) -> DataFrame:
     """context_id, kind, function_id of entries by name among functions that are not taken."""
     found = functions.withColumn("kind", auto_entry_kind()).where("kind is not null").join(taken, "function_id", "left_anti")
-    return found.select(F.concat(F.lit("auto:"), "name", F.lit(":"), short_digest(8, "function_id")).alias("context_id"), "kind", "function_id")
+    return found.select(F.concat(F.lit("auto:"), "name", F.lit(":"), text_digest(8, "function_id")).alias("context_id"), "kind", "function_id")
 
 
-def registered(registrations: DataFrame, functions: DataFrame, matched: DataFrame, disabled: DataFrame) -> DataFrame:
-    """Registrations that make a context, with its id: defined targets, once each, that no configuration has taken.
+#: Kinds that may run again before they end unless a registration says otherwise.
+REPEATING = ["TASK", "CALLBACK"]
 
-    ord orders them. Timers and deferred calls share one serial daemon. Those of
-    one context_id share its first kind; the others are conflicts (context_id null).
+
+def registered(registrations: DataFrame, functions: DataFrame, matched: DataFrame, disabled: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Registrations that make or join a context, with its id: defined targets, once each, that no configuration has taken.
+
+    ord orders them. Timers and deferred calls share one serial daemon, and so
+    does the kernel's own timer task where registrations have api and
+    registered_by. Those of one given id share the kind of the known context
+    (context_id, kind) of that id, else the first one's; the others are
+    conflicts (context_id null). Without may_repeat the kind decides.
     """
     key = ["function_id", "file", "pos", "kind", "given_id", F.when(F.col("configured"), F.col("may_repeat"))]
-    r = registrations.join(functions.select("function_id", "name"), "function_id")
+    r = registrations.withColumn("kind", F.coalesce("kind", F.lit("TASK")))
+    r = r.join(functions.select("function_id", "name"), "function_id")
     r = r.join(matched.select("function_id").distinct().withColumn("matched", F.lit(True)), "function_id", "left").join(disabled, "function_id", "left_anti")
     r = r.where(F.col("matched").isNull() | F.col("configured"))
     r = r.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("ord"))).where("nth = 1")
     r = r.withColumn("ordinal", F.row_number().over(Window.partitionBy("function_id", "file").orderBy("ord")))
-    serial = F.col("kind").isin("TIMER", "DEFERRED")
-    first = r.where(~serial & F.col("given_id").isNotNull()).groupBy("given_id").agg(F.min_by("kind", "ord").alias("first_kind"))
+    kernel = F.lit(False)
+    if {"api", "registered_by"} <= set(registrations.columns):
+        starts = functions.where("name = 'xTimerCreateTimerTask'").select(F.col("function_id").alias("registered_by")).distinct().withColumn("starts", F.lit(True))
+        r = r.join(starts, "registered_by", "left")
+        kernel = F.coalesce((F.col("name") == "prvTimerTask") & F.col("starts") & F.col("api").isin("xTaskCreate", "xTaskCreateStatic"), F.lit(False))
+    serial = F.col("kind").isin("TIMER", "DEFERRED") | kernel
+    r = r.withColumn("serial", serial)
+    first = r.where(~F.col("serial") & F.col("given_id").isNotNull()).groupBy("given_id").agg(F.min_by("kind", "ord").alias("first_kind"))
+    if known is not None:
+        first = first.join(known.select(F.col("context_id").alias("given_id"), F.col("kind").alias("known_kind")), "given_id", "left").select("given_id", F.coalesce("known_kind", "first_kind").alias("first_kind"))
     r = r.join(first, "given_id", "left")
-    own = F.concat(F.lit("auto:"), F.lower("kind"), F.lit(":"), "name", F.lit(":"), short_digest(12, "function_id", "file", "ordinal"))
-    context = F.when(serial, TIMER_DAEMON).when(F.col("given_id").isNull(), own).when(F.col("kind") == F.col("first_kind"), F.col("given_id"))
-    return r.select(context.alias("context_id"), F.when(serial, "TASK").otherwise(F.col("kind")).alias("kind"), (F.col("may_repeat") & ~serial).alias("may_repeat"), "function_id", "given_id", "ord", "ordinal")
+    own = F.concat(F.lit("auto:"), F.lower("kind"), F.lit(":"), "name", F.lit(":"), list_digest(12, ("function_id", T.StringType()), ("file", T.StringType()), ("ordinal", T.IntegerType())))
+    context = F.when(F.col("serial"), TIMER_DAEMON).when(F.col("given_id").isNull(), own).when(F.col("kind") == F.col("first_kind"), F.col("given_id"))
+    repeats = F.coalesce("may_repeat", F.when(F.col("given_id").isNull(), F.col("kind") == "TASK").otherwise(F.col("kind").isin(REPEATING)))
+    return r.select(context.alias("context_id"), F.when(F.col("serial"), "TASK").otherwise(F.col("kind")).alias("kind"), (repeats & ~F.col("serial")).alias("may_repeat"), "function_id", "given_id", "ord", "ordinal")
 
 
 def registration_contexts(made: DataFrame) -> DataFrame:
@@ -117,3 +137,21 @@ def match_registrations(calls: DataFrame, specs: list[dict]) -> tuple[DataFrame,
     used = c.select("site", "name", "spec", F.when(F.col("n") > 1, "AMBIGUOUS").when(F.col("n") == 1, "CONFIGURED").otherwise("BUILT_IN").alias("how"))
     listed = spark.createDataFrame([(f"spec{i}", s["api"]) for i, s in enumerate(specs)], "spec string, api string")
     return used, listed.join(used.select("spec").distinct(), "spec", "left_anti")
+
+
+def merged_contexts(hardware: DataFrame, configured: DataFrame, auto: DataFrame, made: DataFrame) -> DataFrame:
+    """context_id, kind, reentrant, discovery of all contexts, in that order of sources.
+
+    Configuration replaces a hardware context of its id; names make contexts of
+    their own; registrations join a context that is there, which may repeat
+    from then on if one of them may, or make one.
+    """
+    first = configured.select("context_id", "kind", "reentrant", "discovery", F.lit(0).alias("place"))
+    first = first.unionByName(hardware.select("context_id", "kind", F.lit(False).alias("reentrant"), F.lit("argument_contract").alias("discovery"), F.lit(1).alias("place")).distinct())
+    first = first.unionByName(auto.select("context_id", "kind", F.lit(False).alias("reentrant"), F.lit("name_convention").alias("discovery"), F.lit(2).alias("place")))
+    kinds = F.when(F.col("context_id") == TIMER_DAEMON, "timer_daemon").when(F.col("given_id").isNotNull(), "registered_entry").otherwise("task_registration")
+    later = made.where("context_id is not null").groupBy("context_id", "kind", kinds.alias("discovery")).agg(F.bool_or("may_repeat").alias("reentrant"))
+    every = first.unionByName(later.select("context_id", "kind", "reentrant", "discovery", F.lit(3).alias("place")))
+    best = F.min_by(F.struct("kind", "discovery"), "place")
+    # Hardware contexts say nothing on reentrance; of the configured one and the registrations any may.
+    return every.groupBy("context_id").agg(best.alias("best"), F.bool_or("reentrant").alias("reentrant")).select("context_id", "best.kind", "reentrant", "best.discovery")

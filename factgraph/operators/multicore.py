@@ -55,6 +55,6 @@ def remap(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids.select("variant", "symbol_id", "combined_id"), ["variant", "symbol_id"], "left").withColumn("symbol_id", new).drop("combined_id")
 
 
-def cross_core(ids: DataFrame) -> DataFrame:
-    """combined_id, n_cores, rule GS-CROSS-CORE of shared objects that several variants link."""
-    return ids.where("shared").groupBy("combined_id").agg(F.count_distinct("variant").alias("n_cores")).where("n_cores > 1").withColumn("rule", F.lit("GS-CROSS-CORE"))
+def cross_core(ids: DataFrame, cores: DataFrame) -> DataFrame:
+    """combined_id, n_cores, rule GS-CROSS-CORE of shared objects that several cores link; cores: variant, core, as one core may have several variants."""
+    return ids.where("shared").join(F.broadcast(cores), "variant").groupBy("combined_id").agg(F.count_distinct("core").alias("n_cores")).where("n_cores > 1").withColumn("rule", F.lit("GS-CROSS-CORE"))

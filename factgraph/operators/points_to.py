@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.operators.graph import checkpointed
+from factgraph.operators.graph import TABLES, checkpointed, watched
 
 ROUNDS, FIELDS = 1000, 16
 
@@ -22,7 +24,8 @@ def solve(program: DataFrame, rounds: int = ROUNDS, fields: int = FIELDS) -> tup
       CALLEE r, x: T(r, t) if V(x, fn:t)
       ARG r, x, name: P(t:param:name, q) if T(r, t), V(x, q)               RESULT r, x: P(p, q) if T(r, t), L(x, p), P(t:return, q)
     Every round joins the rows that the round before found, on either side of
-    each rule. Paths of more than `fields` fields are not followed and count as
+    each rule, and writes only what is new; every few rounds' tables become one.
+    Paths of more than `fields` fields are not followed and count as
     the limit, as do more rounds than `rounds`.
     """
     program = checkpointed(program.select("op", "r", "x", "name"))
@@ -31,7 +34,8 @@ def solve(program: DataFrame, rounds: int = ROUNDS, fields: int = FIELDS) -> tup
     r, x, name, key, value = (F.col(c) for c in ("r", "x", "name", "key", "value"))
     fn = F.lit("fn:")
     start = op("LOC").select(*fact("L", r, name)).union(op("FUN").select(*fact("V", r, F.concat(fn, name)))).union(op("TARGET").select(*fact("T", r, name)))
-    known = delta = checkpointed(start.distinct())
+    delta, n = watched(start.distinct(), n=F.count("*"))
+    n = n["n"]
     unary = program.where(F.col("op").isin("DEREF", "FIELD", "UNION_L", "UNION_V", "ADDR", "CALLEE")).withColumn("needs", F.when(F.col("op").isin("DEREF", "UNION_V", "CALLEE"), "V").otherwise("L"))
 
     def of(df, rel, k, v):
@@ -48,13 +52,16 @@ def solve(program: DataFrame, rounds: int = ROUNDS, fields: int = FIELDS) -> tup
         back = op("RESULT").join(of(targets, "T", "r", "t"), "r").join(of(places, "L", "x", "p"), "x").withColumn("from", F.concat("t", F.lit(":return")))
         return back.join(of(held, "P", "from", "q"), "from").select(*fact("P", F.col("p"), F.col("q")))
 
-    hit = False
+    found, hit = [delta], False
     for round_no in range(rounds + 1):
-        if delta.isEmpty():
+        if not n:
             break
         if round_no == rounds:
             hit = True
             break
+        if len(found) > TABLES:
+            found = [checkpointed(reduce(DataFrame.unionByName, found))]
+        known = reduce(DataFrame.unionByName, found)
         one = unary.join(delta, (F.col("needs") == F.col("rel")) & (x == key))
         one = one.where(((F.col("op") != "DEREF") | ~F.startswith(value, fn)) & ((F.col("op") != "CALLEE") | F.startswith(value, fn)))
         made = one.select(
@@ -62,12 +69,11 @@ def solve(program: DataFrame, rounds: int = ROUNDS, fields: int = FIELDS) -> tup
             F.when(F.col("op") == "FIELD", F.concat(value, F.lit("/"), name)).when(F.col("op") == "CALLEE", F.substring(value, F.lit(4), F.length(value))).otherwise(value).alias("value"))
         for part in (binary(delta, known), binary(known, delta), results(delta, known, known), results(known, delta, known), results(known, known, delta)):
             made = made.union(part)
-        new = checkpointed(made.distinct().join(known, ["rel", "key", "value"], "left_anti"))
         deep = F.size(F.split("value", "/")) > fields
-        hit = hit or not new.where(deep).isEmpty()
-        delta = new.where(~deep)
-        known = checkpointed(known.unionByName(delta))
-    return known, hit
+        new, seen = watched(made.distinct().join(known, ["rel", "key", "value"], "left_anti").withColumn("deep", deep), n=F.count_if(~F.col("deep")), deep=F.count_if("deep"))
+        delta, n, hit = new.where("not deep").drop("deep"), seen["n"], hit or seen["deep"] > 0
+        found.append(delta)
+    return reduce(DataFrame.unionByName, found), hit
 
 
 def pointer_targets(known: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.operators.intervals import points_in_ranges
 #: Rules that point to concurrency, decisions in order, grades in order, statuses of an answer.
 SIGNALS = ["GS-MULTI-CONTEXT", "GS-MULTI-WRITER", "GS-RMW-INTERLEAVE", "GS-STALE-SNAPSHOT", "DMA_SHARED_REVIEW", "GS-LOCAL-STATIC-REENTRANT", "GS-OWNER-VIOLATION"]
 PRIORITY = ["confirmed", "likely", "unresolved", "safe"]
@@ -133,7 +134,7 @@ def source_windows(accesses: DataFrame, before: int = 5, after: int = 3) -> Data
 
 def source_manifest(functions: DataFrame, supplied: DataFrame) -> DataFrame:
     """group_id, function_id, complete: whether every line of the function is among the supplied (group_id, file, line)."""
-    n = supplied.distinct().join(functions, ["group_id", "file"]).where("line between start_line and end_line").groupBy("group_id", "function_id").agg(F.count("*").alias("n"))
+    n = points_in_ranges(supplied.distinct(), functions, ["group_id", "file"], "line", "start_line", "end_line").groupBy("group_id", "function_id").agg(F.count("*").alias("n"))
     return functions.join(n, ["group_id", "function_id"], "left").select("group_id", "function_id", (F.coalesce("n", F.lit(0)) == F.col("end_line") - F.col("start_line") + 1).alias("complete"))
 
 
@@ -147,13 +148,16 @@ def requirements(accesses: DataFrame, rules: DataFrame, blockers: DataFrame, fun
 
 
 def investigation_check(rows: DataFrame, required: DataFrame, answers: DataFrame) -> DataFrame:
-    """finding_id, id, problem of investigations (finding_id, id, assessment, refs) against what is required; answers: finding_id, status, n_evidence."""
+    """finding_id, id, problem of investigations (finding_id, id, assessment, refs) against what is required; answers: finding_id, status, n_evidence.
+
+    Null references are BAD_REF, as are those beyond the answer's evidence; rows of a finding without an answer are NO_ANSWER.
+    """
     key = ["finding_id", "id"]
     missing = required.join(rows, key, "left_anti").select(*key, F.lit("MISSING").alias("problem"))
     extra = rows.join(required, key, "left_anti").select(*key, F.lit("NOT_REQUIRED").alias("problem"))
     twice = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.lit("REPEATED").alias("problem"))
-    r = rows.join(answers, "finding_id")
-    bad = F.when(F.trim(F.coalesce("assessment", F.lit(""))) == "", "NO_ASSESSMENT").when(F.exists("refs", lambda i: (i < 1) | (i > F.col("n_evidence"))), "BAD_REF").when(F.col("status").isin(TERMINAL) & (F.size("refs") == 0), "NO_EVIDENCE")
+    r = rows.join(answers.withColumn("answered", F.lit(True)), "finding_id", "left")
+    bad = F.when(F.col("answered").isNull(), "NO_ANSWER").when(F.trim(F.coalesce("assessment", F.lit(""))) == "", "NO_ASSESSMENT").when(F.col("refs").isNull() | F.exists("refs", lambda i: i.isNull() | (i < 1) | (i > F.col("n_evidence"))), "BAD_REF").when(F.col("status").isin(TERMINAL) & (F.size("refs") == 0), "NO_EVIDENCE")
     wrong = r.select(*key, bad.alias("problem")).where("problem is not null")
     return missing.union(extra).union(twice).union(wrong)
 

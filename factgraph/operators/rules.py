@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from factgraph.operators.sets import list_digest
 
 WRITES, READS = ["WRITE", "RMW"], ["READ", "RMW"]
 #: Kinds that leave every variable open, and kinds that leave those open that other code can name.
@@ -65,12 +68,13 @@ def annotations(variables: DataFrame, resources: DataFrame) -> DataFrame:
     return names.join(resources, "resource").drop("resource").distinct()
 
 
-def profile(variables, live, unknowns, taints, reach, snapshots, events, resources, protection, modelled: bool = True, word_bytes: int = 4) -> DataFrame:
+def profile(variables, live, unknowns, taints, reach, snapshots, events, resources, protection, modelled: bool = True, word_bytes: int = 4, build_gaps: list[str] | None = None) -> DataFrame:
     """One wide row for each variable: its contexts, rules, blockers, screening and grade.
 
     Accesses that can never run count for nothing but their number. Supplemental
     variables have the one rule GS-SUPPLEMENTAL-UNANALYZED. A screened variable
-    has no rules. modelled is false for several cores or another scheduling.
+    has no rules. modelled is false for several cores or another scheduling;
+    build_gaps are kinds that the build's coverage leaves open, without a place.
     """
     dead = reach.where("reachability = 'PROVEN_UNREACHABLE'").select("function_id")
     uncertain = unknowns.where(F.col("symbol_id").isNotNull()).join(dead, "function_id", "left_anti").groupBy("symbol_id").agg(F.lit(True).alias("uncertain"), F.bool_or(F.col("kind") == "DMA_SHARED_REVIEW").alias("dma"))
@@ -78,7 +82,7 @@ def profile(variables, live, unknowns, taints, reach, snapshots, events, resourc
     alive = loose.join(dead, "function_id", "left_anti")
     kinds = lambda df, of: df.where(F.col("kind").isin(of)).agg(F.array_sort(F.collect_set("kind"))).scalar()
     always = [k for k in GLOBAL_GAPS if k != "INLINE_ASSEMBLY"]
-    global_gaps = F.array_union(F.array_union(kinds(loose, always), kinds(alive, ["INLINE_ASSEMBLY"])), strings([] if modelled else ["UNMODELED_CONCURRENCY"]))
+    global_gaps = F.array_union(F.array_union(kinds(loose, always), kinds(alive, ["INLINE_ASSEMBLY"])), strings([*(build_gaps or []), *([] if modelled else ["UNMODELED_CONCURRENCY"])]))
     locks = events.where(F.col("event_kind").isin("lock_enter", "lock_exit")).select("function_id").distinct().withColumn("locks", F.lit(True))
     tainted = taints.groupBy("function_id").agg(F.array_sort(F.collect_set("kind")).alias("taints"))
     x = live.join(tainted, "function_id", "left").join(locks, "function_id", "left")
@@ -131,10 +135,12 @@ def profile(variables, live, unknowns, taints, reach, snapshots, events, resourc
 
 
 def findings(profiles: DataFrame) -> DataFrame:
-    """A finding for each variable with a rule; its id leaves out line numbers, so that edits keep it."""
-    key = F.concat_ws("|", "symbol_id", F.array_join("rules", ","), F.array_join("contexts", ","))
+    """A finding for each variable with a rule. Its id is the canonical digest of symbol, rules and contexts, without line numbers, so that edits keep it; that of a supplemental variable has no contexts."""
+    texts = T.ArrayType(T.StringType())
+    key = list_digest(16, ("symbol_id", T.StringType()), ("rules", texts), ("contexts", texts))
+    extra = list_digest(16, ("symbol_id", T.StringType()), (F.lit("GS-SUPPLEMENTAL-UNANALYZED"), T.StringType()))
     return profiles.where(F.size("rules") > 0).select(
-        F.concat(F.lit("GS-"), F.substring(F.sha2(key, 256), 1, 16)).alias("finding_id"), "symbol_id", F.col("qualified_name").alias("variable_name"), "rules", "contexts", "blockers", "risk_level", "confidence", "protection_status", "definition_file")
+        F.concat(F.lit("GS-"), F.when(F.col("audit_status") == "SUPPLEMENTAL_INVENTORY", extra).otherwise(key)).alias("finding_id"), "symbol_id", F.col("qualified_name").alias("variable_name"), "rules", "contexts", "blockers", "risk_level", "confidence", "protection_status", "definition_file")
 
 
 def gap_groups(unknowns: DataFrame) -> DataFrame:

@@ -24,11 +24,16 @@ class Scope:
 
 
 def glob_regex(pattern: str) -> str:
-    """A shell pattern as a regular expression of whole names."""
+    """A shell pattern as a regular expression of whole names; in a set only a leading ! and ranges mean something."""
     parts = {"*": ".*", "?": "."}
-    pieces = re.findall(r"\[!?\]?[^\]]*\]|.", pattern, re.S)
-    turned = [parts.get(p) or (p.replace("[!", "[^").replace("\\", r"\\") if len(p) > 1 else re.escape(p)) for p in pieces]
-    return "(?s)^" + "".join(turned) + "$"
+
+    def turned(piece: str) -> str:
+        if len(piece) == 1:
+            return parts.get(piece) or re.escape(piece)
+        inside, no = (piece[2:-1], "^") if piece[1] == "!" else (piece[1:-1], "")
+        return "[" + no + re.sub(r"[\[\]\\^&~|]", r"\\\g<0>", inside) + "]"
+
+    return "(?s)^" + "".join(map(turned, re.findall(r"\[!?\]?[^\]]*\]|.", pattern, re.S))) + "$"
 
 
 def relative_path(path: Column, root: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def row_digest(columns: list[str], n: int = 16) -> Column:
@@ -12,6 +13,61 @@ def row_digest(columns: list[str], n: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws(",", *parts), 256), 1, n)
 
 
+#: Characters that JSON texts escape, with their short forms.
+ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def json_text(value: Column) -> Column:
+    """A string as a JSON text: quotes, backslashes and control characters escaped, others as they are."""
+    out = value
+    for char, form in (ESCAPES | {chr(c): f"\\u{c:04x}" for c in range(32) if chr(c) not in ESCAPES}).items():
+        out = F.replace(out, F.lit(char), F.lit(form))
+    odd = F.rlike(value, F.lit(r'["\\\x00-\x1f]'))
+    return F.concat(F.lit('"'), F.when(odd, out).otherwise(value), F.lit('"'))
+
+
+def canonical_json(value: Column, kind: T.DataType) -> Column:
+    """A value of any nested type as JSON with sorted keys, ", " and ": " between parts, nulls as null, and characters beyond ASCII as they are.
+
+    Numbers must be whole: floating-point numbers have several texts, so their type is refused.
+    """
+    if isinstance(kind, T.StringType):
+        out = json_text(value)
+    elif isinstance(kind, T.BooleanType):
+        out = value.cast("string")
+    elif isinstance(kind, T.IntegralType):
+        out = value.cast("string")
+    elif isinstance(kind, T.StructType):
+        fields = [F.concat(json_text(F.lit(f.name)), F.lit(": "), canonical_json(value.getField(f.name), f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        # A null struct has null fields; its own text is null.
+        out = F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")))
+    elif isinstance(kind, T.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_json(x, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        entries = F.array_sort(F.map_entries(value))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_text(e["key"]), F.lit(": "), canonical_json(e["value"], kind.valueType))), ", "), F.lit("}"))
+    else:
+        raise TypeError(f"no canonical text for {kind.simpleString()}")
+    return F.coalesce(out, F.lit("null"))
+
+
+def canonical_digest(df: DataFrame, columns: list[str], name: str = "digest", n: int = 64) -> DataFrame:
+    """df with the first n hex digits of SHA-256 over the canonical JSON object of the columns."""
+    kind = T.StructType([df.schema[c] for c in columns])
+    return df.withColumn(name, F.substring(F.sha2(canonical_json(F.struct(*columns), kind), 256), 1, n))
+
+
+def list_digest(n: int, *values: tuple[Column | str, T.DataType]) -> Column:
+    """The first n hex digits of SHA-256 over the canonical JSON list of values, each with its type."""
+    parts = [canonical_json(F.col(v) if isinstance(v, str) else v, t) for v, t in values]
+    return F.substring(F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")), 256), 1, n)
+
+
+def dedup_canonical(df: DataFrame) -> DataFrame:
+    """Rows once each, by their canonical digest: also where columns are maps, which Spark does not compare."""
+    return canonical_digest(df, df.columns, "_digest").dropDuplicates(["_digest"]).drop("_digest")
+
+
 def union_parts(parts: list[DataFrame]) -> DataFrame:
     """All rows of all parts; columns that a part lacks are null."""
     out, *rest = parts

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factgraph.operators import access, contexts, graph, multicore, points_to, review, rules, scope, sets, text
+from factgraph.operators import access, command_line, contexts, graph, multicore, points_to, review, rules, scope, sets, text
+from factgraph.plans import analysis
 from factgraph.sources.facts import fact, with_facts
 
 SCOPE = scope.Scope(["brand1", "brand2", "brand12", "sup", "brand3/p1.c"], ["brand2/inc", "brand12/p"], ["brand1/p7.c"], ["brand1/p2?.c", "brand12/p3.c"])
@@ -15,6 +16,12 @@ REGISTERED = [{"api": "my_*"}, {"api": "*_start"}, {"api": "never_*"}]
 EVENT_PATTERNS = {"lock_enter": ["ext1*", "memcpy"], "lock_exit": ["ext?2", "ext1[0-5]"]}
 REGIONS = [(0, 1600), (3200, 800)]
 
+
+
+def _list(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
 FACTS = {
     "edges": "SELECT DISTINCT caller, callee FROM calls WHERE callee IN (SELECT function_id FROM functions)",
     "bound": "SELECT context_id, function_id FROM roots UNION SELECT b.context_id, e.callee FROM bound b JOIN edges e ON b.function_id = e.caller",
@@ -23,7 +30,11 @@ FACTS = {
     "starts": "SELECT function_id FROM bound UNION SELECT target_function_id FROM open_points WHERE target_function_id IS NOT NULL UNION SELECT function_id FROM functions WHERE attributed",
     "reached": "SELECT function_id FROM starts UNION SELECT e.callee FROM reached r JOIN edges e ON r.function_id = e.caller",
     "may": "SELECT function_id FROM starts UNION SELECT function_id FROM functions WHERE linkage = 'EXTERNAL' AND EXISTS (SELECT 1 FROM reached JOIN external USING (function_id)) UNION SELECT e.callee FROM may m JOIN edges e ON m.function_id = e.caller",
-    "reach": "SELECT function_id, CASE WHEN function_id IN (SELECT function_id FROM bound) THEN 'REACHABLE' WHEN function_id NOT IN (SELECT function_id FROM may) THEN 'PROVEN_UNREACHABLE' ELSE 'UNKNOWN_ENTRY' END AS reachability FROM functions",
+    "reach": "SELECT function_id, CASE WHEN function_id IN (SELECT function_id FROM bound) THEN 'REACHABLE' WHEN function_id NOT IN (SELECT function_id FROM may) AND EXISTS (SELECT 1 FROM bound) AND NOT EXISTS (SELECT 1 FROM reach_gaps) THEN 'PROVEN_UNREACHABLE' ELSE 'UNKNOWN_ENTRY' END AS reachability FROM functions",
+    "reach_gaps": f"SELECT kind FROM open_points WHERE kind IN ({_list(graph.GAP_KINDS)}) UNION ALL SELECT kind FROM build_gaps WHERE kind IN ('PARSE_FAILED', 'SOURCE_NOT_IN_DATABASE')",
+    "build_gaps": "SELECT NULL::VARCHAR AS kind WHERE false",
+    "all_gaps": f"""SELECT coalesce(list(DISTINCT kind), []) AS kinds FROM (SELECT kind FROM open_points WHERE symbol_id IS NULL AND kind IN ({_list(k for k in rules.GLOBAL_GAPS if k != 'INLINE_ASSEMBLY')}) UNION ALL SELECT kind FROM build_gaps
+  UNION ALL SELECT kind FROM open_points WHERE symbol_id IS NULL AND kind = 'INLINE_ASSEMBLY' AND coalesce(function_id, '') NOT IN (SELECT function_id FROM dead))""",
     "taints": "SELECT kind, coalesce(target_function_id, function_id) AS function_id FROM open_points WHERE symbol_id IS NULL UNION SELECT t.kind, e.callee FROM taints t JOIN edges e ON t.function_id = e.caller",
     "walk": "SELECT context_id, function_id, 0 AS depth FROM roots UNION SELECT w.context_id, e.callee, w.depth + 1 FROM walk w JOIN edges e ON w.function_id = e.caller WHERE w.depth < 40",
     "depths": "SELECT context_id, function_id, min(depth) AS depth FROM walk GROUP BY ALL",
@@ -39,7 +50,7 @@ FACTS = {
     "noted": "SELECT symbol_id, list(DISTINCT owner_context) AS owners, bool_or(business_critical) AS critical FROM variables v JOIN resources r ON r.resource IN (v.symbol_id, v.name, v.qualified_name) GROUP BY symbol_id",
     "ext_gaps": "SELECT coalesce(list(DISTINCT kind), []) AS kinds FROM open_points WHERE symbol_id IS NULL AND kind IN ('EXTERNAL_CALLEE', 'INLINE_ASSEMBLY', 'UNRESOLVED_POINTEE') AND function_id NOT IN (SELECT function_id FROM dead)",
     "wide": """SELECT v.*, coalesce(n_all, 0) AS n_all, coalesce(n_live, 0) AS n_live, coalesce(sites, 0) AS sites, coalesce(unknown_context, false) AS unknown_context, coalesce(escapes, false) AS escapes, coalesce(rmw, false) AS rmw, coalesce(only_reads, false) AS only_reads, coalesce(locks, false) AS locks,
-  coalesce(readers, []) AS readers, coalesce(writers, []) AS writers, coalesce(contexts, []) AS contexts, coalesce(list_contains(contexts, 'C3'), false) AS reentrant, doubts.symbol_id IS NOT NULL AS uncertain, coalesce(dma, false) AS dma, coalesce(owners, []) AS owners, coalesce(critical, false) AS critical,
+  coalesce(readers, []) AS readers, coalesce(writers, []) AS writers, coalesce(contexts, []) AS contexts, coalesce(list_has_any(contexts, (SELECT coalesce(list(context_id), []) FROM contexts WHERE reentrant)), false) AS reentrant, doubts.symbol_id IS NOT NULL AS uncertain, coalesce(dma, false) AS dma, coalesce(owners, []) AS owners, coalesce(critical, false) AS critical,
   v.name IN (SELECT resource FROM protection) AS declared, v.symbol_id IN (SELECT symbol_id FROM snapshots) AS snapshot, coalesce(tainted.kinds, []) AS taints, v.linkage <> 'EXTERNAL' AND NOT coalesce(escapes, false) AS own, v.coverage_source <> 'compile_database' AS extra
   FROM variables v LEFT JOIN rw ON rw.symbol_id = v.symbol_id LEFT JOIN shape ON shape.symbol_id = v.symbol_id LEFT JOIN doubts ON doubts.symbol_id = v.symbol_id LEFT JOIN noted ON noted.symbol_id = v.symbol_id LEFT JOIN tainted ON tainted.symbol_id = v.symbol_id
   LEFT JOIN (SELECT symbol_id, count(*) AS n_all FROM accesses GROUP BY symbol_id) al ON al.symbol_id = v.symbol_id""",
@@ -49,20 +60,20 @@ FACTS = {
   CASE WHEN written AND snapshot THEN 'GS-STALE-SNAPSHOT' END, CASE WHEN written AND kind = 'LOCAL_STATIC' THEN 'GS-LOCAL-STATIC-REENTRANT' END, CASE WHEN written AND kind = 'FILE_STATIC' THEN 'GS-FILE-STATIC-SHARED' END,
   CASE WHEN written AND (size_bytes IS NULL OR size_bytes > 4 OR alignment_bytes IS NULL OR alignment_bytes < least(size_bytes, 4)) THEN 'GS-TEAR-RISK' END, CASE WHEN written AND (is_struct OR is_bitfield_container) THEN 'GS-STRUCT-INCONSISTENT' END,
   CASE WHEN len(list_filter(owners, lambda o: len(list_filter(writers, lambda w: w <> o)) > 0)) > 0 THEN 'GS-OWNER-VIOLATION' END], lambda r: r IS NOT NULL) AS found,
-  list_sort(list_distinct(CASE WHEN own AND parse_status = 'FAILED' THEN ['PARSE_FAILED'] ELSE [] END || CASE WHEN linkage = 'EXTERNAL' THEN (SELECT kinds FROM ext_gaps) ELSE [] END || CASE WHEN own THEN list_filter(taints, lambda k: k NOT IN ('EXTERNAL_CALLEE', 'UNRESOLVED_POINTEE', 'POINTER_DEREFERENCE')) ELSE taints END)) AS gaps FROM ruled""",
+  list_sort(list_distinct(CASE WHEN own THEN list_filter((SELECT kinds FROM all_gaps), lambda k: k NOT IN ('SOURCE_NOT_IN_DATABASE', 'HEADERS_NOT_INCLUDED', 'PARSE_FAILED')) ELSE (SELECT kinds FROM all_gaps) END || CASE WHEN own AND parse_status = 'FAILED' THEN ['PARSE_FAILED'] ELSE [] END || CASE WHEN linkage = 'EXTERNAL' THEN (SELECT kinds FROM ext_gaps) ELSE [] END || CASE WHEN own THEN list_filter(taints, lambda k: k NOT IN ('EXTERNAL_CALLEE', 'UNRESOLVED_POINTEE', 'POINTER_DEREFERENCE')) ELSE taints END)) AS gaps FROM ruled""",
     "eased": "SELECT *, CASE WHEN n_live > 0 AND only_reads THEN list_filter(gaps, lambda k: k NOT IN ('FUNCTION_ADDRESS', 'INDIRECT_CALL')) ELSE gaps END AS effective, len(contexts) = 1 AND NOT reentrant AND NOT unknown_context AS single FROM judged",
     "screened": """SELECT *, CASE WHEN NOT extra AND NOT uncertain AND NOT escapes AND len(effective) = 0 AND len(list_filter(found, lambda r: r NOT IN ('GS-NO-ACCESS-EVIDENCE', 'GS-UNKNOWN-CONTEXT', 'GS-COVERAGE-INCOMPLETE'))) = 0 THEN
   CASE WHEN n_live = 0 THEN CASE WHEN n_all > 0 THEN 'UNREACHABLE_ACCESSORS' ELSE 'NO_RUNTIME_ACCESSES' END WHEN only_reads THEN 'ONLY_READS' WHEN single AND sites = 1 THEN 'SINGLE_ACCESS_SITE' WHEN single THEN 'SINGLE_EXECUTION_CONTEXT' END END AS reason FROM eased""",
     "final": """SELECT *, CASE WHEN extra THEN ['GS-SUPPLEMENTAL-UNANALYZED'] WHEN reason IS NOT NULL THEN [] WHEN len(found) = 0 THEN ['GS-COVERAGE-INCOMPLETE'] ELSE list_sort(found) END AS rules, CASE WHEN extra THEN ['ACCESS_NOT_ANALYZED'] WHEN reason IS NOT NULL THEN effective ELSE gaps END AS blockers FROM screened""",
     "gaps_of": "SELECT kind, file, count(*) AS n_rows, count(DISTINCT coalesce(function_id, target_function_id)) AS n_functions, min(line) AS first_line, CASE WHEN count(DISTINCT coalesce(function_id, target_function_id)) = 1 THEN min(coalesce(function_id, target_function_id)) END AS function_id FROM open_points WHERE symbol_id IS NULL GROUP BY kind, file",
-    "found": """SELECT 'GS-' || substr(sha256(symbol_id || '|' || array_to_string(rules, ',') || '|' || CASE WHEN extra THEN '' ELSE array_to_string(contexts, ',') END), 1, 16) AS finding_id, symbol_id, qualified_name AS variable_name, array_to_string(rules, ',') AS rules,
+    "found": """SELECT 'GS-' || substr(sha256('["' || symbol_id || '", ' || CASE WHEN extra THEN '"GS-SUPPLEMENTAL-UNANALYZED"' ELSE '["' || array_to_string(rules, '", "') || '"], [' || array_to_string(list_transform(contexts, lambda c: '"' || c || '"'), ', ') || ']' END || ']'), 1, 16) AS finding_id, symbol_id, qualified_name AS variable_name, array_to_string(rules, ',') AS rules,
   CASE WHEN NOT list_has_any(rules, ['GS-MULTI-WRITER', 'GS-RMW-INTERLEAVE', 'GS-LOCAL-STATIC-REENTRANT', 'GS-STALE-SNAPSHOT', 'GS-OWNER-VIOLATION']) THEN 'MEDIUM' WHEN critical THEN 'CRITICAL' ELSE 'HIGH' END AS risk_level, CASE WHEN shared AND NOT extra THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
   CASE WHEN extra THEN 'UNKNOWN' WHEN locks THEN 'PARTIAL' WHEN declared THEN 'DECLARED_ONLY' ELSE 'UNKNOWN' END AS protection_status FROM final WHERE len(rules) > 0""",
 }
 NEEDS = {
     "edges": ["calls", "functions"], "bound": ["roots", "edges"], "external": ["calls", "functions"], "open_points": ["unknowns", "external"], "starts": ["bound", "open_points", "functions"], "reached": ["starts", "edges"], "may": ["starts", "reached", "external", "edges", "functions"],
-    "reach": ["functions", "bound", "may"], "taints": ["open_points", "edges"], "walk": ["roots", "edges"], "depths": ["walk"], "dead": ["reach"], "live": ["accesses", "dead"], "used": ["live", "bound"], "rw": ["accesses", "used"], "shape": ["live", "bound", "protection_events"], "tainted": ["live", "taints"],
-    "doubts": ["open_points", "dead"], "noted": ["variables", "resources"], "ext_gaps": ["open_points", "dead"], "wide": ["variables", "rw", "shape", "doubts", "noted", "tainted", "accesses", "protection", "snapshots"], "ruled": ["wide"], "judged": ["ruled", "ext_gaps"], "eased": ["judged"], "screened": ["eased"],
+    "reach": ["functions", "bound", "may", "reach_gaps"], "build_gaps": [], "reach_gaps": ["open_points", "build_gaps"], "all_gaps": ["open_points", "build_gaps", "dead"], "taints": ["open_points", "edges"], "walk": ["roots", "edges"], "depths": ["walk"], "dead": ["reach"], "live": ["accesses", "dead"], "used": ["live", "bound"], "rw": ["accesses", "used"], "shape": ["live", "bound", "protection_events"], "tainted": ["live", "taints"],
+    "doubts": ["open_points", "dead"], "noted": ["variables", "resources"], "ext_gaps": ["open_points", "dead"], "wide": ["contexts", "variables", "rw", "shape", "doubts", "noted", "tainted", "accesses", "protection", "snapshots"], "ruled": ["wide"], "judged": ["ruled", "ext_gaps", "all_gaps"], "eased": ["judged"], "screened": ["eased"],
     "final": ["screened"], "gaps_of": ["open_points"], "found": ["final"],
 }
 
@@ -132,6 +143,9 @@ DERIVED = {
     "evidence": lambda f: f.documents.where("text is not null").select(F.col("doc_id").alias("ref"), F.when(F.col("doc_id") % 11 == 0, "none").otherwise(F.concat(F.lit("d"), "doc_id")).alias("file"), (F.col("doc_id") % 4).cast("int").alias("line"), F.expr("substring(text, 1 + doc_id % 7, 5)").alias("quote")),
     "unit_rows": lambda f: f.units.select("tu", "file", F.array("header").alias("includes"), "parse_status"),
     "solved": lambda f: points_to.solve(pointer_program(f)),
+    "run": lambda f: analysis_run(f),
+    "response_files": lambda f: f.nation.select(F.concat(F.lit("/w/build/r"), "n_nationkey", F.lit(".rsp")).alias("path"), F.concat(F.lit("-DR="), "n_nationkey", F.lit(" @nested.rsp\n-DLAST")).alias("content")).union(
+        f.spark.createDataFrame([("/w/build/nested.rsp", "'two words'"), ("/w/build/loop.rsp", "-DX @../build/loop.rsp")], "path string, content string")),
 }
 
 
@@ -150,6 +164,18 @@ def pointer_program(f):
         row("LOC", e("ret"), None, F.concat(F.lit("F"), k, F.lit(":return"))), row("ASSIGN", e("ret"), e("a")))))
 
 
+RUN = analysis.Config(
+    contexts=[s for s in SPECS if s["id"] != "cfg:none"], call_edges=[("f10", "f11"), ("f12", "f53")],
+    registrations=[{"api": "my_*", "callback_arg": 1, "kind": "ISR", "context_id": "grouped", "may_repeat": False}])
+
+
+def analysis_run(f):
+    """A run over all facts, with the pointer facts beside the ones that the other queries use."""
+    given = {t: getattr(f, t) for t in ("variables", "functions", "accesses", "calls", "unknowns", "protection_events", "snapshots", "resources", "protection", "constraints", "semantic_calls", "indirect_accesses")}
+    given["accesses"] = given["accesses"].select([c.split()[0] for c in analysis.TABLES["accesses"].split(", ")])
+    return analysis.Run(f.spark, given, RUN)
+
+
 def joined(df, *arrays):
     return df.withColumns({a: F.array_join(a, ",") for a in arrays})
 
@@ -216,7 +242,7 @@ query("snapshot_scenario", lambda f: review.snapshot_witness(f.accesses, f.snaps
   rw3 AS (SELECT r.symbol_id, r.main, r.access_id AS read_id, r.line AS read_line, r.access_path, r.function_id, r.file, w.line AS write_line, w.access_id AS write_id FROM r JOIN accesses w ON w.access_kind = 'WRITE' AND w.symbol_id = r.symbol_id AND w.function_id = r.function_id AND w.file = r.file AND w.access_path = r.access_path AND w.line > r.line),
   riv AS (SELECT symbol_id, access_path, k.context_id AS rival, access_id AS rival_id, row_number() OVER (PARTITION BY symbol_id, access_path ORDER BY depth, k.context_id, access_id) AS nth FROM accesses a JOIN kinds k ON a.function_id = k.function_id AND k.kind = 'ISR' WHERE access_kind IN ('WRITE', 'RMW'))
   SELECT symbol_id, main, read_id, rival, rival_id, write_id FROM (SELECT rw3.*, rival, rival_id FROM rw3 JOIN riv ON riv.symbol_id = rw3.symbol_id AND riv.access_path = rw3.access_path AND nth = 1) QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY read_line, read_id, main, rival, rival_id, write_line, write_id) = 1""", "accesses", "snapshots", "depths", "contexts")
-query("cross_core", lambda f: multicore.cross_core(f.linked_ids), "SELECT combined_id, n_cores, 'GS-CROSS-CORE' AS rule FROM (SELECT combined_id, count(DISTINCT variant) AS n_cores FROM ids WHERE shared GROUP BY combined_id) WHERE n_cores > 1".replace("SELECT", ", {core} SELECT", 1), "linked", "elf")
+query("cross_core", lambda f: multicore.cross_core(f.linked_ids, f.spark.createDataFrame([("core0", "m7"), ("core1", "m4")], "variant string, core string")), "SELECT combined_id, n_cores, 'GS-CROSS-CORE' AS rule FROM (SELECT combined_id, count(DISTINCT variant) AS n_cores FROM ids WHERE shared GROUP BY combined_id) WHERE n_cores > 1".replace("SELECT", ", {core} SELECT", 1), "linked", "elf")
 query("shared_region", lambda f: f.linked_ids, ", {core} SELECT variant, symbol_id, combined_id, shared FROM ids", "linked", "elf")
 query("id_remap", lambda f: multicore.remap(f.linked.select("variant", "symbol_id", "name").union(f.linked.select("variant", F.concat("symbol_id", F.lit("x")), "name")), f.linked_ids).groupBy("symbol_id").agg(F.count("*").alias("n")),
       ", {core} SELECT coalesce(combined_id, r.variant || '::' || r.symbol_id) AS symbol_id, count(*) AS n FROM (SELECT variant, symbol_id FROM linked UNION ALL SELECT variant, symbol_id || 'x' FROM linked) r LEFT JOIN ids ON ids.variant = r.variant AND ids.symbol_id = r.symbol_id GROUP BY 1", "linked", "elf")
@@ -242,7 +268,7 @@ query("configured_edges", lambda f: contexts.configured_edges(f.functions, EDGES
 query("auto_entry_kind", lambda f: f.functions.select("function_id", contexts.auto_entry_kind().alias("kind")),
       "SELECT function_id, CASE WHEN NOT starts_with(name, 'HAL_') AND parameter_count = 0 AND (ends_with(name, 'IRQHandler') OR name IN ('SysTick_Handler', 'PendSV_Handler', 'SVC_Handler', 'NMI_Handler', 'HardFault_Handler', 'MemManage_Handler', 'BusFault_Handler', 'UsageFault_Handler')) THEN 'ISR' WHEN name = 'main' THEN 'MAIN' END AS kind FROM functions", "functions")
 query("auto_contexts", lambda f: contexts.auto_contexts(f.functions, f.configured[1].select("function_id").union(f.configured[2])),
-      ", {cfg}, k AS (SELECT function_id, name, CASE WHEN NOT starts_with(name, 'HAL_') AND parameter_count = 0 AND (ends_with(name, 'IRQHandler') OR name = 'SysTick_Handler') THEN 'ISR' WHEN name = 'main' THEN 'MAIN' END AS kind FROM functions) SELECT 'auto:' || name || ':' || substr(sha256(function_id), 1, 8) AS context_id, kind, function_id FROM k WHERE kind IS NOT NULL AND function_id NOT IN (SELECT function_id FROM cfg)", "functions")
+      ", {cfg}, k AS (SELECT function_id, name, CASE WHEN NOT starts_with(name, 'HAL_') AND parameter_count = 0 AND (ends_with(name, 'IRQHandler') OR name = 'SysTick_Handler') THEN 'ISR' WHEN name = 'main' THEN 'MAIN' END AS kind FROM functions) SELECT 'auto:' || name || ':' || substr(sha256(chr(34) || function_id || chr(34)), 1, 8) AS context_id, kind, function_id FROM k WHERE kind IS NOT NULL AND function_id NOT IN (SELECT function_id FROM cfg)", "functions")
 query("registration_contexts", lambda f: contexts.registration_contexts(f.made_contexts), ", {cfg}, {made} SELECT context_id, kind, bool_or(may_repeat) AS reentrant, count(*) AS n_registrations FROM made WHERE context_id IS NOT NULL GROUP BY context_id, kind", "functions", "registrations")
 query("registration_ordinal", lambda f: f.made_contexts.select("ord", "function_id", "ordinal"), ", {cfg}, {made} SELECT ord, function_id, ordinal FROM made", "functions", "registrations")
 query("registration_conflicts", lambda f: f.made_contexts.where("context_id is null").select("ord", "given_id", "kind"), ", {cfg}, {made} SELECT ord, given_id, kind FROM made WHERE context_id IS NULL", "functions", "registrations")
@@ -258,11 +284,26 @@ query("indirect_calls", lambda f: points_to.indirect_calls(f.solved[0], f.custom
 query("indirect_accesses", lambda f: points_to.indirect_accesses(f.solved[0], f.customer.select("c_custkey", F.concat(F.lit("f"), "c_custkey").alias("r"), F.lit("WRITE").alias("mode")).withColumnRenamed("c_custkey", "item"), f.variables))
 query("location_symbol", lambda f: points_to.location_symbols(f.locations, f.variables), "SELECT location, symbol_id, substr(location, length(symbol_id) + 5) AS access_path FROM locations JOIN variables ON location = 'obj:' || symbol_id OR starts_with(location, 'obj:' || symbol_id || '/')", "locations", "variables")
 
+# A run from facts to findings
+query("analysis_run", lambda f: joined(f.run.findings.select("finding_id", "symbol_id", "variable_name", "rules", "contexts", "blockers", "risk_level", "confidence", "protection_status"), "rules", "contexts", "blockers"))
+query("contexts_built", lambda f: f.run.contexts)
+query("run_bindings", lambda f: joined(f.run.bindings, "path"))
+query("run_accesses", lambda f: f.run.accesses)
+query("run_unknowns", lambda f: f.run.unknowns.groupBy("kind").agg(F.count("*").alias("n_rows"), F.count_distinct("function_id").alias("n_functions")))
+query("run_coverage", lambda f: f.run.coverage())
+
 # Syntax, calls and library arguments
-query("access_mode", lambda f: access.access_mode(f.syntax.distinct().groupBy("ref", "distance").agg(*[F.min(c).alias(c) for c in ("kind", "op", "child", "same_symbol", "is_array")])),
-      """, a AS (SELECT ref, distance, min(kind) AS kind, min(op) AS op, min(child) AS child, min(same_symbol) AS same_symbol, min(is_array) AS is_array FROM syntax GROUP BY ref, distance), m AS (SELECT ref, distance, CASE WHEN kind = 'SIZEOF' THEN 'NONE' WHEN kind = 'UNARY' AND op = '++' THEN 'RMW' WHEN kind = 'UNARY' AND op = '&' THEN 'ADDRESS_TAKEN' WHEN kind = 'BINARY' AND op = '=' AND child = 0 THEN CASE WHEN same_symbol THEN 'RMW' ELSE 'WRITE' END
-  WHEN kind = 'BINARY' AND op = '+=' AND child = 0 THEN 'RMW' WHEN kind IN ('CALL', 'DECAY') AND is_array THEN 'ADDRESS_TAKEN' END AS mode FROM a) SELECT ref, nullif(coalesce(arg_min(mode, distance) FILTER (mode IS NOT NULL), 'READ'), 'NONE') AS mode FROM m GROUP BY ref""", "syntax")
-query("operator_kind", lambda f: f.part.select("p_partkey", access.operator_text(F.col("p_partkey") % 17).alias("op")), "SELECT p_partkey, coalesce(['=', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=', '<<=', '>>=', '++', '--', '&'][p_partkey % 17 + 1], 'other') AS op FROM part")
+_WAY = """, s AS (SELECT ref, min(distance) FILTER (NOT ({passed})) AS place FROM ancestors GROUP BY ref), w AS (SELECT a.ref, coalesce(string_agg(CASE kind WHEN 'MEMBER' THEN name ELSE '[]' END, '.' ORDER BY distance DESC) FILTER (kind <> 'WRAPPER'), '') AS path,
+  coalesce(max(distance) FILTER (decays), -1) > coalesce(max(distance) FILTER (kind = 'SUBSCRIPT'), -1) AS decayed FROM ancestors a JOIN s USING (ref) WHERE place IS NULL OR distance < place GROUP BY a.ref), e AS (SELECT s.ref, a.* EXCLUDE (ref), coalesce(w.path, '') AS path, coalesce(decayed, false) AS decayed FROM s LEFT JOIN ancestors a ON a.ref = s.ref AND a.distance = s.place LEFT JOIN w ON w.ref = s.ref)"""
+_COMPOUND = ", ".join(f"'{o}'" for o in access.COMPOUND)
+query("access_mode", lambda f: access.access_mode(f.ancestors),
+      _WAY.replace("{passed}", "kind = 'WRAPPER' OR kind = 'MEMBER' AND NOT arrow OR kind = 'SUBSCRIPT' AND child = 0") + f""" SELECT ref, CASE WHEN kind = 'SIZEOF' THEN NULL WHEN kind = 'UNARY' AND op IN ('++', '--') THEN 'RMW' WHEN kind = 'UNARY' AND op = '&' THEN 'ADDRESS_TAKEN' WHEN kind = 'BINARY' AND child = 0 AND op = '=' THEN CASE WHEN same_symbol THEN 'RMW' ELSE 'WRITE' END
+  WHEN kind = 'BINARY' AND child = 0 AND op IN ({_COMPOUND}) THEN 'RMW' WHEN kind = 'CALL' AND is_array AND path = '' THEN 'ADDRESS_TAKEN' WHEN kind IN ('MEMBER', 'SUBSCRIPT') THEN 'READ' WHEN decayed THEN 'ADDRESS_TAKEN' ELSE 'READ' END AS mode, CASE WHEN coalesce(kind, '') = 'SIZEOF' THEN '' ELSE path END AS path FROM e""", "ancestors")
+query("indirect_mode", lambda f: access.indirect_mode(f.ancestors),
+      _WAY.replace("{passed}", "kind IN ('WRAPPER', 'MEMBER') OR kind = 'SUBSCRIPT' AND child = 0") + f""" SELECT ref, CASE WHEN kind = 'SIZEOF' THEN NULL WHEN kind = 'UNARY' AND op IN ('++', '--') THEN 'RMW' WHEN kind = 'UNARY' AND op = '&' THEN 'ADDRESS_TAKEN' WHEN kind = 'BINARY' AND child = 0 AND op = '=' THEN 'WRITE' WHEN kind = 'BINARY' AND child = 0 AND op IN ({_COMPOUND}) THEN 'RMW' ELSE 'READ' END AS mode FROM e""", "ancestors")
+_KINDS = {u: "MAP {" + ", ".join(f"{k}: '{v}'" for k, v in t.items()) + "}" for u, t in ((True, access.UNARY_KINDS), (False, access.BINARY_KINDS))}
+query("operator_kind", lambda f: f.lineitem.select("l_orderkey", "l_linenumber", access.operator_text(F.col("l_suppkey") % 36, F.col("l_partkey") % 3 == 0).alias("op")).groupBy("l_orderkey", "op").agg(F.count("*").alias("n")),
+      f"SELECT l_orderkey, coalesce(CASE WHEN l_partkey % 3 = 0 THEN {_KINDS[True]}[l_suppkey % 36] ELSE {_KINDS[False]}[l_suppkey % 36] END, '') AS op, count(*) AS n FROM lineitem GROUP BY 1, 2".replace("[l_suppkey % 36]", "[(l_suppkey % 36)::INTEGER]"))
 query("protection_events", lambda f: access.protection_kinds(f.calls.select(F.col("caller").alias("function_id"), F.col("callee_name").alias("name")), EVENT_PATTERNS),
       "SELECT caller AS function_id, callee_name AS name, k AS event_kind FROM calls JOIN (VALUES ('lock_enter', 'ext1.*|memcpy'), ('lock_exit', 'ext.2|ext1[0-5]')) p(k, r) ON regexp_full_match(callee_name, r)", "calls")
 query("api_semantics", lambda f: access.argument_accesses(f.arguments), "SELECT site, arg, location, CASE WHEN name = 'memcpy' AND arg = 1 THEN 'READ' ELSE 'WRITE' END AS mode FROM arguments WHERE name = 'memcpy' AND arg < 2 OR name = 'memset' AND arg = 0", "arguments")
@@ -285,13 +326,24 @@ query("asm_references", lambda f: text.assembly_references(f.assembly, f.variabl
       "SELECT 'ASSEMBLY_SYMBOL_REFERENCE' AS kind, symbol_id AS target, file, CASE WHEN event_id % 50 = 0 THEN 2 ELSE 1 END AS line FROM assembly JOIN variables ON name = 'v' || event_id % 3000 AND linkage = 'EXTERNAL' UNION ALL SELECT 'ASSEMBLY_FUNCTION_REFERENCE', function_id, assembly.file, CASE WHEN event_id % 50 = 0 THEN 3 ELSE 2 END FROM assembly JOIN functions ON name = 'f' || event_id % 2000 AND linkage = 'EXTERNAL' UNION ALL SELECT 'ASSEMBLY_SOURCE_REVIEW', NULL, file, NULL FROM assembly WHERE event_id % 50 = 0", "assembly", "variables", "functions")
 query("transcript_text", lambda f: text.transcript_text(f.logs), "SELECT finding_id, 'a' || event_id || chr(10) || 'b' AS answer, event_id % 7 = 0 AS failed FROM logs", "logs")
 query("answer_parse", lambda f: f.answers.select("finding_id", text.final_json(F.col("answer"), F.col("finding_id")).alias("json")), "SELECT finding_id, CASE o_orderkey % 4 WHEN 1 THEN '{\"a\":2}' WHEN 3 THEN NULL ELSE '{\"finding_id\":\"' || finding_id || '\"}' END AS json FROM answers", "answers")
-query("split_paragraphs", lambda f: f.supplier.select("s_suppkey", F.posexplode(text.paragraphs(F.concat(F.lit("a"), "s_suppkey", F.lit("。b（c。d）；； e\nf"))))).select("s_suppkey", F.col("pos").alias("nth"), F.col("col").alias("part")), "SELECT s_suppkey, nth, part FROM (SELECT s_suppkey, 0 AS nth, 'a' || s_suppkey AS part FROM supplier UNION ALL SELECT s_suppkey, n, p FROM supplier CROSS JOIN (VALUES (1, 'b（c。d）'), (2, 'e'), (3, 'f')) v(n, p))")
+_PROSE = "translate(text, '.;()[]{}（）', '。；')"
+query("split_paragraphs", lambda f: f.documents.select("doc_id", F.posexplode(text.paragraphs(F.expr(_PROSE)))).select("doc_id", F.col("pos").alias("nth"), F.sha2("col", 256).alias("part")),
+      f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS nth, sha256(p[i]) AS part FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all({_PROSE}, '[^。；\n]*[。；\n]|[^。；\n]+'), lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda s: s <> '') AS p FROM documents))")
+query("numbered_steps", lambda f: f.answers.select("finding_id", F.posexplode(text.numbered_steps(F.concat(F.lit("Before (a) 2.1) x："), F.lit("(1)"), "answer", F.lit("（2） b (3) ③④ "), "finding_id", F.when(F.col("o_orderkey") % 3 == 0, " [4) not] 5) end").otherwise("")))).alias("nth", "step")).groupBy("finding_id").agg(F.count("*").alias("n_steps"), F.count("step.label").alias("n_labels")),
+      "SELECT finding_id, CAST(6 + (o_orderkey % 3 = 0)::INTEGER AS BIGINT) AS n_steps, CAST(5 + (o_orderkey % 3 = 0)::INTEGER AS BIGINT) AS n_labels FROM answers", "answers")
 _LINES = "src AS (SELECT 'd' || doc_id AS file, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS text FROM documents), ev AS (SELECT doc_id AS ref, CASE WHEN doc_id % 11 = 0 THEN 'none' ELSE 'd' || doc_id END AS file, doc_id % 4 AS line, substr(text, 1 + doc_id % 7, 5) AS quote FROM documents WHERE text IS NOT NULL)"
 query("evidence_check", lambda f: text.evidence_check(f.evidence, f.source_lines), f"WITH {_LINES}, l AS (SELECT file, max(line) AS last FROM src GROUP BY file) SELECT ref, ev.file, ev.line::INTEGER AS line, CASE WHEN last IS NULL THEN 'NO_FILE' WHEN ev.line < 1 OR ev.line > last THEN 'NO_LINE' WHEN trim(quote, ' ') = '' THEN 'NO_QUOTE' WHEN contains(text, trim(quote, ' ')) THEN 'OK' ELSE 'MISMATCH' END AS verdict FROM ev LEFT JOIN l ON l.file = ev.file LEFT JOIN src ON src.file = ev.file AND src.line = ev.line")
 query("evidence_window", lambda f: text.evidence_window(f.evidence, f.source_lines), f"WITH {_LINES} SELECT ref, src.file, src.line::INTEGER AS line, src.text FROM ev JOIN src ON src.file = ev.file AND src.line BETWEEN ev.line - 3 AND ev.line + 3")
 
 # Sets, files and state
 query("file_manifest", lambda f: f.documents.select("doc_id", F.sha2("text", 256).alias("sha256")), "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+query("canonical_digest", lambda f: sets.canonical_digest(f.documents.select("doc_id", "text", F.struct(F.col("source").alias("z"), F.array("lang", F.lit(None)).alias("a"), F.create_map(F.lit("n"), F.col("n_chars")).alias("m")).alias("meta")), ["doc_id", "text", "meta"]).select("doc_id", "digest"),
+      """WITH RECURSIVE raw AS (SELECT doc_id, text, source, lang, n_chars FROM documents), esc AS (SELECT *, replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r') AS t FROM raw)
+  SELECT doc_id, sha256('{"doc_id": ' || doc_id || ', "meta": {"a": [' || coalesce('"' || lang || '"', 'null') || ', null], "m": {"n": ' || coalesce(n_chars::VARCHAR, 'null') || '}, "z": ' || coalesce('"' || source || '"', 'null') || '}, "text": ' || coalesce('"' || t || '"', 'null') || '}') AS digest FROM esc""")
+query("compile_arguments", lambda f: command_line.normalised(f.compile_entries.withColumn("arguments", F.lit(None).cast("array<string>")), f.response_files, ["-Wall"], ["-g"]).select("tu", "source", F.array_join("arguments", "|").alias("arguments"), F.array_join("removed_arguments", "|").alias("removed_arguments"), F.array_join("response_files", "|").alias("response_files"), "target", "problem"),
+      """, x AS (SELECT *, tu % 5 AS s FROM compile_entries) SELECT tu, '/w/src/f' || tu || '.c' AS source, CASE WHEN tu % 11 IN (7, 8, 9) THEN NULL ELSE CASE WHEN s = 0 THEN '-DN=a b' WHEN s = 1 THEN '-DQ="q"|x\\y' ELSE '-I' || tu END || '|-DR=' || tu % 7 || '|two words|-DLAST|-DEND' || CASE WHEN s = 2 THEN '|--target=arm-none-eabi' ELSE '' END || '|-Wall' END AS arguments,
+  CASE WHEN tu % 11 IN (7, 8, 9) THEN NULL ELSE '-c|-o|x.o|-MFdep|-g|../src/f' || tu || '.c' END AS removed_arguments, CASE WHEN tu % 11 = 7 THEN '' WHEN tu % 11 = 8 THEN '/w/build/loop.rsp' WHEN tu % 11 = 9 THEN '/w/build/none.rsp' ELSE '/w/build/nested.rsp|/w/build/r' || tu % 7 || '.rsp' END AS response_files,
+  CASE WHEN s = 2 AND tu % 11 NOT IN (7, 8, 9) THEN 'arm-none-eabi' END AS target, CASE tu % 11 WHEN 7 THEN 'QUOTE' WHEN 8 THEN 'CYCLE' WHEN 9 THEN 'MISSING' END AS problem FROM x""", "compile_entries")
 query("row_digest", lambda f: f.resources.select("resource", sets.row_digest(["resource", "owner_context"], 16).alias("digest")), "SELECT resource, substr(sha256('owner_context=''' || owner_context || ''',resource=''' || resource || ''''), 1, 16) AS digest FROM resources", "resources")
 query("dedup_rows", lambda f: f.syntax.dropDuplicates().groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM (SELECT DISTINCT * FROM syntax) GROUP BY kind", "syntax")
 query("union_parts", lambda f: sets.union_parts([f.resources, f.protection, f.contexts]).groupBy("owner_context", "kind").agg(F.count("*").alias("n")), "SELECT owner_context, NULL::VARCHAR AS kind, count(*) AS n FROM resources GROUP BY owner_context UNION ALL SELECT NULL, NULL, count(*) FROM protection UNION ALL SELECT NULL, kind, 1 FROM contexts", "resources", "protection", "contexts")
@@ -369,7 +421,7 @@ PARTS = {
     "{cfg}": "named AS (SELECT function_id, unnest([name, qualified_name, function_id, file || '::' || name]) AS n FROM functions), cfg AS (SELECT DISTINCT function_id, regexp_full_match(n, 'f.7') AS off FROM named WHERE regexp_full_match(n, 'T.*_IRQHandler|f10|n3::f20|nowhere|f1[0-9]5|missing|f.7'))",
     "{made}": """r1 AS (SELECT r.*, name FROM registrations r JOIN functions f USING (function_id) WHERE function_id NOT IN (SELECT function_id FROM cfg WHERE off) AND (configured OR function_id NOT IN (SELECT function_id FROM cfg WHERE NOT off))), r2 AS (SELECT * FROM r1 QUALIFY row_number() OVER (PARTITION BY function_id, r1.file, pos, kind, given_id, CASE WHEN configured THEN may_repeat END ORDER BY ord) = 1),
   r3 AS (SELECT *, row_number() OVER (PARTITION BY function_id, file ORDER BY ord)::INTEGER AS ordinal, kind IN ('TIMER', 'DEFERRED') AS serial FROM r2), r4 AS (SELECT given_id, arg_min(kind, ord) AS first_kind FROM r3 WHERE NOT serial AND given_id IS NOT NULL GROUP BY given_id),
-  made AS (SELECT ord, function_id, given_id, ordinal, may_repeat AND NOT serial AS may_repeat, CASE WHEN serial THEN 'TASK' ELSE kind END AS kind, CASE WHEN serial THEN 'auto:freertos:timer_daemon' WHEN given_id IS NULL THEN 'auto:' || lower(kind) || ':' || name || ':' || substr(sha256(function_id || '|' || file || '|' || ordinal), 1, 12) WHEN kind = first_kind THEN given_id END AS context_id FROM r3 LEFT JOIN r4 USING (given_id))""",
+  made AS (SELECT ord, function_id, given_id, ordinal, may_repeat AND NOT serial AS may_repeat, CASE WHEN serial THEN 'TASK' ELSE kind END AS kind, CASE WHEN serial THEN 'auto:freertos:timer_daemon' WHEN given_id IS NULL THEN 'auto:' || lower(kind) || ':' || name || ':' || substr(sha256('[' || chr(34) || function_id || chr(34) || ', ' || chr(34) || file || chr(34) || ', ' || ordinal || ']'), 1, 12) WHEN kind = first_kind THEN given_id END AS context_id FROM r3 LEFT JOIN r4 USING (given_id))""",
     "{files}": "src_files AS (SELECT file FROM files WHERE regexp_matches(lower(file), '\\.(c|cc|cpp|cxx|h|hh|hpp|hxx|inc)$') AND file NOT LIKE '.git/%')",
 }
 

@@ -113,5 +113,23 @@ SQL |= {
     "function_parts": "SELECT 'F' || CAST(c_custkey AS STRING) AS function_id, CAST(c_nationkey % 3 AS BIGINT) AS part_ord, c_name AS name, c_mktsegment AS file FROM {customer} UNION ALL SELECT 'F' || CAST(c_custkey AS STRING), CAST(10 + c_custkey % 2 AS BIGINT), 'last', CAST(c_custkey % 9 AS STRING) FROM {customer} WHERE c_custkey % 3 = 0",
     "line_groups": f"SELECT 'P' || CAST(l_partkey AS STRING) AS group_id, {_f('o_custkey')} AS function_id, max(o_custkey % 17 * 60 + 1) AS n_lines FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey GROUP BY 1, 2",
     "investigations": "SELECT 'G' || CAST(l_partkey AS STRING) AS finding_id, 'access:' || CAST(l_suppkey AS STRING) AS id, CASE WHEN l_orderkey % 31 = 0 THEN ' ' ELSE 'ok' END AS assessment, CAST(l_linenumber AS INT) AS cited FROM {lineitem} WHERE l_linenumber <> 3",
+    "ancestors": """SELECT l_orderkey AS ref, CAST(l_linenumber AS INT) AS distance, CASE min(l_suppkey) % 11 WHEN 0 THEN 'WRAPPER' WHEN 1 THEN 'WRAPPER' WHEN 2 THEN 'WRAPPER' WHEN 3 THEN 'MEMBER' WHEN 4 THEN 'MEMBER' WHEN 5 THEN 'SUBSCRIPT' WHEN 6 THEN 'UNARY' WHEN 7 THEN 'BINARY' WHEN 8 THEN 'CALL' WHEN 9 THEN 'SIZEOF' ELSE 'RETURN' END AS kind,
+  CASE min(l_partkey) % 6 WHEN 0 THEN '++' WHEN 1 THEN '&' WHEN 2 THEN '=' WHEN 3 THEN '+=' WHEN 4 THEN '*' ELSE '-' END AS op, CAST(min(l_partkey) % 5 % 2 AS INT) AS child, min(l_partkey) % 4 = 0 AS same_symbol, l_orderkey % 5 < 2 AS is_array, min(l_suppkey) % 11 = 1 AS decays, min(l_partkey) % 7 = 0 AS arrow, 'm' || CAST(min(l_suppkey) % 9 AS STRING) AS name FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+    # Compile commands with quotes, escapes, nested response files, and three kinds that cannot be used.
+    "compile_entries": """SELECT o_orderkey AS tu, '../src/f' || CAST(o_orderkey AS STRING) || '.c' AS file, '/w/build' AS directory, CASE WHEN o_orderkey % 3 = 0 THEN 'ccache ' ELSE '' END || CASE WHEN o_orderkey % 5 = 2 THEN '/opt/arm-none-eabi-gcc' ELSE 'gcc' END || ' -c -o x.o -MFdep ' || CASE o_orderkey % 5 WHEN 0 THEN '"-DN=a b"' WHEN 1 THEN chr(39) || '-DQ="q"' || chr(39) || ' x' || chr(92) || chr(92) || 'y' ELSE '-I' || CAST(o_orderkey AS STRING) END
+  || ' -g ' || CASE o_orderkey % 11 WHEN 7 THEN '"open' WHEN 8 THEN '@loop.rsp' WHEN 9 THEN '@./none.rsp' ELSE '@r' || CAST(o_orderkey % 7 AS STRING) || '.rsp' END || ' -DEND ../src/f' || CAST(o_orderkey AS STRING) || '.c' AS command FROM {orders}""",
+    # Pointer facts: blocks of 40 functions share a slot of callbacks, which may hold a function of the next block too; ten blocks follow one another so.
+    "constraints": f"""SELECT c_custkey AS id, CASE c_custkey % 10 WHEN 0 THEN '{{{{"op":"field","base":{{{{"op":"loc","id":"obj:S' || CAST(floor(c_custkey / 40) AS BIGINT) || '"}}}},"field":"cb"}}}}' WHEN 5 THEN '{{{{"op":"loc","id":"obj:S' || CAST(floor(c_custkey / 40) AS BIGINT) || '"}}}}'
+  WHEN 2 THEN '{{{{"op":"loc","id":"' || {_f('c_custkey')} || ':local"}}}}' WHEN 3 THEN '{{{{"op":"deref","value":{{{{"op":"loc","id":"' || {_f('c_custkey')} || ':param:0"}}}}}}}}' ELSE '{{{{"op":"loc","id":"' || {_f('c_custkey')} || ':return"}}}}' END AS lhs,
+  CASE c_custkey % 10 WHEN 0 THEN '{{{{"op":"function","id":"' || CASE WHEN c_custkey % 40 = 30 AND c_custkey + 40 < n AND floor(c_custkey / 400) = floor((c_custkey + 40) / 400) THEN {_f('c_custkey + 40')} ELSE {_f('c_custkey')} END || '"}}}}' WHEN 5 THEN '{{{{"op":"union","items":[{{{{"op":"function","id":"' || {_f('c_custkey')} || '"}}}},{{{{"op":"addr","value":{{{{"op":"loc","id":"obj:P' || c_custkey || '"}}}}}}}}]}}}}'
+  WHEN 2 THEN '{{{{"op":"loc","id":"' || {_f('c_custkey')} || ':param:0"}}}}' WHEN 3 THEN '{{{{"op":"addr","value":{{{{"op":"loc","id":"obj:P' || c_custkey || '"}}}}}}}}' ELSE '{{{{"op":"loc","id":"' || {_f('c_custkey')} || ':param:0"}}}}' END AS rhs FROM {{customer}} CROSS JOIN (SELECT count(*) AS n FROM {{customer}}) c""",
+    "semantic_calls": f"""SELECT o_orderkey AS site, {_f('o_custkey')} AS function_id, CASE WHEN shape = 0 THEN 'xTaskCreate' WHEN shape = 1 THEN 'my_register' WHEN shape = 2 THEN 'xTimerCreate' WHEN shape < 12 THEN 'memcpy' WHEN shape < 16 THEN 'HAL_UART_Receive_DMA' WHEN shape < 100 THEN 'call' ELSE 'f' END AS name, CASE WHEN shape >= 100 THEN {_f('callee')} END AS target,
+  CASE WHEN shape BETWEEN 16 AND 99 THEN '{{{{"op":"field","base":{{{{"op":"loc","id":"' || slot || '"}}}},"field":"cb"}}}}' END AS expression,
+  CASE WHEN shape = 0 THEN array(fn) WHEN shape = 1 THEN array(obj, '{{{{"op":"loc","id":"' || slot || '"}}}}') WHEN shape = 2 THEN array(obj, obj, obj, obj, fn) WHEN shape < 12 THEN array(obj, '{{{{"op":"addr","value":{{{{"op":"field","base":{{{{"op":"loc","id":"obj:P' || o_custkey || '"}}}},"field":"x"}}}}}}}}') WHEN shape < 16 THEN array(fn, obj) ELSE array(obj) END AS arguments,
+  CASE WHEN shape >= 16 THEN '{{{{"op":"loc","id":"' || {_f('o_custkey')} || ':got"}}}}' END AS result, 'a' || CAST(o_custkey % 9 AS STRING) || '.c' AS file, CAST(o_orderkey % 300 AS BIGINT) AS line, o_orderkey AS pos
+  FROM (SELECT o_orderkey, o_custkey, o_orderkey % 600 AS shape, o_custkey - o_custkey % 40 + o_orderkey % CASE WHEN o_custkey - o_custkey % 40 + 40 > n THEN n % 40 ELSE 40 END AS callee, 'obj:S' || CAST(floor(o_custkey / 40) AS BIGINT) AS slot,
+  '{{{{"op":"function","id":"' || {_f('(o_custkey * 7 + 3) % n')} || '"}}}}' AS fn, '{{{{"op":"addr","value":{{{{"op":"loc","id":"obj:P' || o_orderkey % 1000 || '"}}}}}}}}' AS obj FROM {{orders}} CROSS JOIN (SELECT count(*) AS n FROM {{customer}}) c) o""",
+    "indirect_accesses": f"""SELECT c_custkey AS item, {_f('c_custkey')} AS function_id, '{{{{"op":"deref","value":{{{{"op":"loc","id":"' || {_f('c_custkey')} || CASE WHEN c_custkey % 4 = 0 THEN ':got"}}}}}}}}' ELSE ':param:0"}}}}}}}}' END AS location, CASE c_custkey % 3 WHEN 0 THEN 'READ' WHEN 1 THEN 'WRITE' ELSE 'RMW' END AS mode,
+  'a' || CAST(c_custkey % 9 AS STRING) || '.c' AS file, CAST(c_custkey % 300 AS BIGINT) AS line, c_custkey AS pos FROM {{customer}}""",
     "investigated": "SELECT DISTINCT 'G' || CAST(l_partkey AS STRING) AS finding_id, 'access:' || CAST(l_suppkey AS STRING) AS id FROM {lineitem} WHERE l_linenumber <> 4",
 }
