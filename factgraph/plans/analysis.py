@@ -54,10 +54,15 @@ def unknown(kind: str, df: DataFrame, **columns: Column | str) -> DataFrame:
 
 
 class Run:
-    """The tables of one run, each made once, from what stands before it."""
+    """The tables of one run, each made once, from what stands before it.
+
+    Facts may bring contexts (context_id, kind, reentrant, discovery) and roots
+    (context_id, function_id) of earlier runs, which join those of this one.
+    """
 
     def __init__(self, spark, facts: dict[str, DataFrame], config: Config | None = None):
         self.spark, self.config = spark, config or Config()
+        self.earlier = {t: facts.get(t) for t in ("contexts", "roots")}
         self.given = {name: (facts[name] if name in facts else spark.createDataFrame([], schema)) for name, schema in TABLES.items()}
         self.variables = facts["variables"]
 
@@ -195,9 +200,12 @@ class Run:
             auto = checkpointed(contexts.auto_contexts(functions, roots.select("function_id").union(disabled)))
             known = contexts.merged_contexts(hardware, declared, auto, self.spark.createDataFrame([], "context_id string, kind string, may_repeat boolean, given_id string"))
             made = checkpointed(contexts.registered(self.registrations, functions, roots, disabled, known))
-        merged = checkpointed(contexts.merged_contexts(hardware, declared, auto, made))
+        merged = contexts.merged_contexts(hardware, declared, auto, made)
         entries = hardware.select("context_id", "function_id").union(roots.select("context_id", "function_id")).union(auto.select("context_id", "function_id")).union(made.where("context_id is not null").select("context_id", "function_id"))
-        return merged, checkpointed(entries.distinct()), made
+        if self.earlier["contexts"] is not None:
+            merged = merged.unionByName(self.earlier["contexts"].select("context_id", "kind", "reentrant", "discovery").join(merged.select("context_id"), "context_id", "left_anti"))
+            entries = entries.union(self.earlier["roots"].select("context_id", "function_id"))
+        return checkpointed(merged), checkpointed(entries.distinct()), made
 
     @property
     def contexts(self) -> DataFrame:
@@ -235,7 +243,10 @@ class Run:
         if self.config.auto_contexts:
             made.append(unknown("TASK_ENTRY_WITHOUT_DEFINITION", self.registrations.join(self.functions, "function_id", "left_anti"), target_function_id="function_id", file="file", line="line"))
             made.append(unknown("REGISTERED_CONTEXT_KIND_CONFLICT", self._contexts[2].where("context_id is null")))
+        # A site that is open already is not open twice.
+        told = self.given["unknowns"].where("kind = 'EXTERNAL_CALLEE'").select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("function_id", "file")), F.coalesce("line", F.lit(-1)).alias("line")).distinct()
         external = graph.external_callees(self.calls, self.functions)
+        external = external.withColumns({"f": F.coalesce("file", F.lit("")), "l": F.coalesce("line", F.lit(-1))}).join(told.withColumnsRenamed({"file": "f", "line": "l"}), ["function_id", "f", "l"], "left_anti")
         made.append(unknown("EXTERNAL_CALLEE", external, function_id="function_id", file="file", line="line"))
         rows = self.given["unknowns"].select(UNKNOWN)
         for m in made:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factgraph.operators import access, command_line, contexts, graph, multicore, points_to, review, rules, scope, sets, text
-from factgraph.plans import analysis
+from factgraph.operators import access, command_line, config_check, contexts, graph, multicore, points_to, review, rules, scope, sets, text
+from factgraph.plans import analysis, combine
+from factgraph.sources import runs
 from factgraph.sources.facts import fact, with_facts
 
 SCOPE = scope.Scope(["brand1", "brand2", "brand12", "sup", "brand3/p1.c"], ["brand2/inc", "brand12/p"], ["brand1/p7.c"], ["brand1/p2?.c", "brand12/p3.c"])
@@ -144,6 +145,8 @@ DERIVED = {
     "unit_rows": lambda f: f.units.select("tu", "file", F.array("header").alias("includes"), "parse_status"),
     "solved": lambda f: points_to.solve(pointer_program(f)),
     "run": lambda f: analysis_run(f),
+    "combined": lambda f: two_cores(f),
+    "review_runs": lambda f: f.review_events.withColumn("run_id", F.concat(F.lit("r"), F.col("seq") % 3)),
     "response_files": lambda f: f.nation.select(F.concat(F.lit("/w/build/r"), "n_nationkey", F.lit(".rsp")).alias("path"), F.concat(F.lit("-DR="), "n_nationkey", F.lit(" @nested.rsp\n-DLAST")).alias("content")).union(
         f.spark.createDataFrame([("/w/build/nested.rsp", "'two words'"), ("/w/build/loop.rsp", "-DX @../build/loop.rsp")], "path string, content string")),
 }
@@ -292,6 +295,22 @@ query("run_accesses", lambda f: f.run.accesses)
 query("run_unknowns", lambda f: f.run.unknowns.groupBy("kind").agg(F.count("*").alias("n_rows"), F.count_distinct("function_id").alias("n_functions")))
 query("run_coverage", lambda f: f.run.coverage())
 
+def two_cores(f):
+    """The facts as two cores' scans: each has the accesses of its own half of the places; their images share some objects."""
+    tables = {t: getattr(f, t) for t in ("variables", "functions", "calls", "unknowns", "protection_events", "snapshots", "roots")}
+    tables["contexts"] = f.contexts.withColumn("discovery", F.lit("configured"))
+    tables["accesses"] = f.accesses.select([c.split()[0] for c in analysis.TABLES["accesses"].split(", ")])
+    objects = multicore.elf_objects(f.elf)
+    variants = {v: combine.Variant(core, tables | {"accesses": tables["accesses"].where(F.col("pos") % 2 == k)}, objects.where(F.col("path") == f"core{k}")) for k, (v, core) in enumerate((("a", "m7"), ("b", "m4")))}
+    return combine.Combined(f.spark, variants, REGIONS)
+
+
+query("combined_findings", lambda f: joined(f.combined.findings().select("finding_id", "symbol_id", "variable_name", "rules", "risk_level"), "rules"))
+query("combined_instances", lambda f: f.combined.instances(),
+      f""", o AS (SELECT path, name, address, size, binding, coalesce(f, '') AS file FROM (SELECT *, last_value(CASE WHEN type = 4 THEN name END IGNORE NULLS) OVER (PARTITION BY path ORDER BY ord) AS f FROM elf) WHERE type = 1 AND defined AND size > 0),
+  v AS (SELECT variant, core, path, symbol_id, name, coalesce(regexp_extract(definition_file, '([^/]*)$', 1), '') AS base FROM variables, (VALUES ('a', 'm7', 'core0'), ('b', 'm4', 'core1')) x(variant, core, path)), m AS (SELECT variant, symbol_id, min(address) AS address, min(size) AS size FROM v JOIN o USING (path, name) WHERE binding <> 0 OR regexp_extract(file, '([^/]*)$', 1) = base GROUP BY variant, symbol_id HAVING count(*) = 1)
+  SELECT CASE WHEN {' OR '.join(f'address >= {s} AND address + size <= {s + n}' for s, n in REGIONS)} THEN 'shared:0x' || lower(to_hex(address)) || ':' || size ELSE v.variant || '::' || v.symbol_id END AS combined_id, v.variant, v.core, v.symbol_id FROM v LEFT JOIN m ON m.variant = v.variant AND m.symbol_id = v.symbol_id""", "elf", "variables")
+
 # Syntax, calls and library arguments
 _WAY = """, s AS (SELECT ref, min(distance) FILTER (NOT ({passed})) AS place FROM ancestors GROUP BY ref), w AS (SELECT a.ref, coalesce(string_agg(CASE kind WHEN 'MEMBER' THEN name ELSE '[]' END, '.' ORDER BY distance DESC) FILTER (kind <> 'WRAPPER'), '') AS path,
   coalesce(max(distance) FILTER (decays), -1) > coalesce(max(distance) FILTER (kind = 'SUBSCRIPT'), -1) AS decayed FROM ancestors a JOIN s USING (ref) WHERE place IS NULL OR distance < place GROUP BY a.ref), e AS (SELECT s.ref, a.* EXCLUDE (ref), coalesce(w.path, '') AS path, coalesce(decayed, false) AS decayed FROM s LEFT JOIN ancestors a ON a.ref = s.ref AND a.distance = s.place LEFT JOIN w ON w.ref = s.ref)"""
@@ -344,6 +363,13 @@ query("compile_arguments", lambda f: command_line.normalised(f.compile_entries.w
       """, x AS (SELECT *, tu % 5 AS s FROM compile_entries) SELECT tu, '/w/src/f' || tu || '.c' AS source, CASE WHEN tu % 11 IN (7, 8, 9) THEN NULL ELSE CASE WHEN s = 0 THEN '-DN=a b' WHEN s = 1 THEN '-DQ="q"|x\\y' ELSE '-I' || tu END || '|-DR=' || tu % 7 || '|two words|-DLAST|-DEND' || CASE WHEN s = 2 THEN '|--target=arm-none-eabi' ELSE '' END || '|-Wall' END AS arguments,
   CASE WHEN tu % 11 IN (7, 8, 9) THEN NULL ELSE '-c|-o|x.o|-MFdep|-g|../src/f' || tu || '.c' END AS removed_arguments, CASE WHEN tu % 11 = 7 THEN '' WHEN tu % 11 = 8 THEN '/w/build/loop.rsp' WHEN tu % 11 = 9 THEN '/w/build/none.rsp' ELSE '/w/build/nested.rsp|/w/build/r' || tu % 7 || '.rsp' END AS response_files,
   CASE WHEN s = 2 AND tu % 11 NOT IN (7, 8, 9) THEN 'arm-none-eabi' END AS target, CASE tu % 11 WHEN 7 THEN 'QUOTE' WHEN 8 THEN 'CYCLE' WHEN 9 THEN 'MISSING' END AS problem FROM x""", "compile_entries")
+query("config_violations", lambda f: config_check.config_violations(f.configs), """SELECT c_custkey AS config_id, path, problem FROM customer JOIN (VALUES (1, '$.contexts[1]', 'ID_TWICE'), (1, '$.preemption[0]', 'UNKNOWN_CONTEXT'), (1, '$.entry_registrations[0]', 'CONTEXT_KIND_CONFLICT'), (2, '$.contexts[1]', 'UNKNOWN_KIND'), (3, '$.preemption[0]', 'UNKNOWN_CONTEXT'),
+  (4, '$.entry_registrations[0]', 'CALLBACK_ARG'), (5, '$.entry_registrations[0]', 'CONTEXT_KIND_CONFLICT'), (6, '$.review.workers', 'NOT_1_TO_8'), (7, '$.project.native_word_bits', 'NOT_A_MULTIPLE_OF_8'), (8, '$.analysis.include_dirs', 'NOT_A_PATH'), (9, '$', 'NOT_A_VERSION_1_MAPPING')) v(k, path, problem) ON c_custkey % 10 = k""")
+query("review_history", lambda f: runs.review_history(f.review_runs).select("run_id", "finding_id", "pass", "seq", "place", "last_of_pass"),
+      'SELECT run_id, finding_id, "pass", seq, row_number() OVER (PARTITION BY finding_id ORDER BY run_id, "pass", seq)::INTEGER AS place, row_number() OVER (PARTITION BY finding_id, "pass" ORDER BY run_id DESC, seq DESC) = 1 AS last_of_pass FROM (SELECT *, \'r\' || seq % 3 AS run_id FROM review_events)', "review_events")
+query("review_states", lambda f: runs.review_states(f.findings, f.review_runs, True),
+      """, e AS (SELECT *, 'r' || seq % 3 AS run_id, row_number() OVER (PARTITION BY finding_id ORDER BY "pass" DESC, 'r' || seq % 3 DESC, seq DESC) = 1 AS newest FROM review_events), l AS (SELECT finding_id, state, status, "pass" = 0 AND state IN ('DONE', 'FAILED') AS waits FROM e WHERE newest), n AS (SELECT finding_id, count(*) FILTER ("pass" = 0) AS n_first, count(*) FILTER ("pass" = 1) AS n_second FROM e GROUP BY finding_id)
+  SELECT f.finding_id, CASE WHEN l.finding_id IS NULL THEN 'PENDING' WHEN waits THEN 'AUDIT_PENDING' ELSE l.state END AS state, CASE WHEN l.finding_id IS NULL OR waits THEN 'NEED_MORE_CONTEXT' ELSE l.status END AS status, coalesce(n_first, 0) AS n_first, coalesce(n_second, 0) AS n_second FROM (SELECT DISTINCT finding_id FROM findings) f LEFT JOIN l USING (finding_id) LEFT JOIN n USING (finding_id)""", "review_events", "findings")
 query("row_digest", lambda f: f.resources.select("resource", sets.row_digest(["resource", "owner_context"], 16).alias("digest")), "SELECT resource, substr(sha256('owner_context=''' || owner_context || ''',resource=''' || resource || ''''), 1, 16) AS digest FROM resources", "resources")
 query("dedup_rows", lambda f: f.syntax.dropDuplicates().groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM (SELECT DISTINCT * FROM syntax) GROUP BY kind", "syntax")
 query("union_parts", lambda f: sets.union_parts([f.resources, f.protection, f.contexts]).groupBy("owner_context", "kind").agg(F.count("*").alias("n")), "SELECT owner_context, NULL::VARCHAR AS kind, count(*) AS n FROM resources GROUP BY owner_context UNION ALL SELECT NULL, NULL, count(*) FROM protection UNION ALL SELECT NULL, kind, 1 FROM contexts", "resources", "protection", "contexts")

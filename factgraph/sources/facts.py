@@ -118,6 +118,9 @@ SQL |= {
     # Compile commands with quotes, escapes, nested response files, and three kinds that cannot be used.
     "compile_entries": """SELECT o_orderkey AS tu, '../src/f' || CAST(o_orderkey AS STRING) || '.c' AS file, '/w/build' AS directory, CASE WHEN o_orderkey % 3 = 0 THEN 'ccache ' ELSE '' END || CASE WHEN o_orderkey % 5 = 2 THEN '/opt/arm-none-eabi-gcc' ELSE 'gcc' END || ' -c -o x.o -MFdep ' || CASE o_orderkey % 5 WHEN 0 THEN '"-DN=a b"' WHEN 1 THEN chr(39) || '-DQ="q"' || chr(39) || ' x' || chr(92) || chr(92) || 'y' ELSE '-I' || CAST(o_orderkey AS STRING) END
   || ' -g ' || CASE o_orderkey % 11 WHEN 7 THEN '"open' WHEN 8 THEN '@loop.rsp' WHEN 9 THEN '@./none.rsp' ELSE '@r' || CAST(o_orderkey % 7 AS STRING) || '.rsp' END || ' -DEND ../src/f' || CAST(o_orderkey AS STRING) || '.c' AS command FROM {orders}""",
+    "configs": """SELECT c_custkey AS config_id, '{{"version":' || CASE c_custkey % 10 WHEN 9 THEN '2' ELSE '1' END || ',"contexts":[{{"id":"a","kind":"ISR"}},{{"id":"' || CASE c_custkey % 10 WHEN 1 THEN 'a' ELSE 'b' END || '","kind":"' || CASE c_custkey % 10 WHEN 2 THEN 'X' ELSE 'TASK' END || '"}}],"preemption":[{{"higher":"a","lower":"' || CASE c_custkey % 10 WHEN 3 THEN 'z' ELSE 'b' END
+  || '"}}],"entry_registrations":[{{"api":"r*","callback_arg":' || CASE c_custkey % 10 WHEN 4 THEN '-1' ELSE '0' END || ',"kind":"ISR","context_id":"' || CASE c_custkey % 10 WHEN 5 THEN 'b' ELSE 'a' END || '"}}],"review":{{"workers":' || CASE c_custkey % 10 WHEN 6 THEN '9' ELSE '2' END || '}},"project":{{"native_word_bits":' || CASE c_custkey % 10 WHEN 7 THEN '12' ELSE '32' END
+  || '}},"analysis":{{"include_dirs":["' || CASE c_custkey % 10 WHEN 8 THEN 'src*' ELSE c_name END || '"]}}}}' AS config FROM {customer}""",
     # Pointer facts: blocks of 40 functions share a slot of callbacks, which may hold a function of the next block too; ten blocks follow one another so.
     "constraints": f"""SELECT c_custkey AS id, CASE c_custkey % 10 WHEN 0 THEN '{{{{"op":"field","base":{{{{"op":"loc","id":"obj:S' || CAST(floor(c_custkey / 40) AS BIGINT) || '"}}}},"field":"cb"}}}}' WHEN 5 THEN '{{{{"op":"loc","id":"obj:S' || CAST(floor(c_custkey / 40) AS BIGINT) || '"}}}}'
   WHEN 2 THEN '{{{{"op":"loc","id":"' || {_f('c_custkey')} || ':local"}}}}' WHEN 3 THEN '{{{{"op":"deref","value":{{{{"op":"loc","id":"' || {_f('c_custkey')} || ':param:0"}}}}}}}}' ELSE '{{{{"op":"loc","id":"' || {_f('c_custkey')} || ':return"}}}}' END AS lhs,

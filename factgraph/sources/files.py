@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import sqlite3
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factgraph.operators.multicore import elf_symbols
+
 
 def read_facts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Facts from JSON lines; a row that does not parse raises."""
@@ -25,8 +29,54 @@ def read_compile_database(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; Spark's committer publishes them only when all tasks are done."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """JSON lines beside the path first; only when all are written they take the place of what was there."""
+    spark = df.sparkSession
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new", f"{path.rstrip('/')}.{uuid.uuid4().hex}.old"
+    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.option("ignoreNullFields", "false").json(new)
+        there = fs.exists(of(path))
+        if there and not fs.rename(of(path), of(old)) or not fs.rename(of(new), of(path)):
+            raise OSError(f"{path} cannot be replaced")
+        if there:
+            fs.delete(of(old), True)
+    except Exception:
+        fs.delete(of(new), True)
+        if not fs.exists(of(path)) and fs.exists(of(old)):
+            fs.rename(of(old), of(path))
+        raise
+
+
+#: A compile database's name, and folders that hold no project of their own.
+DATABASE, PRUNED = "compile_commands.json", ("node_modules", "__pycache__")
+
+
+def list_files(spark: SparkSession, root: str, names: list[str], pruned: tuple[str, ...] = PRUNED) -> DataFrame:
+    """path, file (below root), size of the files whose name fits one of the globs. Folders with a pruned name or a leading point are left out; no file's content is read."""
+    glob = "{" + ",".join(names) + "}"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    below = F.substring(plain, F.lit(len(top.replace("file:", "", 1)) + 2), F.length("path"))
+    folders = F.slice(F.split("file", "/"), F.lit(1), F.size(F.split("file", "/")) - 1)
+    rows = found.withColumn("file", below)
+    return rows.where(~F.exists(folders, lambda f: f.isin(list(pruned)) | F.startswith(f, F.lit(".")))).select("path", "file", "size")
+
+
+def discover_database(spark: SparkSession, root: str) -> str:
+    """Path of the project's compile database: the only one below root; none or several raise, and several are named."""
+    found = sorted(r.path for r in list_files(spark, root, [DATABASE]).limit(100).collect())
+    if len(found) != 1:
+        raise ValueError(f"{root}: no {DATABASE}" if not found else f"{root}: several compile databases, name one: {', '.join(found)}")
+    return found[0]
+
+
+def scan_images(spark: SparkSession, root: str, names: list[str] | None = None) -> DataFrame:
+    """path, ord, name, address, size, binding, type, defined: symbols of all ELF images below root."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(names or ["*.elf", "*.axf", "*.out"]) + "}").option("recursiveFileLookup", "true").load(root)
+    return elf_symbols(files.select("path", "content"))
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -38,7 +88,17 @@ def flat(df: DataFrame) -> DataFrame:
 def write_sqlite(tables: dict[str, DataFrame], path: str, at_once: int = 10_000) -> None:
     """One table for each DataFrame in a new database that replaces path when complete; rows stream through the driver, `at_once` held."""
     temp = f"{path}.{os.getpid()}.tmp"
-    con = sqlite3.connect(temp)
+    try:
+        with contextlib.closing(sqlite3.connect(temp)) as con:
+            _fill(con, tables, at_once)
+        os.replace(temp, path)
+    except Exception:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(temp)
+        raise
+
+
+def _fill(con: sqlite3.Connection, tables: dict[str, DataFrame], at_once: int) -> None:
     for name, df in tables.items():
         df = flat(df)
         con.execute(f'CREATE TABLE "{name}" ({", ".join(f"""\"{c}\"""" for c in df.columns) or "empty"})')
@@ -55,5 +115,3 @@ def write_sqlite(tables: dict[str, DataFrame], path: str, at_once: int = 10_000)
             if name == "accesses" and c in df.columns:
                 con.execute(f'CREATE INDEX "access_{c}" ON accesses({c})')
     con.commit()
-    con.close()
-    os.replace(temp, path)
