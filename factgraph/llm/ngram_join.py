@@ -334,7 +334,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     state = None
     while True:
-        edges = stored(star(star(edges, True), False))
+        # Each star is written: one within the other would plan the inner one once for every place it is read.
+        edges = stored(star(stored(star(edges, True)), False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("comp"))
