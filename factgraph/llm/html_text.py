@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from .common import lean
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SKIP = {"script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "title", "object", "dialog", "menu"}
+SKIP = {"script", "style", "noscript", "template", "nav", "footer", "aside", "button", "select", "textarea", "iframe", "svg", "title", "object", "dialog", "menu"}
 BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "table", "tr", "td", "th", "tbody", "thead", "div", "section", "article", "main", "body", "html", "header", "figure", "figcaption", "address", "hr"}
 DIRECT = {"div", "section", "article", "main", "body"}
 TEXTUAL = {"p", "pre", "blockquote", "td", "li", "dd"}
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "li", "dt", "dd", "body", "html"} | {"ul", "ol"}
 UNLIKELY = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|comments?|disqus|replies|sidebar|nav\w*|menu|footer|header|breadcrumbs?|share|social|related|newsletter|subscribe|widget|masthead)(?:$|[_-])", re.I)
+#: Names of what is never the page's content as long as there is any other.
+FOREIGN = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|popup|comments?|disqus|replies|breadcrumbs?|related|newsletter|subscribe)(?:$|[_-])", re.I)
+#: A sibling with a larger share of its text in links is a list of links.
+LINKS = 0.5
 #: Text elements keep what they hold, whatever their name.
 NAMED = BLOCK - {"html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "tr", "td", "th", "tbody", "thead", "figcaption", "hr"} | {"span"}
 #: Names that say what else the page has, not what the element is.
@@ -27,11 +31,11 @@ WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "score", "passed", "bad", "named", "text_n", "link_n", "commas", "direct_n", "direct_commas")
+    __slots__ = ("tag", "parent", "items", "score", "passed", "bad", "named", "foreign", "text_n", "link_n", "commas", "direct_n", "direct_commas")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool = False):
         self.tag, self.parent, self.bad = tag, parent, bad
-        self.named = False  # marked only for its class, id or role
+        self.named = self.foreign = False  # marked only for its class, id or role, or as a form
         self.items: list[Node | str] = []
         self.score = self.passed = 0.0
         self.text_n = self.link_n = self.commas = self.direct_n = self.direct_commas = 0
@@ -57,9 +61,12 @@ class Tree(HTMLParser):
             self.end(tag)
         inside = bool(self.open.get("article") or self.open.get("main"))
         node = Node(tag, self.at, tag in SKIP or tag == "header" and not inside)
-        if not node.bad and tag in NAMED:
+        if tag == "form":
+            node.named = True
+        elif not node.bad and tag in NAMED:
             said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).split()
-            node.named = any(UNLIKELY.search(v) and not ABOUT_PAGE.search(v) and not (inside and HEADER.search(v)) for v in said)
+            said = [v for v in said if UNLIKELY.search(v) and not ABOUT_PAGE.search(v) and not (inside and HEADER.search(v))]
+            node.named, node.foreign = bool(said), any(FOREIGN.search(v) for v in said)
         self.at.items.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -133,19 +140,28 @@ def measure(tree: Tree, left_out: set) -> None:
 def mark(tree: Tree) -> None:
     """Marks the elements that their name says are no content, and all below marked ones.
 
-    A named element stays if the page's only article or main is in it or, on a
-    page without these, most of the points of the page's paragraphs.
+    Comments, adverts and the like go wherever there is any other text. Another
+    named element, or a form, stays if the page's only article or main is in it
+    or, on a page without these, most of the points of the page's paragraphs.
     """
+    foreign, rest = set(), False
+    for node in tree.nodes:
+        if node.foreign or node.parent in foreign:
+            foreign.add(node)
     below, named = set(), set()  # of marked ones; of named ones
     for node in tree.nodes:
         if node.parent in below or node.bad:
             below.add(node)
         if node.named or node.parent in named:
             named.add(node)
-    measure(tree, below)
+    measure(tree, below | foreign)
+    rest = tree.root.text_n > 0
+    gone = below | foreign if rest else below
+    if not rest:
+        measure(tree, below)
     points, holds = dict.fromkeys(tree.nodes, 0.0), set()
     for node in reversed(tree.nodes):
-        if node in below:
+        if node in gone:
             continue
         if node.tag in TEXTUAL:
             points[node] += node.points()
@@ -157,7 +173,9 @@ def mark(tree: Tree) -> None:
                 holds.add(node.parent)
     outside = any(n.tag in ("article", "main") and n not in named for n in holds)
     for node in tree.nodes:
-        if node.named and not outside:
+        if node.foreign and rest:
+            node.named = True
+        elif node.named and not outside:
             node.named = node not in holds and (bool(holds) or points[node] * 2 <= points[tree.root])
         node.bad |= node.named or node.parent is not None and node.parent.bad
 
@@ -165,10 +183,13 @@ def mark(tree: Tree) -> None:
 def extract(html: str | None) -> str:
     """Article text: each paragraph passes points for its length and commas to
     its parent, half to the grandparent, a third of that to each further one; a
-    link density discounts them. The best container is kept with siblings that
-    score a fifth of it or are text or paragraphs of few links; beside an
-    article only other articles of such a score. <br> is white space inside its
-    block. Time is linear in the page, whatever the depth of its elements."""
+    link density discounts them, and an article or main scores a quarter more.
+    If the best container lies in main, main is kept, else if in an article,
+    this and its sibling articles; else the container and, on each level above
+    it, all siblings but those with more than half of their text in links.
+    Marked elements (see mark) are left out everywhere, nothing else is: no text
+    is too short to stay. <br> is white space inside its block. Time is linear
+    in the page, whatever the depth of its elements."""
     tree = Tree()
     tree.feed(html or "")
     HTMLParser.close(tree)
@@ -192,24 +213,31 @@ def extract(html: str | None) -> str:
     able = [n for n in tree.nodes if not n.bad and n.score > 0 and n.tag not in ("root", "a", "b", "i", "em", "strong", "span")]
     if not able:
         return "\n\n".join(blocks(tree.root))
-    best = max(able, key=lambda n: n.score * (1 - density(n)))
-    around = best
-    while around is not None and around.tag not in ("article", "main"):
-        around = around.parent
-    best = around or best
-    if best.parent is None or best.tag in ("main", "body", "html"):
-        return "\n\n".join(blocks(best))
-    least, kept = max(best.score * (1 - density(best)) / 5, 1e-9), Node(best.parent.tag, None)
-    for x in best.parent.items:
-        if x is best or not isinstance(x, str) and not x.bad and x.tag == best.tag and x.score * (1 - density(x)) >= least:
-            kept.items.append(x)
-        elif best.tag != "article" and (isinstance(x, str) or not x.bad and (x.tag not in BLOCK and density(x) < 0.25 or x.tag == "hr" or x.score * (1 - density(x)) >= least or x.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "table") and density(x) < 0.25)):
-            kept.items.append(x)
-    return "\n\n".join(blocks(kept))
+    best = max(able, key=lambda n: n.score * (1 - density(n)) * (1.25 if n.tag in ("article", "main") else 1))
+    article, up = None, best
+    while up is not None and up.tag != "main":
+        article = article or (up if up.tag == "article" else None)
+        up = up.parent
+    if up is not None:
+        return "\n\n".join(blocks(up))
+    if article is not None:
+        kept = Node("div", None)
+        kept.items = [x for x in article.parent.items if x is article or not isinstance(x, str) and not x.bad and x.tag == "article"]
+        return "\n\n".join(blocks(kept))
+    chain = {best}
+    while best.parent is not None:
+        best = best.parent
+        chain.add(best)
+    for node in chain:
+        # What is not on the way to the best container leaves if it is a list of links.
+        for x in node.items if any(c in chain for c in node.items if not isinstance(c, str)) else ():
+            if not isinstance(x, str) and x not in chain and x.tag in BLOCK and density(x) > LINKS:
+                x.bad = True
+    return "\n\n".join(blocks(tree.root))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row; null or empty html gives an empty text. Repeated rows stay, other columns are left out."""
+    """page_id, url, text, n_chars of every row; null or empty html gives an empty text, an empty table none. Repeated rows stay, other columns are left out."""
     def run(batches):
         for pdf in batches:
             texts = [extract(h) for h in pdf.html]
