@@ -6,7 +6,7 @@ import struct
 
 import pytest
 
-from factgraph.operators import access, contexts, graph, multicore, points_to, review, rules, scope, sets, text
+from factgraph.operators import contexts, graph, multicore, points_to, review, rules, scope, sets, text
 from factgraph.sources import files
 
 V = "symbol_id string, name string, qualified_name string, kind string, linkage string, size_bytes long, alignment_bytes long, is_const boolean, is_struct boolean, is_bitfield_container boolean, definition_file string, coverage_source string, parse_status string"
@@ -230,13 +230,6 @@ def test_rule_order(spark):
     assert got == [["GS-RMW-INTERLEAVE", "GS-MULTI-CONTEXT", "X", "A", "X", None], [], None]
 
 
-def test_access_modes(spark):
-    rows = [("r1", 1, "MEMBER", ".", 0, False, False), ("r1", 2, "BINARY", "=", 0, False, False), ("r2", 1, "BINARY", "=", 0, True, False), ("r3", 1, "BINARY", "=", 1, False, False), ("r4", 1, "UNARY", "++", 0, False, False), ("r5", 1, "SIZEOF", "", 0, False, False),
-            ("r6", 1, "CALL", "", 1, False, True), ("r7", 1, "UNARY", "&", 0, False, False), ("r7", 2, "BINARY", "=", 0, False, False), ("r8", 1, "BINARY", "|=", 0, False, False)]
-    got = {r.ref: r.mode for r in access.access_mode(spark.createDataFrame(rows, "ref string, distance int, kind string, op string, child int, same_symbol boolean, is_array boolean")).collect()}
-    assert got == {"r1": "WRITE", "r2": "RMW", "r3": "READ", "r4": "RMW", "r5": None, "r6": "ADDRESS_TAKEN", "r7": "ADDRESS_TAKEN", "r8": "RMW"}
-
-
 def test_decisions(spark):
     findings = [("f1", "likely", ["GS-MULTI-WRITER"]), ("f2", "open", ["GS-UNKNOWN-CONTEXT"]), ("f3", "bad", ["GS-UNKNOWN-CONTEXT"]), ("f4", "safe", ["GS-MULTI-WRITER"]), ("f5", "stale", ["GS-MULTI-WRITER"]), ("f6", "failed", ["GS-DEFINITION-MISSING"]), ("f7", "bad", ["GS-TEAR-RISK"])]
     reviews = [("f3", "DONE", "CONFIRMED"), ("f4", "DONE", "FALSE_POSITIVE"), ("f5", "STALE", "NEED_MORE_CONTEXT"), ("f6", "FAILED", "CONFIRMED"), ("f7", "DONE", "REVIEWED_SAFE")]
@@ -305,7 +298,9 @@ def test_elf_and_cores(spark):
     v = spark.createDataFrame([(p, s, s, "d/a.c") for p in ("m4", "m7") for s in ("shared", "own")], "variant string, symbol_id string, name string, definition_file string")
     ids = multicore.linked_objects(v, objects.withColumnRenamed("path", "variant"), [(0x2000, 8)])
     assert {(r.symbol_id, r.combined_id) for r in ids.where("variant = 'm4'").collect()} == {("shared", "shared:0x2000:8"), ("own", "m4::own")}
-    assert [(r.combined_id, r.n_cores) for r in multicore.cross_core(ids).collect()] == [("shared:0x2000:8", 2)]
+    cores = lambda *names: spark.createDataFrame(list(zip(("m4", "m7"), names)), "variant string, core string")
+    assert [(r.combined_id, r.n_cores) for r in multicore.cross_core(ids, cores("m4", "m7")).collect()] == [("shared:0x2000:8", 2)]
+    assert multicore.cross_core(ids, cores("m4", "m4")).count() == 0  # two variants of one core
     with pytest.raises(Exception, match="ELF32"):
         multicore.elf_symbols(spark.createDataFrame([("x", bytearray(b"no elf"))], images.schema)).collect()
 
