@@ -1,9 +1,12 @@
-"""License scans: the rarer words of templates in an inverted index, then banded alignment around each."""
+"""License scans: winnowed word grams of templates in an inverted index, then banded alignment at each candidate place."""
 
 from __future__ import annotations
 
+import bisect
 import re
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +15,10 @@ from .common import lean
 
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 BAND, COVERAGE, MAX_TEMPLATE_BYTES = 16, 0.8, 16 << 20
-#: Taken as fingerprints only where a template has too few other words.
-COMMON = set("a an and any are as at be by can for from if in is it may must not of on or other out shall so that the this to under use you your with without work which".split())
+#: Candidates that are aligned at once.
+BLOCK = 4096
+#: Longest grams of words that are fingerprints.
+GRAM = 3
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -48,35 +53,55 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def fingerprints(template: list[str], need: int) -> list[int]:
-    """Places of so many words, the rarer first, that one of them is matched wherever `need` words are."""
-    order = sorted(range(len(template)), key=lambda p: (template[p] in COMMON, -len(template[p]), p))
-    return order[: len(template) - need + 1]
+def run_length(n: int, need: int) -> int:
+    """Words that stay together somewhere if up to n - need edits, of any kind, hit a template of n words."""
+    return -(-need // (n - need + 1))
 
 
-def reach(template: list[str], text: list[str], band: int) -> tuple[int, int]:
-    """Most template words in order in the text, its diagonal left by at most the band; matched words, and the text's words until the last of them."""
-    best, end = 0, 0
-    prev = [0] * (len(text) + 1)
-    for i, word in enumerate(template, 1):
-        lo, hi = max(1, i - band), min(len(text), i + band)
-        now = prev[:]
-        for j in range(lo, hi + 1):
-            own = prev[j - 1] + 1 if text[j - 1] == word else 0
-            if own > best or own == best and 0 < j < end:
-                best, end = own, j
-            now[j] = max(own, prev[j], now[j - 1])
-        for j in range(hi + 1, min(len(text), hi + 1) + 1):
-            now[j] = max(now[j], now[hi])
-        prev = now
-    return best, end
+def fingerprints(template: list[str], need: int) -> tuple[int, list[int]]:
+    """Gram size and places of a template's winnowed fingerprints: of each window of grams the last one of the least hash.
+
+    A window is as long as the run of words that any reported number of edits
+    leaves whole, so every such run holds a fingerprint.
+    """
+    run = max(1, run_length(len(template), need))
+    k = min(GRAM, run)
+    w = run - k + 1
+    hashes = [zlib.crc32(" ".join(template[p : p + k]).encode()) for p in range(len(template) - k + 1)]
+    return k, sorted({min(range(p, p + w), key=lambda q: (hashes[q], -q)) for p in range(max(1, len(hashes) - w + 1)) if p + w <= len(hashes)})
 
 
-def align(template: list[str], p: int, text: list[str], i: int, band: int) -> tuple[int, int, int]:
-    """Alignment in which word p of the template is word i of the text: matched words, first and end place."""
-    left, back = reach(template[:p][::-1], text[max(0, i - p - band) : i][::-1], band)
-    right, on = reach(template[p + 1 :], text[i + 1 : i + len(template) - p + band], band)
-    return left + 1 + right, i - back, i + 1 + on
+def align(template: np.ndarray, text: np.ndarray, starts: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Most template words found in order in the text from each start on, off the diagonal by at most the band; their number, first and end place.
+
+    All starts go through the template's rows together. A cell holds the number
+    of matched words and, below it, the place of the first: more words win,
+    then a later first place, and at last the end that comes first.
+    """
+    n, width, one = len(template), 2 * band + 1, np.int64(1 << 32)
+    padded = np.concatenate([np.full(band + 1, -1, np.int64), text, np.full(n + 2 * band + 2, -1, np.int64)])
+    # Word j of the text stands at padded[j + band + 1]; in row i, offset o, the word is starts + i + o - band.
+    place = starts[:, None] + np.arange(width) - band
+    best = np.zeros((len(starts), width + 1), np.int64)
+    for i in range(n):
+        j = place + i
+        hit = padded[np.clip(j + band + 1, 0, len(padded) - 1)] == template[i]
+        found = np.where(best[:, :-1] == 0, one + j, best[:, :-1] + one)
+        best[:, :-1] = np.maximum.accumulate(np.maximum(np.where(hit, found, 0), best[:, 1:]), axis=1)
+        best[:, -1] = best[:, -2] * 0
+    top = best[:, :-1].max(axis=1)
+    end = place[np.arange(len(starts)), (best[:, :-1] == top[:, None]).argmax(axis=1)] + n
+    return top >> 32, top & (one - 1), end
+
+
+def tight(template: np.ndarray, text: np.ndarray, first: int, end: int, matched: int) -> int:
+    """The end of the last matched word: the shortest text from `first` on in which so many template words are found in order."""
+    row = np.zeros(len(template) + 1, np.int64)
+    for j in range(first, end):
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(template == text[j], row[:-1] + 1, 0)))
+        if row[-1] >= matched:
+            return j + 1
+    return end
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
@@ -84,42 +109,71 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage
 
     Templates are the operator's parameter; more than MAX_TEMPLATE_BYTES of them
     are refused, as their index goes to every task. Words are lower-cased
-    letters and digits. A place is reported if at least `coverage` of the
-    template's words align. Overlapping places of one template count once, the
-    best first. Null and empty texts give no rows; repeated rows repeat theirs.
+    letters and digits. Grams of a text that are fingerprints of a template name
+    candidate places; those within the band of each other are one, aligned once.
+    A place is reported if at least `coverage` of the template's words align;
+    none is missed that is at most so many words edited, inserted words counted.
+    Overlapping places of one template count once: the most words first, then
+    the shorter, then the earlier. Null and empty texts and empty tables give no
+    rows, a null doc_id is kept, repeated rows repeat theirs, other columns are
+    left out. A text of any length is scanned once, and its candidates are
+    aligned in blocks.
     """
     if sum(len(t) for _, t in templates) > MAX_TEMPLATE_BYTES:
         raise ValueError("templates are too large for an index in each task")
     known = [(name, words(t)) for name, t in templates if words(t)]
-    needs = [next(n for n in range(len(own) + 1) if n >= coverage * len(own)) for _, own in known]
-    sets = [set(own) for _, own in known]
-    index: dict[str, list[tuple[int, int]]] = {}
+    needs = [max(1, next(n for n in range(len(own) + 1) if n >= coverage * len(own))) for _, own in known]
+    index: dict[int, dict[str, list[tuple[int, int]]]] = {}
     for t, (_, own) in enumerate(known):
-        for p in fingerprints(own, max(needs[t], 1)):
-            index.setdefault(own[p], []).append((t, p))
+        k, places = fingerprints(own, needs[t])
+        for p in places:
+            index.setdefault(k, {}).setdefault(" ".join(own[p : p + k]), []).append((t, p))
+    ids = {w: i for i, w in enumerate(sorted({w for _, own in known for w in own}))}
+    coded = [np.array([ids[w] for w in own], np.int64) for _, own in known]
+    # How far edits may move a place off its candidate's diagonal.
+    drifts = [max(1, min(BAND, len(own) // 2), len(own) - need) for (_, own), need in zip(known, needs, strict=True)]
+
+    def places_of(t: int, starts: list[int], text: np.ndarray):
+        """Places where enough of template t aligns, from the candidates' starts."""
+        own, need = coded[t], needs[t]
+        # Of starts that lie close behind a first one, only that is aligned, in a band that is wider by as much.
+        close, keep, last = drifts[t] // 2, [], None
+        for x in np.unique(np.array(starts, np.int64)).tolist():
+            if last is None or x - last > close:
+                keep.append(x)
+                last = x
+        for at in range(0, len(keep), BLOCK):
+            found: dict[tuple[int, int], int] = {}
+            matched, first, end = align(own, text, np.array(keep[at : at + BLOCK], np.int64), drifts[t] + close)
+            for m, a, b in zip(matched.tolist(), first.tolist(), end.tolist(), strict=True):
+                if m >= need:
+                    found[m, a] = min(b, len(text), found.get((m, a), len(text)))
+            for (m, a), b in found.items():
+                yield m, a, tight(own, text, a, b, m)
 
     def run(batches):
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
                 tokens = words(text)
-                near: dict[int, list[tuple[int, int]]] = {}
-                for i, w in enumerate(tokens):
-                    for t, p in index.get(w, ()):
-                        near.setdefault(t, []).append((p, i))
-                for t, found in near.items():
+                near: dict[int, list[int]] = {}
+                for k, grams in index.items():
+                    for i, gram in enumerate(map(" ".join, zip(*(tokens[j:] for j in range(k)), strict=False)) if k > 1 else tokens):
+                        for t, p in grams.get(gram, ()):
+                            near.setdefault(t, []).append(i - p)
+                if not near:
+                    continue
+                line = np.array([ids.get(w, -2) for w in tokens], np.int64)
+                for t, starts in near.items():
                     name, own = known[t]
-                    places = []
-                    for p, i in found:
-                        if sum(map(sets[t].__contains__, tokens[max(0, i - p - BAND) : i + len(own) - p + BAND])) >= needs[t]:
-                            n, s, e = align(own, p, tokens, i, BAND)
-                            if n >= needs[t]:
-                                places.append((-n, e - s, s, e))
                     taken: list[tuple[int, int]] = []
-                    for n, _, s, e in sorted(set(places)):
-                        if all(e <= x or s >= y for x, y in taken):
-                            taken.append((s, e))
-                            rows.append((doc, name, s, e, -n, -n / len(own)))
-            yield pd.DataFrame(rows, columns=["doc_id", "license", "start", "end", "matched", "coverage"])
-
-    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lean(run), "doc_id long, license string, start long, end long, matched long, coverage double")
+                    for n, s, e in sorted(set(places_of(t, starts, line)), key=lambda x: (-x[0], x[2] - x[1], x[1])):
+                        at = bisect.bisect_left(taken, (s, e))  # of those taken only the neighbours can overlap
+                        if (at == 0 or taken[at - 1][1] <= s) and (at == len(taken) or e <= taken[at][0]):
+                            taken.insert(at, (s, e))
+                            rows.append((doc, name, s, e, n, n / len(own)))
+            out = pd.DataFrame(rows, columns=["doc_id", "license", "start", "end", "matched", "coverage"])
+            yield out.assign(doc_id=pd.array([None if d is None else int(d) for d in out.doc_id], "Int64"))
+
+    # doc_id goes through as text: a column of longs with a null would reach pandas as doubles.
+    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(lean(run), "doc_id long, license string, start long, end long, matched long, coverage double")
