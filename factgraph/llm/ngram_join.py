@@ -16,7 +16,7 @@ CELL_ROWS, BLOCK_ROWS, PAIRS_AT_ONCE = 50_000, 8192, 1 << 19
 #: Partners that a row tries first, as rows before it in its tile, beside the tile's smallest doc_id; of all these it takes the PARTNERS with which it shares most tiles.
 OFFERS, PARTNERS, CLASSES = (1, 2, 3, 5, 8, 13), 3, 6
 #: Partners of a row that a cell names for the second try, of which those ALIKE are taken whose signatures are most alike.
-NEAREST, ALIKE = 4, 8
+NEAREST, ALIKE = 6, 24
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
