@@ -72,6 +72,11 @@ def risk_summary(decisions: DataFrame) -> DataFrame:
     return every.join(decisions.groupBy("decision").agg(F.count("*").alias("n")), "decision", "left").select("decision", F.coalesce("n", F.lit(0)).alias("n_variables"))
 
 
+def independent_gaps(findings: DataFrame) -> DataFrame:
+    """independent_gaps: findings that belong to no variable."""
+    return findings.agg(F.count_if(F.col("symbol_id").isNull()).alias("independent_gaps"))
+
+
 def final_conclusion(records: DataFrame, complete: bool) -> DataFrame:
     """verdict, confirmed, unresolved, total, reviewed. Confirmed gaps stay open questions while no variable is confirmed."""
     c, of_variable = category(), F.col("symbol_id").isNotNull()

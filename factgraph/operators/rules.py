@@ -181,6 +181,12 @@ def configured_pairs(read_write: DataFrame, pairs: DataFrame) -> DataFrame:
     return one.join(F.broadcast(pairs.distinct()), "higher").join(other, ["symbol_id", "lower"]).select("symbol_id", "higher", "lower")
 
 
+def configured_sets(read_write: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """symbol_id, place: configured sets of contexts, by their place in the configuration, all of which a symbol has; the sets become one expression."""
+    held = F.array_compact(F.array(*(F.when(F.size(F.array_except(strings(s), "contexts")) == 0, F.lit(i)) for i, s in enumerate(sets)))) if sets else F.array().cast("array<int>")
+    return read_write.select("symbol_id", F.explode(held).alias("place"))
+
+
 def entry_distance(accesses: DataFrame, bindings: DataFrame) -> DataFrame:
     """Functions on the shortest path from an entry of each context to an access of each symbol."""
     return accesses.select("symbol_id", "function_id").distinct().join(bindings, "function_id").groupBy("symbol_id", "context_id").agg((F.min("call_depth") + 1).cast("long").alias("entry_distance"))

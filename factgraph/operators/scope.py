@@ -89,3 +89,10 @@ def keep_unknowns(unknowns: DataFrame, selected: DataFrame, relevant: DataFrame,
 def leaks(output: DataFrame, variables: DataFrame, scope: Scope) -> DataFrame:
     """Rows of an output whose symbol is out of scope or unknown: there must be none."""
     return output.join(select_variables(variables, scope).select("symbol_id"), "symbol_id", "left_anti")
+
+
+def closed(findings: DataFrame, variables: DataFrame, scope: Scope) -> DataFrame:
+    """findings as they are; a row of a symbol that is out of scope or not listed raises, so that nothing with a leak can be written."""
+    leaking = leaks(findings.where("symbol_id is not null"), variables, scope).select("finding_id").distinct().withColumn("leak", F.lit(True))
+    fails = F.raise_error(F.concat(F.lit("out of scope: "), F.col("finding_id"))).cast("string")
+    return findings.join(leaking, "finding_id", "left").withColumn("finding_id", F.when(F.col("leak"), fails).otherwise(F.col("finding_id"))).drop("leak")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factgraph.operators import access, command_line, config_check, contexts, graph, multicore, points_to, review, rules, scope, sets, text
+from factgraph.operators import access, command_line, config_check, contexts, graph, multicore, points_to, presentation, review, rules, scope, sets, text
 from factgraph.plans import analysis, combine
 from factgraph.sources import runs
 from factgraph.sources.facts import fact, with_facts
@@ -370,6 +370,16 @@ query("review_history", lambda f: runs.review_history(f.review_runs).select("run
 query("review_states", lambda f: runs.review_states(f.findings, f.review_runs, True),
       """, e AS (SELECT *, 'r' || seq % 3 AS run_id, row_number() OVER (PARTITION BY finding_id ORDER BY "pass" DESC, 'r' || seq % 3 DESC, seq DESC) = 1 AS newest FROM review_events), l AS (SELECT finding_id, state, status, "pass" = 0 AND state IN ('DONE', 'FAILED') AS waits FROM e WHERE newest), n AS (SELECT finding_id, count(*) FILTER ("pass" = 0) AS n_first, count(*) FILTER ("pass" = 1) AS n_second FROM e GROUP BY finding_id)
   SELECT f.finding_id, CASE WHEN l.finding_id IS NULL THEN 'PENDING' WHEN waits THEN 'AUDIT_PENDING' ELSE l.state END AS state, CASE WHEN l.finding_id IS NULL OR waits THEN 'NEED_MORE_CONTEXT' ELSE l.status END AS status, coalesce(n_first, 0) AS n_first, coalesce(n_second, 0) AS n_second FROM (SELECT DISTINCT finding_id FROM findings) f LEFT JOIN l USING (finding_id) LEFT JOIN n USING (finding_id)""", "review_events", "findings")
+query("first_entries", lambda f: joined(presentation.first_entries(f.accesses.select("symbol_id", "function_id").distinct().join(f.bindings, "function_id").groupBy("symbol_id", "context_id").agg((F.min("call_depth") + 1).alias("distance")).join(f.contexts, "context_id")), "entries"),
+      """, e AS (SELECT symbol_id, context_id, min(depth) + 1 AS distance FROM accesses JOIN depths USING (function_id) GROUP BY symbol_id, context_id), n AS (SELECT e.*, row_number() OVER (PARTITION BY symbol_id ORDER BY kind <> 'MAIN', distance, context_id) AS nth FROM e JOIN contexts USING (context_id))
+  SELECT symbol_id, string_agg(context_id, ',' ORDER BY nth) FILTER (nth <= 2) AS entries, greatest(count(*) - 2, 0) AS n_more FROM n GROUP BY symbol_id""", "accesses", "depths", "contexts")
+query("cells", lambda f: f.documents.select("doc_id", F.sha2(presentation.cell(F.replace("text", F.lit("."), F.lit("|"))), 256).alias("cell"), presentation.place(F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source")), F.col("doc_id") % 7).alias("place")),
+      "SELECT doc_id, sha256(coalesce(replace(replace(text, '.', chr(92) || '|'), chr(10), ' '), '—')) AS cell, CASE WHEN doc_id % 5 = 0 OR source IS NULL THEN '未知' ELSE source END || ':' || CASE WHEN doc_id % 7 = 0 THEN '?' ELSE (doc_id % 7)::VARCHAR END AS place FROM documents")
+query("configured_sets", lambda f: rules.configured_sets(f.readers_writers, [["C0", "C2"], ["C1", "C3", "C4"], ["C9"], ["C2"]]), "SELECT symbol_id, v.place::INTEGER AS place FROM rw JOIN (VALUES (0, ['C0', 'C2']), (1, ['C1', 'C3', 'C4']), (2, ['C9']), (3, ['C2'])) v(place, c) ON list_has_all(contexts, c)", "rw")
+query("findings_in_scope", lambda f: joined(scope.closed(rules.findings(f.profile.join(scope.select_variables(f.variables, SCOPE).select("symbol_id"), "symbol_id", "left_semi")), f.variables, SCOPE).select("finding_id", "symbol_id", "rules"), "rules"), ", {scope} SELECT finding_id, symbol_id, rules FROM found WHERE symbol_id IN (SELECT symbol_id FROM in_scope)", "found", "variables")
+query("independent_gaps", lambda f: review.independent_gaps(f.findings), "SELECT count(*) FILTER (symbol_id IS NULL) AS independent_gaps FROM findings", "findings")
+query("evidence_receipts", lambda f: text.evidence_receipts(f.evidence, f.source_lines, f.documents.select(F.concat(F.lit("d"), "doc_id").alias("file"), F.sha2("text", 256).alias("sha256"))).select("ref", "file", "line", "sha256"),
+      f"WITH {_LINES} SELECT ref, src.file, src.line::INTEGER AS line, sha256(d.text) AS sha256 FROM ev JOIN src ON src.file = ev.file AND src.line BETWEEN ev.line - 3 AND ev.line + 3 JOIN documents d ON src.file = 'd' || d.doc_id")
 query("row_digest", lambda f: f.resources.select("resource", sets.row_digest(["resource", "owner_context"], 16).alias("digest")), "SELECT resource, substr(sha256('owner_context=''' || owner_context || ''',resource=''' || resource || ''''), 1, 16) AS digest FROM resources", "resources")
 query("dedup_rows", lambda f: f.syntax.dropDuplicates().groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, count(*) AS n FROM (SELECT DISTINCT * FROM syntax) GROUP BY kind", "syntax")
 query("union_parts", lambda f: sets.union_parts([f.resources, f.protection, f.contexts]).groupBy("owner_context", "kind").agg(F.count("*").alias("n")), "SELECT owner_context, NULL::VARCHAR AS kind, count(*) AS n FROM resources GROUP BY owner_context UNION ALL SELECT NULL, NULL, count(*) FROM protection UNION ALL SELECT NULL, kind, 1 FROM contexts", "resources", "protection", "contexts")

@@ -11,7 +11,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph.operators import access, command_line, config_check, graph, intervals, review, scope, sets, text
+from factgraph.operators import access, command_line, config_check, graph, intervals, presentation, review, scope, sets, text
 from factgraph.plans import analysis, combine
 from factgraph.sources import files, runs
 from test_analysis import Model, VARIABLES, assert_run, function, judged, site, touch, variable  # noqa: F401
@@ -338,3 +338,20 @@ def test_investigations_with_null_references(spark):
     required = rows.select("finding_id", "id")
     answers = spark.createDataFrame([("f", "CONFIRMED", 1)], "finding_id string, status string, n_evidence int")
     assert {tuple(r) for r in review.investigation_check(rows, required, answers).collect()} == {("f", "a", "BAD_REF"), ("g", "a", "NO_ANSWER"), ("f", "c", "BAD_REF")}
+
+
+def test_presentation(spark):
+    rows = spark.createDataFrame([("a|b\nc", "x.c", 3), (None, "", 0), ("", None, None)], "v string, file string, line int")
+    assert [tuple(r) for r in rows.select(presentation.cell(F.col("v")), presentation.place(F.col("file"), F.col("line"))).collect()] == [("a\\|b c", "x.c:3"), ("—", "未知:?"), ("", "未知:?")]
+    entries = spark.createDataFrame([("g", "t", "TASK", 1), ("g", "m", "MAIN", 9), ("g", "u", "TASK", 1), ("g", "n", "ISR", None), ("h", "i", "ISR", 2)], "symbol_id string, context_id string, kind string, distance int")
+    assert {r.symbol_id: (r.entries, r.n_more) for r in presentation.first_entries(entries).collect()} == {"g": (["m", "t"], 2), "h": (["i"], 0)}
+
+
+def test_a_leak_stops_the_output(spark):
+    s = scope.Scope(["App"])
+    v = spark.createDataFrame([("in", "App/a.c", None), ("out", "Lib/b.c", None)], "symbol_id string, definition_file string, declaration_file string")
+    found = spark.createDataFrame([("f1", "in"), ("gap", None)], "finding_id string, symbol_id string")
+    assert {r.finding_id for r in scope.closed(found, v, s).collect()} == {"f1", "gap"}
+    for leak in ("out", "unknown"):
+        with pytest.raises(Exception, match="out of scope: f2"):
+            scope.closed(found.union(spark.createDataFrame([("f2", leak)], found.schema)), v, s).collect()
