@@ -374,7 +374,7 @@ query("first_entries", lambda f: joined(presentation.first_entries(f.accesses.se
       """, e AS (SELECT symbol_id, context_id, min(depth) + 1 AS distance FROM accesses JOIN depths USING (function_id) GROUP BY symbol_id, context_id), n AS (SELECT e.*, row_number() OVER (PARTITION BY symbol_id ORDER BY kind <> 'MAIN', distance, context_id) AS nth FROM e JOIN contexts USING (context_id))
   SELECT symbol_id, string_agg(context_id, ',' ORDER BY nth) FILTER (nth <= 2) AS entries, greatest(count(*) - 2, 0) AS n_more FROM n GROUP BY symbol_id""", "accesses", "depths", "contexts")
 query("cells", lambda f: f.documents.select("doc_id", F.sha2(presentation.cell(F.replace("text", F.lit("."), F.lit("|"))), 256).alias("cell"), presentation.place(F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source")), F.col("doc_id") % 7).alias("place")),
-      "SELECT doc_id, sha256(coalesce(replace(replace(text, '.', chr(92) || '|'), chr(10), ' '), '—')) AS cell, CASE WHEN doc_id % 5 = 0 OR source IS NULL THEN '未知' ELSE source END || ':' || CASE WHEN doc_id % 7 = 0 THEN '?' ELSE (doc_id % 7)::VARCHAR END AS place FROM documents")
+      "SELECT doc_id, sha256(coalesce(replace(replace(replace(text, '.', '|'), '|', chr(92) || '|'), chr(10), ' '), '—')) AS cell, CASE WHEN doc_id % 5 = 0 OR source IS NULL THEN '未知' ELSE source END || ':' || CASE WHEN doc_id % 7 = 0 THEN '?' ELSE (doc_id % 7)::VARCHAR END AS place FROM documents")
 query("configured_sets", lambda f: rules.configured_sets(f.readers_writers, [["C0", "C2"], ["C1", "C3", "C4"], ["C9"], ["C2"]]), "SELECT symbol_id, v.place::INTEGER AS place FROM rw JOIN (VALUES (0, ['C0', 'C2']), (1, ['C1', 'C3', 'C4']), (2, ['C9']), (3, ['C2'])) v(place, c) ON list_has_all(contexts, c)", "rw")
 query("findings_in_scope", lambda f: joined(scope.closed(rules.findings(f.profile.join(scope.select_variables(f.variables, SCOPE).select("symbol_id"), "symbol_id", "left_semi")), f.variables, SCOPE).select("finding_id", "symbol_id", "rules"), "rules"), ", {scope} SELECT finding_id, symbol_id, rules FROM found WHERE symbol_id IN (SELECT symbol_id FROM in_scope)", "found", "variables")
 query("independent_gaps", lambda f: review.independent_gaps(f.findings), "SELECT count(*) FILTER (symbol_id IS NULL) AS independent_gaps FROM findings", "findings")
