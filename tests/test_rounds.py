@@ -33,3 +33,10 @@ def test_branches_of_a_file_stay_in_its_row(spark):
     arms = {(r.file, r.open, r.nth): (r.stop, r.parent, r.guard) for r in branches.where("file in ('a', 'b', 'open', 'stray', 'bare')").collect()}
     assert arms == {("a", 1, 1): (10, None, True), ("a", 3, 1): (4, 1, False), ("a", 3, 2): (7, 1, False), ("a", 3, 3): (9, 1, False), ("b", 1, 1): (4, None, False), ("b", 2, 1): (3, 1, False), ("b", 1, 2): (5, None, False),
                     ("open", None, None): (None, None, None), ("stray", 3, 1): (3, None, False), ("bare", 1, 1): (2, None, True), ("bare", 4, 1): (5, None, False)}
+
+
+def test_rules_take_one_pass_along_the_calls(spark, monkeypatch):
+    passes, whole = [], graph.spread_masks
+    monkeypatch.setattr(graph, "spread_masks", lambda *a: passes.append(1) or whole(*a))
+    assert catalog.BUILDS["findings_by_rule"](catalog.Facts(spark, SF)).count() > 0
+    assert len(passes) == 1
