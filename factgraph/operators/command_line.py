@@ -51,8 +51,25 @@ def expand_responses(arguments: DataFrame, files: DataFrame) -> DataFrame:
     arguments: tu, directory, arguments; files: path, content. Paths count from
     the unit's directory. A file within itself is a CYCLE, more than DEPTH
     nested ones are TOO_DEEP, others may be MISSING or badly QUOTEd; the first
-    problem in order leaves the arguments null.
+    problem in order leaves the arguments null. A unit's own words stay in its
+    row; what a reference of a directory stands for is opened once.
     """
+    refers = lambda a: F.startswith(a, F.lit("@"))
+    arguments = arguments.where(F.size("arguments") > 0)
+    named = arguments.select("directory", F.explode(F.array_distinct(F.filter("arguments", refers))).alias("arg")).distinct()
+    opened = checkpointed(_opened(named.select(F.struct("directory", "arg").alias("tu"), "directory", F.array("arg").alias("arguments")), files))
+    known = opened.select(F.col("tu.directory").alias("of"), F.col("tu.arg").alias("ref"), F.struct(F.col("arguments").alias("words"), "response_files", "problem").alias("stands"))
+    uses = arguments.select("tu", "directory", F.posexplode("arguments").alias("pos", "arg")).where(refers(F.col("arg")))
+    each = uses.join(known, F.col("directory").eqNullSafe(F.col("of")) & (F.col("arg") == F.col("ref"))).groupBy("tu").agg(F.array_sort(F.collect_list(F.struct("pos", "stands"))).alias("each"))
+    rows = arguments.select("tu", "arguments").join(each, "tu", "left").withColumn("each", F.coalesce("each", F.array().cast(each.schema["each"].dataType)))
+    full = F.flatten(F.transform("arguments", lambda a, i: F.when(refers(a), F.get(F.filter("each", lambda e: e["pos"] == i), F.lit(0))["stands"]["words"]).otherwise(F.array_compact(F.array(a)))))
+    problem = F.get(F.filter(F.transform("each", lambda e: e["stands"]["problem"]), lambda p: p.isNotNull()), F.lit(0))
+    rows = rows.withColumn("problem", problem)
+    return rows.select("tu", F.when(F.col("problem").isNull(), full).alias("arguments"), F.array_sort(F.array_distinct(F.flatten(F.transform("each", lambda e: e["stands"]["response_files"])))).alias("response_files"), "problem")
+
+
+def _opened(arguments: DataFrame, files: DataFrame) -> DataFrame:
+    """expand_responses() word by word, level by level: each word is a row."""
     texts = files.select("path", words(F.regexp_replace("content", "^﻿", "")).alias("words"))
     front = arguments.select("tu", "directory", F.posexplode("arguments").alias("pos", "arg")).select("tu", "directory", F.array("pos").alias("place"), "arg", F.array().cast("array<string>").alias("within"))
     done = []

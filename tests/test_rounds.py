@@ -1,11 +1,8 @@
 """Steps that must neither repeat a pass over the graph nor shuffle what lies in one row."""
 
 import random
-import re
 
-import pytest
-
-from factgraph.operators import graph, text
+from factgraph.operators import command_line, graph, text
 from factgraph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +37,15 @@ def test_rules_take_one_pass_along_the_calls(spark, monkeypatch):
     monkeypatch.setattr(graph, "spread_masks", lambda *a: passes.append(1) or whole(*a))
     assert catalog.BUILDS["findings_by_rule"](catalog.Facts(spark, SF)).count() > 0
     assert len(passes) == 1
+
+
+def test_words_of_units_stay_in_their_rows(spark, monkeypatch):
+    rows = [(f"t{i}", "/w", ["gcc", "@r.rsp", "-a", "@/w/r.rsp"]) for i in range(20)] + [("none", None, ["x", "@no", "@/w/loop"]), ("plain", "/w", ["x", None, "y"]), ("loop", "/w", ["@loop", "@no"]), ("void", "/w", ["@void"]), ("empty", "/w", [])]
+    files = spark.createDataFrame([("/w/r.rsp", "'p q' @s.rsp z"), ("/w/s.rsp", "deep"), ("/w/loop", "a @loop"), ("/w/void", " ")], "path string, content string")
+    opened, whole = [], command_line._opened
+    monkeypatch.setattr(command_line, "_opened", lambda a, f: opened.append(a.count()) or whole(a, f))
+    args = spark.createDataFrame(rows, "tu string, directory string, arguments array<string>")
+    got = {r.tu: (r.arguments, r.response_files, r.problem) for r in command_line.expand_responses(args, files).collect()}
+    assert opened == [7]
+    assert got == {r.tu: (r.arguments, r.response_files, r.problem) for r in whole(args, files).collect()}
+    assert got["t3"] == (["gcc", "p q", "deep", "z", "-a", "p q", "deep", "z"], ["/w/r.rsp", "/w/s.rsp"], None) and got["loop"][2] == "CYCLE" and got["void"][0] == []
