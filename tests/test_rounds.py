@@ -39,6 +39,16 @@ def test_rules_take_one_pass_along_the_calls(spark, monkeypatch):
     assert len(passes) == 1
 
 
+def test_ancestors_are_followed_once_for_all_findings(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "c"), ("x", "y")], "caller string, callee string")
+    seeds = spark.createDataFrame([(f"g{i}", f) for i in range(50) for f in ("c", "lone")] + [("h", "y"), ("h", "y"), ("h", "c")], "finding_id string, function_id string")
+    followed, whole = [], graph.closure
+    monkeypatch.setattr(graph, "closure", lambda s, *a: followed.append(s.count()) or whole(s, *a))
+    got = sorted(map(tuple, graph.ancestors_of_many(seeds, edges, "finding_id").collect()))
+    assert got == sorted([(f"g{i}", f) for i in range(50) for f in ("a", "b", "c", "d", "lone")] + [("h", f) for f in ("a", "b", "c", "d", "x", "y")])
+    assert followed == [3]
+
+
 def test_words_of_units_stay_in_their_rows(spark, monkeypatch):
     rows = [(f"t{i}", "/w", ["gcc", "@r.rsp", "-a", "@/w/r.rsp"]) for i in range(20)] + [("none", None, ["x", "@no", "@/w/loop"]), ("plain", "/w", ["x", None, "y"]), ("loop", "/w", ["@loop", "@no"]), ("void", "/w", ["@void"]), ("empty", "/w", [])]
     files = spark.createDataFrame([("/w/r.rsp", "'p q' @s.rsp z"), ("/w/s.rsp", "deep"), ("/w/loop", "a @loop"), ("/w/void", " ")], "path string, content string")
