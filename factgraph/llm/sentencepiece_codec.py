@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_parts, lean
 
-SPACE, CACHE_WORDS, WORDS_AT_ONCE = "▁", 200_000, 50_000
+SPACE, CACHE_WORDS, WORDS_AT_ONCE = "▁", 60_000, 12_000
 #: A piece may start with spaces but none follows another character, so merges stay inside these parts.
 PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SHIFT, SLOT_BITS, ODD = 21, 20, np.uint64(0x9E3779B97F4A7C15)
@@ -207,14 +207,14 @@ def encode_decode(docs: DataFrame, model_path: str, out: str = "digest") -> Data
     Null counts as empty: only the end id, decoded to ''. Repeated rows give
     repeated rows, an empty table none; other columns are left out. Any
     character without a piece becomes its UTF-8 bytes' pieces. Rows go through
-    in runs of a few MB of text, so memory follows the longest text only.
+    in runs of about a MB of text, so memory follows the longest text only.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
         codec = Codec(model.value)
-        for pdf in byte_parts(batches):
+        for pdf in byte_parts(batches, 1 << 20):
             ids, texts = codec.run([t or "" for t in pdf.text])
             if out == "full":
                 yield pd.DataFrame({"doc_id": pdf.doc_id, "ids": [np.fromstring(s, np.int32, sep=" ") for s in ids], "decoded": texts})
