@@ -1,5 +1,7 @@
 """The stages of the pipeline on rows whose doc_id repeats or is null."""
 
+import os
+import time
 from collections import Counter
 
 import pytest
@@ -37,3 +39,19 @@ def test_repeated_and_null_doc_ids(spark):
         if name == "decontamination":
             assert not any(leak in r.text for r in got)
     assert counts == sorted(counts, reverse=True)
+
+
+def test_stages_leave_no_shuffle_files(spark):
+    """What a stage and the table that is written from it have shuffled goes when their queries end."""
+    def shuffled():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for folder in folders for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before = shuffled()
+    docs = stored(corpus_pipeline.cut_repeats(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF))
+    assert docs.count() > 0
+    for _ in range(100):  # files are deleted in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left
