@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from factgraph.operators import command_line, graph, points_to, program, text
@@ -64,6 +65,16 @@ def test_words_of_units_stay_in_their_rows(spark, monkeypatch):
     assert got["t3"] == (["gcc", "p q", "deep", "z", "-a", "p q", "deep", "z"], ["/w/r.rsp", "/w/s.rsp"], None) and got["loop"][2] == "CYCLE" and got["void"][0] == []
 
 
+def test_brackets_decide_where_paragraphs_end(spark):
+    """Texts of the query keep their brackets: fewer parts than without them, and as many as its SQL finds."""
+    facts = catalog.Facts(spark, SF)
+    parts = catalog.BUILDS["split_paragraphs"](facts).count()
+    bare = F.expr(f"translate({catalog._PROSE}, '()[]{{}}（）', '')")
+    without = facts.documents.select(F.explode(text.paragraphs(bare)))
+    sql = catalog.SQL["split_paragraphs"].replace("FROM documents", f"FROM '{SF}/documents.parquet'")
+    assert 0 < parts < without.count() and len(duckdb.sql(sql).fetchall()) == parts
+
+
 def tree(rng, depth=3):
     kind = rng.choice(["loc", "loc", "function", "none"] if depth == 0 else ["loc", "loc", "loc", "addr", "addr", "deref", "field", "union", "function", "odd"])
     below = lambda: tree(rng, depth - 1)
