@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -132,3 +133,16 @@ def test_large_fronts_take_one_step_and_go_past_the_driver(spark, monkeypatch):
     monkeypatch.setattr(graph, "FRONT", 0)
     assert every() == several and len(several[0]) > 60
     assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_shuffle_files_of_a_round_go_with_it(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before, was = files(), spark.conf.get(graph.END_SHUFFLES, None)
+    made = graph.checkpointed(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.5)
+    assert not files() - before and made.count() == 7 and spark.conf.get(graph.END_SHUFFLES, None) == was
